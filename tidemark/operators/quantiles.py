@@ -145,7 +145,8 @@ def exact_quantiles(
 
     ``linear`` interpolates between neighbours; ``index`` takes the truncated
     position ``p*n`` and averages two neighbours when it is integral.  Groups up
-    to ``limit`` rows use one aggregate.  Larger ones locate the bin that holds
+    to ``limit`` rows use one aggregate; whether larger ones exist is asked
+    first (one counting pass).  Those locate the bin that holds
     each wanted rank and sort only that bin, so no task sees a whole group.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
@@ -156,10 +157,13 @@ def exact_quantiles(
     shares = sorted(set(probs.values()))
     # bounded: at most (rows / limit) groups can exceed the limit
     big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit).select(*keys)
-    hint = F.broadcast(big)
-    match = same_keys(rows, hint, keys)
-    small = _small_groups(rows.join(hint, match, "left_anti"), keys, value, shares, method)
-    large = _large_groups(rows.join(hint, match, "left_semi"), keys, value, shares, method, bins)
-    both = small.unionByName(large)
+    if not big.take(1):
+        both = _small_groups(rows, keys, value, shares, method)
+    else:
+        hint = F.broadcast(big)
+        match = same_keys(rows, hint, keys)
+        small = _small_groups(rows.join(hint, match, "left_anti"), keys, value, shares, method)
+        large = _large_groups(rows.join(hint, match, "left_semi"), keys, value, shares, method, bins)
+        both = small.unionByName(large)
     kept = [] if constant else list(keys)
     return both.select(*kept, *[F.col(_column(p)).alias(name) for name, p in probs.items()])

@@ -37,6 +37,20 @@ class Timeline:
         return Timeline(tuple(keys), tuple(order), F.floor(F.col(order[0]) / F.lit(width)))
 
 
+def _shared(df: DataFrame, line: Timeline) -> DataFrame:
+    """One shuffle by (keys, chunk) that every reader of the timeline can reuse."""
+    return df.withColumn(CHUNK, line.chunk).repartition(*line.keys, CHUNK)
+
+
+def _whole(columns: Sequence[str]) -> Column:
+    """A value that depends on every column.
+
+    A summary that carries it (and tests it for null) reads the same columns as
+    the rows themselves, so the planner sees one shuffle and not two pruned ones.
+    """
+    return F.max(F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("_whole")
+
+
 def _pack(columns: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns])
 
@@ -48,6 +62,7 @@ def _edge_rows(base: DataFrame, line: Timeline, n: int, forward: bool) -> DataFr
     key = _pack([*line.order])
     if n == 1:
         pick = F.max_by if forward else F.min_by
+        # the packed row names every column already, so this reads the shared shuffle as it is
         packed = base.groupBy(*group).agg(F.array(pick(_pack(columns), key)).alias("_rows"))
     else:
         order = [F.col(c).desc() if forward else F.col(c).asc() for c in line.order]
@@ -65,7 +80,7 @@ def _edge_rows(base: DataFrame, line: Timeline, n: int, forward: bool) -> DataFr
     if n > 1:
         near = F.slice(near, F.greatest(F.lit(1), F.size(near) - n + 1), n) if forward else F.slice(near, 1, n)
     moved = packed.select(F.col(CHUNK), near.alias("_near"))
-    return moved.select(CHUNK, F.inline("_near")).withColumn(HALO, F.lit(True))
+    return moved.select(CHUNK, F.inline("_near")).withColumn(HALO, F.lit(True)).repartition(*group)
 
 
 def framed(
@@ -77,7 +92,7 @@ def framed(
     after: int = 0,
 ) -> DataFrame:
     """Add window columns whose frame reaches at most ``before`` rows back and ``after`` rows ahead."""
-    base = df.withColumn(CHUNK, line.chunk)
+    base = _shared(df, line)
     parts = [base.withColumn(HALO, F.lit(False))]
     if before:
         parts.append(_edge_rows(base, line, before, True))
@@ -102,15 +117,17 @@ def running(
     exprs: dict[str, tuple[str, Column]],
     *,
     reverse: bool = False,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min``/``last`` columns over each whole series up to the current row.
 
     ``last`` is the latest non-null value (forward fill); with ``reverse`` the
     series is walked backwards, so ``last`` becomes the next non-null value.
+    ``drop`` names columns only the expressions need.
     """
-    base = df.withColumn(CHUNK, line.chunk)
     values = {name: f"_v_{i}" for i, name in enumerate(exprs)}
-    base = base.select("*", *[col.alias(values[name]) for name, (_, col) in exprs.items()])
+    kept = [f"`{c}`" for c in df.columns if c not in drop]
+    base = _shared(df.select(*kept, *[col.alias(values[name]) for name, (_, col) in exprs.items()]), line)
     at = _pack(list(line.order))
     totals = []
     for name, (kind, _) in exprs.items():
@@ -120,7 +137,7 @@ def running(
             totals.append(pick(v, F.when(v.isNotNull(), at)).alias(values[name]))
         else:
             totals.append(_RUNNING[kind][0](v).alias(values[name]))
-    summary = base.groupBy(*line.keys, CHUNK).agg(*totals)
+    summary = base.groupBy(*line.keys, CHUNK).agg(*totals, _whole(base.columns)).filter(F.col("_whole").isNotNull())
     chunk_order = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
     earlier = Window.partitionBy(*line.keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -133,7 +150,7 @@ def running(
         *line.keys,
         CHUNK,
         *[over(kind, values[name], earlier).alias(values[name]) for name, (kind, _) in exprs.items()],
-    ).withColumn(HALO, F.lit(True))
+    ).withColumn(HALO, F.lit(True)).repartition(*line.keys, CHUNK)
     rows = base.withColumn(HALO, F.lit(False)).unionByName(carried, allowMissingColumns=True)
     inner = [F.col(c).desc() if reverse else F.col(c).asc() for c in line.order]
     window = (
@@ -153,8 +170,7 @@ def previous(df: DataFrame, line: Timeline, **columns: str) -> DataFrame:
 def number_islands(df: DataFrame, line: Timeline, starts: Column, *, look: dict[str, str] | None = None, name: str = "island") -> DataFrame:
     """Number consecutive runs; ``starts`` is true on the first row of a run and may read the ``look`` (lagged) columns."""
     seen = previous(df, line, **look) if look else df
-    out = running(seen, line, {name: ("sum", F.when(starts, 1).otherwise(0).cast("long"))})
-    return out.drop(*look) if look else out
+    return running(seen, line, {name: ("sum", F.when(starts, 1).otherwise(0).cast("long"))}, drop=tuple(look or ()))
 
 
 def gap_islands(df: DataFrame, line: Timeline, gap: int | float, *, name: str = "island", strict: bool = True) -> DataFrame:

@@ -1 +1,11 @@
+"""Every named query; importing this package fills the registry."""
 
+from importlib import import_module
+
+from .registry import REGISTRY
+
+FAMILIES = ["time", "staging", "resampling"]
+for _family in FAMILIES:
+    import_module(f"{__name__}.{_family}")
+
+__all__ = ["REGISTRY"]
