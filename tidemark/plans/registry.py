@@ -54,10 +54,22 @@ def _plain_counts(sql: str) -> str:
     return sql
 
 
-def query(name: str, covers: str, sql: str | None = None):
-    """Register a plan under ``name``; ``covers`` lists the inventory ids it exercises."""
+def query(name: str, covers: str, sql: str | None = None, *, nullable: str = ""):
+    """Register a plan under ``name``; ``covers`` lists the inventory ids it exercises.
+
+    ``nullable`` names integer columns that hold nulls; both sides return them
+    as doubles, so that no reader turns one side into floats on its own.
+    """
+    loose = nullable.split()
 
     def wrap(build: Callable[[Tables], DataFrame]):
+        nonlocal sql
+        if loose:
+            inner = build
+            build = lambda t: inner(t).withColumns({c: F.col(c).cast("double") for c in loose})
+            if sql:
+                swaps = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in loose)
+                sql = f"SELECT * REPLACE ({swaps}) FROM (\n{sql.strip()}\n)"
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
         REGISTRY[name] = Query(name, tuple(covers.split()), build, _plain_counts(sql.strip()) if sql else None)

@@ -145,7 +145,7 @@ SELECT user_id, epoch, CASE WHEN end_us IS NULL THEN 0 ELSE k END AS event_count
   CASE WHEN end_us IS NOT NULL THEN hi END AS last_event,
   k > 0 OR coalesce(end_us IS NOT NULL AND at_us >= 1704844800000000 AND end_us <= 1704931200000000, false) AS definitely_awake
 FROM x JOIN h USING (user_id, epoch)
-""")
+""", nullable="first_event last_event")
 def _(t):
     presses = t.timed.filter("event_type = 'error'").select("user_id", "us")
     manual = (F.lit(1704844800000000), F.lit(1704931200000000))
@@ -190,7 +190,8 @@ SELECT user_id, epoch, mins_since_asleep, mins_since_ready, mins_since_in_bed, m
     + "".join(f"CAST(mins_since_asleep BETWEEN {lo * 60} AND {lo * 60 + 120} AS INTEGER) AS sleep_hour_{n}, " for lo, n in ((0, "1_to_2"), (2, "3_to_4"), (4, "5_to_6"), (6, "7_to_8")))
     + "CAST(at_us BETWEEN ready AND asleep AS INTEGER) AS during_ready, "
     + ", ".join(f"coalesce(mins_until_wake > 0 AND mins_until_wake <= {n}, false) AS within_{n}" for n in (10, 60, 240))
-    + ", coalesce(mins_since_asleep >= 60, false) AS insomnia FROM a")
+    + ", coalesce(mins_since_asleep >= 60, false) AS insomnia FROM a",
+    nullable="before_sleep_15 before_ready_15 before_sleep_30 before_ready_30 before_sleep_60 before_ready_60 sleep_hour_1_to_2 sleep_hour_3_to_4 sleep_hour_5_to_6 sleep_hour_7_to_8 during_ready")
 def _(t):
     out = hy.within_targets(_anchored(t), F.col("mins_until_wake"), [10, 60, 240])
     out = out.withColumn("insomnia", F.coalesce(F.col("mins_since_asleep") >= 60, F.lit(False)))
