@@ -28,11 +28,11 @@ def epochs(t):
 
 
 EPOCHS = f"""
-c AS (SELECT user_id, epoch_us(ts) // {HOURS6} AS epoch, {STAGE_CASE} AS stage, event_type, count(*) AS k, sum(value) AS v FROM events GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY k DESC, event_type) AS rn,
-  sum(k) OVER (PARTITION BY user_id, epoch) AS n, sum(v) OVER (PARTITION BY user_id, epoch) AS sv FROM c),
+type_counts AS (SELECT user_id, epoch_us(ts) // {HOURS6} AS epoch, {STAGE_CASE} AS stage, event_type, count(*) AS k, sum(value) AS v FROM events GROUP BY ALL),
+type_ranks AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY k DESC, event_type) AS rn,
+  sum(k) OVER (PARTITION BY user_id, epoch) AS n, sum(v) OVER (PARTITION BY user_id, epoch) AS sv FROM type_counts),
 ep AS (SELECT user_id, epoch, stage, k / n AS confidence, CAST(n AS BIGINT) AS n, sv / n AS mean_value, epoch * {HOURS6} AS at_us,
-  CAST(make_timestamp(epoch * {HOURS6}) AS DATE) AS day FROM r WHERE rn = 1)
+  CAST(make_timestamp(epoch * {HOURS6}) AS DATE) AS day FROM type_ranks WHERE rn = 1)
 """
 
 

@@ -35,6 +35,7 @@ class Query:
     covers: tuple[str, ...]
     build: Callable[[Tables], DataFrame]
     sql: str | None
+    family: str = ""
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
         return self.build(Tables(spark, folder))
@@ -64,6 +65,7 @@ def query(name: str, covers: str, sql: str | None = None, *, nullable: str = "")
 
     def wrap(build: Callable[[Tables], DataFrame]):
         nonlocal sql
+        family = build.__module__.rsplit(".", 1)[-1]
         if loose:
             inner = build
             build = lambda t: inner(t).withColumns({c: F.col(c).cast("double") for c in loose})
@@ -72,7 +74,7 @@ def query(name: str, covers: str, sql: str | None = None, *, nullable: str = "")
                 sql = f"SELECT * REPLACE ({swaps}) FROM (\n{sql.strip()}\n)"
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, tuple(covers.split()), build, _plain_counts(sql.strip()) if sql else None)
+        REGISTRY[name] = Query(name, tuple(covers.split()), build, _plain_counts(sql.strip()) if sql else None, family)
         return build
 
     return wrap

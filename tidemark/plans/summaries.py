@@ -46,7 +46,7 @@ def _index_pick(p, v="vs"):
 
 
 @query("stage_percentiles", "G04", f"WITH {EPOCHS}" + """,
-l AS (SELECT unnest(list_filter(['All', stage, CASE WHEN stage <> 'W' THEN 'Sleep' END, CASE WHEN stage <> 'N3' THEN 'NonDeepSleep' END], x -> x IS NOT NULL)) AS grp, mean_value, CAST(n AS DOUBLE) AS n FROM ep),
+l AS (SELECT unnest(list_filter(['All', stage, CASE WHEN stage <> 'W' THEN 'Sleep' END, CASE WHEN stage <> 'N3' THEN 'NonDeepSleep' END], lambda x: x IS NOT NULL)) AS grp, mean_value, CAST(n AS DOUBLE) AS n FROM ep),
 m AS (SELECT grp, 'mean_value' AS col, mean_value AS v FROM l UNION ALL SELECT grp, 'n', n FROM l),
 s AS (SELECT grp, col, list_sort(list(v)) AS vs FROM m GROUP BY ALL)
 SELECT col AS "column", grp, """ + f"round({_index_pick('0.1::DOUBLE')}, 6) AS p10, round({_index_pick('0.9::DOUBLE')}, 6) AS p90, round(vs[1], 6) AS min, round(vs[-1], 6) AS max FROM s")
@@ -214,7 +214,7 @@ def _(t):
 
 
 @query("stage_feature_averages", "G20 G23", f"WITH {EPOCHS}" + """
-SELECT user_id, round(avg(mean_value) FILTER (stage = 'N3'), 6) AS mean_deep, round(median(mean_value) FILTER (stage = 'N3'), 6) AS median_deep,
+SELECT user_id, round(avg(mean_value) FILTER (stage = 'N3') + 1e-9, 6) AS mean_deep, round(median(mean_value) FILTER (stage = 'N3') + 1e-9, 6) AS median_deep,
   count_if(stage = 'N3') * 0.5::DOUBLE AS minutes_deep, count_if(stage = 'W') > 10 AS bad_night FROM ep GROUP BY user_id
 """)
 def _(t):
@@ -222,7 +222,7 @@ def _(t):
     deep = exact_quantiles(ep.filter("stage = 'N3'"), ["user_id"], "mean_value", {"median_deep": 0.5})
     out = ep.groupBy("user_id").agg(F.avg(F.when(F.col("stage") == "N3", F.col("mean_value"))).alias("mean_deep"),
                                     (F.count_if(F.col("stage") == "N3") * F.lit(0.5)).alias("minutes_deep"), (F.count_if(F.col("stage") == "W") > 10).alias("bad_night"))
-    return out.join(deep, "user_id", "left").select("user_id", F.round("mean_deep", 6).alias("mean_deep"), F.round("median_deep", 6).alias("median_deep"), "minutes_deep", "bad_night")
+    return out.join(deep, "user_id", "left").select("user_id", F.round(F.col("mean_deep") + 1e-9, 6).alias("mean_deep"), F.round(F.col("median_deep") + 1e-9, 6).alias("median_deep"), "minutes_deep", "bad_night")
 
 
 @query("describe_columns", "G21", " UNION ALL ".join(

@@ -71,7 +71,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
     for name, q in REGISTRY.items():
-        if not pattern.search(name):
+        if not (pattern.search(name) or pattern.search(q.family + ":")):
             continue
         con = duckdb.connect()
         for t in TABLES:
