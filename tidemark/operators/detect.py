@@ -10,25 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rangejoin import interval_join
-from .timeline import Timeline, framed, gap_islands, number_islands
+from .timeline import Timeline, framed, gap_islands
 
 
-def runs_where(df: DataFrame, line: Timeline, flag: Column, *, reach: int = 1, aggs: Sequence[Column] = ()) -> DataFrame:
+def runs_where(df: DataFrame, line: Timeline, flag: Column, *, reach: int = 1, aggs: Sequence[Column] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Runs of flagged samples no further than ``reach`` apart: ``start``, ``end`` (last sample), ``n`` and ``aggs``.
 
+    ``carry`` names the columns the ``aggs`` read.
+
     The filter comes first, so only flagged samples are ordered and shuffled.
     """
     at = line.order[0]
-    marked = gap_islands(df.filter(flag), line, reach)
+    marked = gap_islands(df.filter(flag).select(*line.keys, *line.order, *carry), line, reach)
     return marked.groupBy(*line.keys, "island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"), *aggs).drop("island")
 
 
 def merge_runs(runs: DataFrame, keys: Sequence[str], gap: int, *, chunk: int, strict: bool = False, aggs: Sequence[Column] = ()) -> DataFrame:
     """Join runs whose distance (next start minus previous end) is at most ``gap`` (below it, if ``strict``)."""
     line = Timeline.every(keys, ["start"], chunk)
-    apart = F.col("start") - F.col("_end")
-    far = apart >= gap if strict else apart > gap
-    marked = number_islands(runs, line, F.col("_end").isNull() | far, look={"_end": "end"}, name="_section")
+    marked = gap_islands(runs, line, gap, end="end", name="_section", strict=not strict)
     return marked.groupBy(*keys, "_section").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggs).drop("_section")
 
 
@@ -41,8 +41,8 @@ def artifact_sections(df: DataFrame, line: Timeline, value: str, *, above: float
     """
     keys = list(line.keys)
     size = F.abs(F.col(value))
-    runs = runs_where(df, line, size > above, aggs=[F.max(size).alias("peak")]).withColumn("end", F.col("end") + 1)
-    merged = merge_runs(runs.filter(F.col("end") - F.col("start") >= min_run), keys, merge_gap, chunk=chunk)
+    runs = runs_where(df, line, size > above, aggs=[F.max(size).alias("peak")], carry=[value]).withColumn("end", F.col("end") + 1)
+    merged = merge_runs(runs.filter(F.col("end") - F.col("start") >= min_run).select(*keys, "start", "end"), keys, merge_gap, chunk=chunk)
     met = interval_join(runs.select(*keys, F.col("start").alias("at"), "peak"), merged.withColumn("last", F.col("end") - 1), keys, ("at", "at"), ("start", "last"), width=max(min_length, 1))
     l, r = F.col("l"), F.col("r")
     sized = met.groupBy(*[r[k].alias(k) for k in keys], r["start"].alias("start"), r["end"].alias("end")).agg(F.max(l["peak"]).alias("peak"))
@@ -71,7 +71,7 @@ def settled_predictions(df: DataFrame, line: Timeline, value: str, *, threshold:
     """
     keys, at = list(line.keys), line.order[0]
     span = df.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    runs = runs_where(df, line, F.col(value) > threshold).filter(F.col("n") >= min_first)
+    runs = runs_where(df, line, F.col(value) > threshold).filter(F.col("n") >= min_first).select(*keys, "start", "end")
     merged = merge_runs(runs, keys, fill + 1, chunk=chunk).join(span, keys)
     grown = merged.withColumns({
         "start": F.when(F.col("start") - F.col("_lo") <= fill, F.col("_lo")).otherwise(F.col("start")),
@@ -120,7 +120,7 @@ def silences(df: DataFrame, line: Timeline, value: str, *, below_db: float, shor
 def dips(df: DataFrame, line: Timeline, value: str, *, below: float, reach: int) -> DataFrame:
     """Groups of samples below a limit with their lowest sample as the peak."""
     at = line.order[0]
-    return runs_where(df, line, F.col(value) < below, reach=reach, aggs=[F.min_by(at, F.struct(value, at)).alias("peak_at"), F.min(value).alias("peak_value")]).withColumn(
+    return runs_where(df, line, F.col(value) < below, reach=reach, aggs=[F.min_by(at, F.struct(value, at)).alias("peak_at"), F.min(value).alias("peak_value")], carry=[value]).withColumn(
         "length", F.col("end") - F.col("start") + 1)
 
 
@@ -268,7 +268,7 @@ def tune_sound_detection(df: DataFrame, expected: DataFrame, keys: Sequence[str]
     heard = runs.join(rising, group, "left_semi").select(*group, (F.greatest(F.col("start") - 1, F.lit(0)) * F.col("window")).alias("start"), (F.col("end") * F.col("window")).alias("end"))
     fanned = heard.withColumn("merge", F.explode(F.array(*map(F.lit, merges))))
     line = Timeline.every([*group, "merge"], ["start"], chunk * max(windows))
-    sections = number_islands(fanned, line, F.col("_end").isNull() | (F.col("start") - F.col("_end") >= F.col("merge")), look={"_end": "end"}, name="_section")
+    sections = gap_islands(fanned, line, F.col("merge"), end="end", name="_section", strict=False)
     spans = sections.groupBy(*group, "merge", "_section").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     counted = spans.withColumn("shortest", F.explode(F.array(*map(F.lit, shortest)))).groupBy(*group, "merge", "shortest").agg(F.count_if(F.col("end") - F.col("start") >= F.col("shortest")).alias("_events"))
     grid = expected.withColumn("_g", F.explode(F.array(*[

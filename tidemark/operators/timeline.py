@@ -167,15 +167,43 @@ def previous(df: DataFrame, line: Timeline, **columns: str) -> DataFrame:
     return framed(df, line, {name: (lambda w, c=c: F.lag(c).over(w)) for name, c in columns.items()})
 
 
-def number_islands(df: DataFrame, line: Timeline, starts: Column, *, look: dict[str, str] | None = None, name: str = "island") -> DataFrame:
-    """Number consecutive runs; ``starts`` is true on the first row of a run and may read the ``look`` (lagged) columns."""
-    seen = previous(df, line, **look) if look else df
-    return running(seen, line, {name: ("sum", F.when(starts, 1).otherwise(0).cast("long"))}, drop=tuple(look or ()))
-
-
-def gap_islands(df: DataFrame, line: Timeline, gap: int | float, *, name: str = "island", strict: bool = True) -> DataFrame:
-    """Sessions along the first order column: a distance above ``gap`` (or equal, if not ``strict``) starts a new one."""
-    at = F.col(line.order[0])
-    step = at - F.col("_prev_at")
-    far = step > gap if strict else step >= gap
-    return number_islands(df, line, F.col("_prev_at").isNull() | far, look={"_prev_at": line.order[0]}, name=name)
+def gap_islands(
+    df: DataFrame,
+    line: Timeline,
+    gap: int | float | Column,
+    *,
+    end: str | None = None,
+    name: str = "island",
+    strict: bool = True,
+) -> DataFrame:
+    """Number runs along the first order column: a distance above ``gap`` to the row before starts a new one.
+
+    Distances are taken from the previous row's ``end`` column when rows are
+    disjoint spans, else from its position; ``strict=False`` also breaks at
+    exactly ``gap``.  ``gap`` may be a column that is constant per series.
+
+    Each chunk numbers its own runs.  Its summary (first position, last end,
+    number of runs) tells, in one small window per series, how many runs came
+    before it and whether its first row continues the last of them.
+    """
+    keys, at, stop = list(line.keys), line.order[0], end or line.order[0]
+    limit = gap if isinstance(gap, Column) else F.lit(gap)
+
+    def breaks(step: Column) -> Column:
+        return (step > limit if strict else step >= limit).cast("long")
+
+    base = _shared(df, line)
+    local = Window.partitionBy(*keys, CHUNK).orderBy(*line.order)
+    step = F.col(at) - F.lag(stop).over(local)
+    inner = base.withColumn("_new", F.coalesce(breaks(step), F.lit(0)))
+    others = [F.first(c).alias(c) for c in df.columns if isinstance(gap, Column) and c not in keys and c not in line.order and c != end]
+    summary = inner.groupBy(*keys, CHUNK).agg(
+        F.min(at).alias("_first"), F.max(stop).alias("_last"), F.sum("_new").alias("_runs"), _whole(base.columns), *others
+    ).filter(F.col("_whole").isNotNull())
+    per_key = Window.partitionBy(*keys).orderBy(CHUNK)
+    opened = summary.withColumn("_opens", F.coalesce(breaks(F.col("_first") - F.lag("_last").over(per_key)), F.lit(1)))
+    before = F.sum(F.col("_runs") + F.col("_opens")).over(per_key.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = opened.select(*keys, CHUNK, (F.coalesce(before, F.lit(0)) + F.col("_opens")).alias("_offset"))
+    number = F.col("_offset") + F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = inner.join(offsets, [*keys, CHUNK]) if keys else inner.join(offsets, CHUNK)
+    return joined.withColumn(name, number).select(*df.columns, name)

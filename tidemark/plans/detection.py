@@ -135,7 +135,7 @@ def _(t):
     return de.peaks_and_valleys(night, ["rec", "night"], "sample_no", "smooth", "value", peak=(30, 5.0), valley=(10, 1.0))
 
 
-CANDIDATES = "cd AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) + minute(ts) / 60 AS hr, arg_min(event_id, event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE hour(ts) >= 16 GROUP BY ALL)"
+CANDIDATES = "cd AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) + minute(ts) / 60 AS hr, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE hour(ts) >= 16 GROUP BY user_id, day, hr)"
 
 
 def _candidates(t):
@@ -144,7 +144,7 @@ def _candidates(t):
 
 
 @query("evening_peak_choice", "J12", f"WITH RECURSIVE {CANDIDATES}," + """
-dn AS (SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k, list({'hr': hr, 'id': event_id} ORDER BY hr) AS c FROM cd GROUP BY ALL),
+dn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM (SELECT user_id, day, list({'hr': hr, 'id': event_id} ORDER BY hr) AS c FROM cd GROUP BY user_id, day)),
 wk AS (SELECT user_id, k, [c[-1].hr] AS recent, c[-1] AS pick, day FROM dn WHERE k = 1
   UNION ALL SELECT n.user_id, n.k, list_append(wk.recent, p.pick.hr)[-3:], p.pick, n.day FROM wk JOIN dn n ON n.user_id = wk.user_id AND n.k = wk.k + 1,
   LATERAL (SELECT CASE WHEN len(wk.recent) >= 3 THEN list_reduce(n.c, lambda a, b: CASE WHEN abs(b.hr - list_sum(wk.recent) / 3) < abs(a.hr - list_sum(wk.recent) / 3) THEN b ELSE a END) ELSE n.c[-1] END AS pick) p)
