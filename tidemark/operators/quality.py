@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.local import local_table
 from .quantiles import exact_quantiles
 
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
@@ -69,7 +70,7 @@ def sequential_removal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     order = sorted(columns, key=lambda c: -coverage[c])
     first_gap = F.array_position(F.array(*[_q(c).isNull() for c in order]), True)
     lost = df.select(first_gap.alias("_at")).filter("_at > 0").groupBy("_at").agg(F.count(F.lit(1)).alias("_k"))
-    steps = df.sparkSession.createDataFrame([(c, i + 1) for i, c in enumerate(order)], "column string, step int")
+    steps = local_table(df.sparkSession, [(c, i + 1) for i, c in enumerate(order)], "column string, step int")
     joined = steps.join(lost, F.col("step") == F.col("_at"), "left").select("column", "step", F.coalesce("_k", F.lit(0)).alias("removed"))
     # one row per column
     return joined.withColumn("cumulative_removed", F.sum("removed").over(Window.orderBy("step")))
@@ -101,7 +102,7 @@ def greedy_removal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         patterns = patterns.filter(~_q(pick))
         left.remove(pick)
     rows = [(i + 1, c, int(k), round(k / total * 100, 1) if total else 0.0, int(g), round(g / total * 100, 1) if total else 0.0) for i, (c, k, g) in enumerate(out)]
-    return spark.createDataFrame(rows, "step int, column string, removed long, removed_pct double, cumulative_removed long, cumulative_pct double")
+    return local_table(spark, rows, "step int, column string, removed long, removed_pct double, cumulative_removed long, cumulative_pct double")
 
 
 def prefix_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
