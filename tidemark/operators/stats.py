@@ -343,11 +343,11 @@ def improving_removals(df: DataFrame, keys: Sequence[str], x: str, y: str, tie:
         "n": ("sum", F.lit(1).cast("long")), "sx": ("sum", vx), "sy": ("sum", vy), "sxy": ("sum", vx * vy), "sxx": ("sum", vx * vx), "syy": ("sum", vy * vy)})
     rest = sums.join(fit, list(keys)).filter(F.col("n") <= F.floor(F.col("_t") * share))
     r2 = _r_squared((F.col("_t") - F.col("n")).cast("double"), *[F.col(f"t_{c}") - F.col(c) for c in LINE_SUMS[1:]])
-    best = rest.withColumn("r2", r2).groupBy(*keys).agg(F.max_by(F.struct(F.col("n").alias("removed"), "r2"), F.struct(F.round("r2", 9), -F.col("n"))).alias("_b"))
+    best = rest.withColumn("r2", r2).groupBy(*keys).agg(F.max_by(F.struct(F.col("n").alias("removed"), "r2"), F.struct(F.round("r2", 9), -F.col("n"))).alias("_best"))
     start = fit.withColumn("initial_r2", _r_squared(F.col("_t").cast("double"), *[F.col(f"t_{c}") for c in LINE_SUMS[1:]]))
     joined = start.join(best, list(keys), "left")
-    better = F.coalesce(F.col("_b.r2") > F.col("initial_r2"), F.lit(False))
-    return joined.select(*keys, "initial_r2", F.when(better, F.col("_b.removed")).otherwise(0).alias("removed"), F.when(better, F.col("_b.r2")).otherwise(F.col("initial_r2")).alias("best_r2"))
+    better = F.coalesce(F.col("_best.r2") > F.col("initial_r2"), F.lit(False))
+    return joined.select(*keys, "initial_r2", F.when(better, F.col("_best.removed")).otherwise(0).alias("removed"), F.when(better, F.col("_best.r2")).otherwise(F.col("initial_r2")).alias("best_r2"))
 
 
 def drop_low_contribution(df: DataFrame, x: str, y: str, *, times: float = 2.0) -> DataFrame:

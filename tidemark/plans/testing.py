@@ -49,8 +49,9 @@ def _(t):
 
 SOFT = BINS + """,
 ce AS (SELECT flag, unnest(range(0, len(edges) - 1)) AS bin, edges, 0.1::DOUBLE * (edges[-1] - edges[1]) AS h FROM eg),
-wt AS (SELECT xy.flag, id, y, ce.bin, exp(-((y - (edges[bin + 1] + edges[bin + 2]) / 2) ** 2) / (2 * h * h)) AS w FROM xy JOIN ce USING (flag)),
-mb AS (SELECT flag, id, y, bin, w / sum(w) OVER (PARTITION BY flag, id) AS m FROM wt)
+xr AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM xy),
+wt AS (SELECT xr.flag, id, rid, y, ce.bin, exp(-((y - (edges[bin + 1] + edges[bin + 2]) / 2) ** 2) / (2 * h * h)) AS w FROM xr JOIN ce USING (flag)),
+mb AS (SELECT flag, id, y, bin, w / sum(w) OVER (PARTITION BY rid) AS m FROM wt)
 """
 
 
@@ -115,8 +116,8 @@ def _(t):
     return st.pair_analysis(column_pairs(t.lineitem, MEASURES))
 
 
-@query("all_pair_ranks", "L17 L12", "WITH " + ", ".join(f"r_{c} AS (SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r FROM lineitem)" for c in MEASURES) + " " +
-       " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, round(corr(p.r, q.r), 6) AS spearman FROM r_{a} p JOIN r_{b} q USING (l_orderkey, l_linenumber)" for i, a in enumerate(MEASURES) for b in MEASURES[i + 1:]))
+@query("all_pair_ranks", "L17 L12", "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in MEASURES) + " FROM lineitem) " +
+       " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, round(corr({a}, {b}), 6) AS spearman FROM r" for i, a in enumerate(MEASURES) for b in MEASURES[i + 1:]))
 def _(t):
     out = st.spearman(column_pairs(t.lineitem, MEASURES, ordered=False), ["x", "y"], "vx", "vy")
     return out.select("x", "y", "n", F.round("spearman", 6).alias("spearman"))
