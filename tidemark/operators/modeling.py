@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -235,13 +236,16 @@ def principal_components(df: DataFrame, columns: Sequence[str], k: int) -> DataF
 
 
 def singular_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """Largest singular values of the standardised rows."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = _vector(df.dropna(subset=list(columns)), columns, standardise=True).select(vector_to_array("features").alias("v"))
-    s = RowMatrix(rows.rdd.map(lambda r: Vectors.dense(r["v"]))).computeSVD(min(k, len(columns))).s
-    return local_table(df.sparkSession, [(i + 1, float(v)) for i, v in enumerate(s)], "component int, singular_value double")
+    """Largest singular values of the standardised rows, from one aggregate of all column correlations."""
+    complete = df.dropna(subset=list(columns))
+    d = len(columns)
+    row = complete.agg(F.count(F.lit(1)).alias("n"), *[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i in range(d) for j in range(i)]).first()
+    gram = np.eye(d)
+    for i in range(d):
+        for j in range(i):
+            gram[i, j] = gram[j, i] = row[f"r{i}_{j}"]
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(gram)[::-1], 0) * (row["n"] - 1))
+    return local_table(df.sparkSession, [(i + 1, float(v)) for i, v in enumerate(values[:k])], "component int, singular_value double")
 
 
 def compare_formulas(df: DataFrame, target: str, formulas: dict[str, Sequence[str]]) -> DataFrame:
