@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +12,13 @@ from pyspark.sql import functions as F
 from .timeline import Timeline, running
 
 GROUP_LIMIT = 1_000_000
-BINS = 256
+FEWEST_BINS, MOST_BINS = 64, 4096
+
+
+def bins_for(df: DataFrame, bins: int | None) -> int:
+    """Value chunks per key: as many as the cluster has shuffle partitions, so a hot key spreads over all of it."""
+    wanted = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted if bins else min(max(wanted, FEWEST_BINS), MOST_BINS)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -19,23 +26,30 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def value_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int = BINS) -> DataFrame:
+def value_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = None) -> DataFrame:
     """Per key, ascending cut points that split the values into about equal shares (a mergeable sketch)."""
-    cuts = [i / bins for i in range(1, bins)]
-    sketch = F.percentile_approx(value, cuts, bins * 40)
+    count = bins_for(df, bins)
+    cuts = [i / count for i in range(1, count)]
+    sketch = F.percentile_approx(value, cuts, max(count * 8, 1000))
     return df.groupBy(*keys).agg(F.array_distinct(sketch).alias("_edges"))
 
 
-def with_value_chunk(df: DataFrame, keys: Sequence[str], value: str, bins: int = BINS, name: str = "_bin") -> DataFrame:
+def with_value_chunk(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = None, name: str = "_bin") -> DataFrame:
     """Add a chunk number that never decreases with ``value``; equal values always share a chunk."""
     edges = value_edges(df, keys, value, bins)
-    joined = df.join(edges, list(keys), "left") if keys else df
+    # two short searches: which stretch of edges, then which edge in it
+    stride = math.isqrt(bins_for(df, bins))
+    strides = F.sequence(F.lit(stride), F.greatest(F.size("_edges"), F.lit(stride)), F.lit(stride))
+    coarse = F.array_compact(F.transform(strides, lambda i: F.get("_edges", i - 1)))
+    joined = df.join(edges.withColumn("_coarse", coarse), list(keys), "left")
     v = F.col(value)
-    below = F.size(F.filter("_edges", lambda e: e < v))
-    return joined.withColumn(name, F.coalesce(below, F.lit(0)).cast("long")).drop("_edges")
+    stretch = F.size(F.filter("_coarse", lambda e: e < v))
+    inside = F.size(F.filter(F.slice("_edges", F.col("_stretch") * stride + 1, F.lit(stride)), lambda e: e < v))
+    out = joined.withColumn("_stretch", stretch).withColumn(name, F.coalesce(F.col("_stretch") * stride + inside, F.lit(0)).cast("long"))
+    return out.drop("_edges", "_coarse", "_stretch")
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *, bins: int = BINS) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *, bins: int | None = None) -> DataFrame:
     """One row per key and distinct value: ``n`` copies, ``rank_min``, ``rank_avg`` (ties averaged), ``rank_max``.
 
     Copies are counted before anything is ordered, so ties cost one row; the
@@ -92,7 +106,7 @@ def _small_groups(df: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
     return out.select(*keys, *columns)
 
 
-def _large_groups(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str, bins: int) -> DataFrame:
+def _large_groups(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str, bins: int | None) -> DataFrame:
     rows = with_value_chunk(df.select(*keys, value), keys, value, bins)
     per_bin = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,7 +153,7 @@ def exact_quantiles(
     *,
     method: str = "linear",
     limit: int = GROUP_LIMIT,
-    bins: int = BINS,
+    bins: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group as columns named by ``probs``.
 

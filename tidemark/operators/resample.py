@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -29,78 +29,92 @@ def split_epochs(df: DataFrame, keys: Sequence[str], sample: str, length: int, s
     return joined.filter(first <= last).withColumn("epoch", F.explode(F.sequence(first, last))).drop("_total")
 
 
-NO_STATE = -1
+class _ExitMap:
+    """Where a chunk leaves every state it may be entered with; the last entry stands for "nothing kept yet"."""
 
+    def __init__(self, modulus: int):
+        self.modulus = modulus
+        self.holders = [[s] for s in range(modulus)]
+        self.fresh_waiting = True
 
-def _walk_counter(counter: np.ndarray, modulus: int, state: int) -> tuple[np.ndarray, int]:
-    keep = np.zeros(len(counter), dtype=bool)
-    for i, c in enumerate(counter):
-        if state == NO_STATE or c == (state + 1) % modulus:
-            keep[i], state = True, int(c)
-    return keep, state
+    def step(self, c: int) -> None:
+        before = (c - 1) % self.modulus
+        if before != c:
+            moved, self.holders[before] = self.holders[before], []
+            self.holders[c] += moved
+        if self.fresh_waiting:
+            self.holders[c].append(self.modulus)
+            self.fresh_waiting = False
 
-
-def _chunk_exits(counter: np.ndarray, modulus: int) -> list[int]:
-    """Exit state for every state a chunk may be entered with (the last entry is "nothing kept yet")."""
-    holders: list[list[int]] = [[s] for s in range(modulus)]
-    fresh = modulus
-    entered = int(counter[0])
-    for i, c in enumerate(counter):
-        c = int(c)
-        before = (c - 1) % modulus
-        moved, holders[before] = holders[before], []
-        if modulus == 1:
-            holders[c] = moved
-        else:
-            holders[c] = holders[c] + moved if len(holders[c]) >= len(moved) else moved + holders[c]
-        if i == 0:
-            holders[entered].append(fresh)
-    exits = [0] * (modulus + 1)
-    for state, who in enumerate(holders):
-        for w in who:
-            exits[w] = state
-    return exits
+    def exits(self) -> list[int]:
+        out = [self.modulus] * (self.modulus + 1)
+        for state, who in enumerate(self.holders):
+            for w in who:
+                out[w] = state
+        return out
 
 
 def drop_out_of_order(df: DataFrame, keys: Sequence[str], arrival: str, counter: str, *, modulus: int = 256, chunk: int = 1_000_000) -> DataFrame:
     """Keep a row only when its wrapping counter follows the last *kept* row's; the first row is kept.
 
     The rule is sequential, but its whole state is one counter value.  So each
-    chunk first reports where it would leave every possible state, those small
-    maps are composed per key, and each chunk is then filtered knowing the state
-    it starts with.  No key is walked by one task.
+    chunk of arrival numbers first reports where it would leave every possible
+    state, those small maps are composed per key, and each chunk is then walked
+    knowing the state it starts with.  Sorted partitions are streamed through
+    Python batch by batch: no key and no chunk is ever held whole.
     """
     keys = list(keys)
+    part = [*keys, "_part"]
     base = df.withColumn("_part", F.floor(F.col(arrival) / chunk).cast("long"))
     key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(arrival)
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"_part": [pdf["_part"].iloc[0]]}
-        return pd.DataFrame(row | {"_exits": [_chunk_exits(pdf[counter].to_numpy(), modulus)]})
-
-    maps = base.select(*keys, "_part", arrival, counter).groupBy(*keys, "_part").applyInPandas(exits, f"{key_types}, _part long, _exits array<int>")
-    # composing maps: per key one small row per chunk, folded in chunk order by one running aggregate
-    composed = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_part", "_exits"))).alias("_maps"))
-    fresh = F.lit(modulus)
-    states = F.aggregate(
-        "_maps",
-        F.struct(fresh.alias("state"), F.array().cast("array<struct<part:bigint,state:int>>").alias("seen")),
-        lambda acc, m: F.struct(
-            F.get(m["_exits"], acc["state"]).alias("state"),
-            F.array_append(acc["seen"], F.struct(m["_part"].alias("part"), acc["state"].alias("state"))).alias("seen"),
-        ),
-    )
-    entry = composed.select(*keys, F.inline(states["seen"])).select(*keys, F.col("part").alias("_part"), F.col("state").alias("_state"))
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, walk = None, None
+        for pdf in batches:
+            done = []
+            for who, c in zip(zip(*[pdf[k] for k in part]), pdf[counter]):
+                if who != now:
+                    if now is not None:
+                        done.append((*now, walk.exits()))
+                    now, walk = who, _ExitMap(modulus)
+                walk.step(int(c))
+            if done:
+                yield pd.DataFrame(done, columns=[*part, "_exits"])
+        if now is not None:
+            yield pd.DataFrame([(*now, walk.exits())], columns=[*part, "_exits"])
+
+    def sorted_chunks(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*part).sortWithinPartitions(*part, arrival)
+
+    maps = sorted_chunks(base.select(*part, arrival, counter)).mapInPandas(exits, f"{key_types}, _part long, _exits array<int>")
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, modulus
+        for pdf in batches:
+            states = []
+            for who, leaves in zip(zip(*[pdf[k] for k in keys]), pdf["_exits"]):
+                if who != now:
+                    now, state = who, modulus
+                states.append(state)
+                state = int(leaves[state])
+            yield pdf[part].assign(_state=states)
+
+    # one map per chunk: a key has as many as its rows / chunk
+    entry = maps.repartition(*keys).sortWithinPartitions(*part).mapInPandas(compose, f"{key_types}, _part long, _state int")
     schema = df.schema
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(arrival)
-        state = int(pdf["_state"].iloc[0])
-        kept, _ = _walk_counter(pdf[counter].to_numpy(), modulus, NO_STATE if state == modulus else state)
-        return pdf.loc[kept, schema.names]
-
-    return base.join(entry, [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(keep, schema)
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, modulus
+        for pdf in batches:
+            kept = np.zeros(len(pdf), dtype=bool)
+            for i, (who, c, start) in enumerate(zip(zip(*[pdf[k] for k in part]), pdf[counter], pdf["_state"])):
+                if who != now:
+                    now, state = who, int(start)
+                if state == modulus or c == (state + 1) % modulus:
+                    kept[i], state = True, int(c)
+            yield pdf.loc[kept, schema.names]
+
+    return sorted_chunks(base.join(entry, part)).mapInPandas(keep, schema)
 
 
 def find_gaps(df: DataFrame, line: Timeline, longer_than: int) -> DataFrame:

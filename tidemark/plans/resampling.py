@@ -65,7 +65,7 @@ SELECT user_id, event_id, c FROM e JOIN walk USING (user_id, event_id)
 """)
 def _(t):
     rows = t.events.select("user_id", "event_id", (F.get_json_object("props", "$.k").cast("long") % 4).alias("c"))
-    return rs.drop_out_of_order(rows, ["user_id"], "event_id", "c", modulus=4, chunk=5_000)
+    return rs.drop_out_of_order(rows, ["user_id"], "event_id", "c", modulus=4, chunk=50_000)
 
 
 LAGGED = "SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events"
