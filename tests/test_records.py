@@ -143,3 +143,24 @@ def test_small_groups_are_reported_but_left_out_of_the_f_test(spark):
     rows = [(1, g, float(v)) for g, n in (("a", 5), ("b", 6), ("c", 4)) for v in range(n)]
     r = st.anova(spark.createDataFrame(rows, "k long, g string, v double"), ["k"], "g", "v").first()
     assert (r["groups_seen"], r["groups"], r["n"]) == (3, 2, 11)
+
+
+def test_dominance_by_brute_force_and_over_chunks(spark):
+    from tidemark.operators.dominance import dominated, kendall, distance_correlation
+
+    rnd = np.random.default_rng(2)
+    x, y = rnd.integers(0, 30, 500).astype(float), rnd.integers(0, 40, 500).astype(float)
+    got = dominated(x, y, np.ones((500, 1)))[:, 0]
+    assert got.tolist() == [int(((x < a) & (y < b)).sum()) for a, b in zip(x, y)]
+    # one x value holds a third of the rows
+    x[:170] = 7.0
+    y = y + x * 0.3
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x, "y": y}))
+    sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (sx * sy).sum() / np.sqrt((sx != 0).sum() * (sy != 0).sum())
+    assert abs(kendall(df, ["k"], "x", "y", bins=6).first()["tau"] - want) < 1e-12
+    a, b = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    a = a - a.mean(0) - a.mean(1)[:, None] + a.mean()
+    b = b - b.mean(0) - b.mean(1)[:, None] + b.mean()
+    want = np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean()))
+    assert abs(distance_correlation(df, ["k"], "x", "y", bins=6).first()["distance_correlation"] - want) < 1e-9

@@ -227,3 +227,35 @@ def _(t):
 @query("target_against_all", "L39", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, round(corr({c}, l_extendedprice), 6) AS r FROM lineitem WHERE {c} IS NOT NULL" for c in ("l_quantity", "l_discount", "l_tax")))
 def _(t):
     return st.target_against_all(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).withColumn("r", F.round("r", 6))
+
+
+PQ = "pq AS (SELECT event_type AS flag, value AS x, CAST(json_extract(props, '$.k') AS DOUBLE) AS y, event_id AS id FROM events)"
+
+
+def _pq(t):
+    return t.events.select(F.col("event_type").alias("flag"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+
+
+@query("kendall_tau", "L13 L37", f"WITH {PQ}," + """
+s AS (SELECT a.flag, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, count(*) FILTER (a.x <> b.x) AS dx, count(*) FILTER (a.y <> b.y) AS dy FROM pq a JOIN pq b ON a.flag = b.flag AND a.id < b.id GROUP BY a.flag),
+n AS (SELECT flag, count(*) AS n FROM pq GROUP BY flag), t AS (SELECT flag, n, s / sqrt(dx::DOUBLE * dy) AS tau FROM s JOIN n USING (flag))
+SELECT flag, n, round(tau, 9) AS tau, round(2 * tau / (1 - tau), 9) AS clayton, round(1 / (1 - tau), 9) AS gumbel FROM t
+""")
+def _(t):
+    from ..operators.dominance import archimedean_parameters, kendall
+
+    out = archimedean_parameters(kendall(_pq(t), ["flag"], "x", "y"))
+    return out.select("flag", "n", *[F.round(c, 9).alias(c) for c in ("tau", "clayton", "gumbel")])
+
+
+@query("distance_correlation", "L14", f"WITH {PQ}," + """
+d AS (SELECT a.flag, a.id AS i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM pq a JOIN pq b ON a.flag = b.flag),
+r AS (SELECT flag, i, sum(dx) AS a, sum(dy) AS b, sum(dx * dy) AS ab, sum(dx * dx) AS aa, sum(dy * dy) AS bb, count(*)::DOUBLE AS n FROM d GROUP BY flag, i),
+g AS (SELECT flag, max(n) AS n, sum(ab) / max(n) ** 2 + sum(a) * sum(b) / max(n) ** 4 - 2 * sum(a * b) / max(n) ** 3 AS c, sum(aa) / max(n) ** 2 + sum(a) ** 2 / max(n) ** 4 - 2 * sum(a * a) / max(n) ** 3 AS vx,
+  sum(bb) / max(n) ** 2 + sum(b) ** 2 / max(n) ** 4 - 2 * sum(b * b) / max(n) ** 3 AS vy FROM r GROUP BY flag)
+SELECT flag, CAST(n AS BIGINT) AS n, round(sqrt(greatest(c / sqrt(vx * vy), 0)), 6) AS distance_correlation FROM g
+""")
+def _(t):
+    from ..operators.dominance import distance_correlation
+
+    return distance_correlation(_pq(t), ["flag"], "x", "y").withColumn("distance_correlation", F.round("distance_correlation", 6))
