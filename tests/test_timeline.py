@@ -100,6 +100,9 @@ def test_interval_join_equals_nested_loop(spark):
     got = [(x["l"]["a"], x["r"]["b"]) for x in rj.interval_join(l, r, ["k"], ("s", "e"), ("s", "e"), width=10).collect()]
     want = [(a, b) for k, a, s, e in left for q, b, t, f in right if k == q and s <= f and t <= e]
     assert sorted(got) == sorted(want)
+    bounded = rj.interval_join(l.filter("e - s <= 40"), r, ["k"], ("s", "e"), ("s", "e"), width=10, left_longest=40)
+    short = [(a, b) for k, a, s, e in left if e - s <= 40 for q, b, t, f in right if k == q and s <= f and t <= e]
+    assert sorted((x["l"]["a"], x["r"]["b"]) for x in bounded.collect()) == sorted(short)
 
 
 def test_points_in_intervals_once_each(spark):

@@ -27,7 +27,7 @@ def removed_share(epochs: DataFrame, artifacts: DataFrame, keys: Sequence[str],
     """Percent of each epoch's samples inside artifacts, overlaps of artifacts counted twice; ``end`` exclusive."""
     spans = epochs.withColumn("_last", F.col(first) + length - 1)
     cut = artifacts.select(*keys, start, (F.col(end) - 1).alias("_end"))
-    met = interval_join(spans.select(*keys, first, "_last"), cut, keys, (first, "_last"), (start, "_end"), width=length)
+    met = interval_join(spans.select(*keys, first, "_last"), cut, keys, (first, "_last"), (start, "_end"), width=length, left_longest=length)
     l, r = F.col("l"), F.col("r")
     shared = F.least(l["_last"], r["_end"]) - F.greatest(l[first], r[start]) + 1
     lost = met.groupBy(*[l[k].alias(k) for k in keys], l[first].alias(first)).agg((F.sum(shared) * 100 / length).alias("removed_pct"))

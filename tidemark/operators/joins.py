@@ -45,7 +45,7 @@ def match_events(epochs: DataFrame, events: DataFrame, keys: Sequence[str], *, e
                              is_long.alias("_long"), F.col(order).alias("_order"), F.struct(*keep).alias("_kept"))
     l, r = F.col("l"), F.col("r")
     touching = ~r["_long"] | ((l["_end"] > r["_from"]) & (l[epoch_at] < r["_to"]))
-    met = interval_join(spans, happened, keys, (epoch_at, "_end"), ("_from", "_to"), width=length, where=touching)
+    met = interval_join(spans, happened, keys, (epoch_at, "_end"), ("_from", "_to"), width=length, where=touching, left_longest=length)
     first = met.groupBy(*[l[k].alias(k) for k in keys], l[epoch_at].alias(epoch_at)).agg(F.min_by(r["_kept"], r["_order"]).alias("_hit"))
     joined = epochs.join(first, [*keys, epoch_at], "left")
     return joined.select(*epochs.columns, *[F.col("_hit")[c].alias(c) for c in keep])
@@ -56,7 +56,7 @@ def event_type_flags(epochs: DataFrame, events: DataFrame, keys: Sequence[str],
     """One 0/1 column per event kind; a long event counts by its start inside the closed epoch."""
     spans = epochs.select(*keys, epoch_at, (F.col(epoch_at) + length).alias("_end"))
     points = events.filter(F.col(kind).isin(*kinds)).select(*keys, kind, F.when(is_long, F.col(since)).otherwise(F.col(at)).alias("_at"))
-    met = interval_join(spans, points, keys, (epoch_at, "_end"), ("_at", "_at"), width=length)
+    met = interval_join(spans, points, keys, (epoch_at, "_end"), ("_at", "_at"), width=length, left_longest=length)
     l, r = F.col("l"), F.col("r")
     hits = met.groupBy(*[l[k].alias(k) for k in keys], l[epoch_at].alias(epoch_at)).agg(
         *[F.max((r[kind] == k).cast("int")).alias(k) for k in kinds])
@@ -73,7 +73,7 @@ def overlap_flags(epochs: DataFrame, intervals: DataFrame, keys: Sequence[str],
     cut = intervals.select(*keys, start, end, number)
     l, r = F.col("l"), F.col("r")
     shared = F.floor((F.least(l["_end"], r[end]) - F.greatest(l[epoch_at], r[start])) / per_second)
-    met = interval_join(spans, cut, keys, (epoch_at, "_end"), (start, end), width=length, where=shared > longer_than)
+    met = interval_join(spans, cut, keys, (epoch_at, "_end"), (start, end), width=length, where=shared > longer_than, left_longest=length)
     last = met.groupBy(*[l[k].alias(k) for k in keys], l[epoch_at].alias(epoch_at)).agg(F.max_by(F.struct(r[number], r[start], r[end]), r[number]).alias("_hit"))
     w = Window.partitionBy(*keys).orderBy(epoch_at)
     out = epochs.join(last, [*keys, epoch_at], "left").withColumn("here", F.col("_hit").isNotNull())
@@ -94,7 +94,7 @@ def pair_starts_with_ends(starts: DataFrame, ends: DataFrame, keys: Sequence[str
     """For each start the first end, in ``order``, no earlier and at most ``within`` later; ends may serve twice."""
     s = starts.select(*keys, F.col(at).alias("start"), F.col(order).alias("start_order"), (F.col(at) + within).alias("_limit"))
     e = ends.select(*keys, F.col(at).alias("end"), F.col(order).alias("end_order"))
-    met = interval_join(s, e, keys, ("start", "_limit"), ("end", "end"), width=within)
+    met = interval_join(s, e, keys, ("start", "_limit"), ("end", "end"), width=within, left_longest=within)
     l, r = F.col("l"), F.col("r")
     return met.groupBy(*[l[k].alias(k) for k in keys], l["start_order"].alias("start_order")).agg(
         F.first(l["start"]).alias("start"), F.min_by(r["end"], r["end_order"]).alias("end"), F.min(r["end_order"]).alias("end_order"))
@@ -103,7 +103,7 @@ def pair_starts_with_ends(starts: DataFrame, ends: DataFrame, keys: Sequence[str
 def locked_windows(samples: DataFrame, stimuli: DataFrame, keys: Sequence[str], *, sample: str, value: str, at: str, kind: str, before: int, after: int) -> DataFrame:
     """Samples in ``[at - before, at + after)`` around each stimulus, averaged by kind and offset."""
     spans = stimuli.select(*keys, kind, F.col(at).alias("_at"), (F.col(at) - before).alias("_from"), (F.col(at) + after - 1).alias("_to"))
-    met = interval_join(samples.select(*keys, sample, value), spans, keys, (sample, sample), ("_from", "_to"), width=before + after)
+    met = interval_join(samples.select(*keys, sample, value), spans, keys, (sample, sample), ("_from", "_to"), width=before + after, right_longest=before + after)
     l, r = F.col("l"), F.col("r")
     return met.groupBy(r[kind].alias(kind), (l[sample] - r["_at"]).alias("offset")).agg(F.avg(l[value]).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 

@@ -27,7 +27,15 @@ def _own_level(span: Column, width: int) -> Column:
     return level
 
 
-def _laid_out(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int, prefix: str, *, guests: bool) -> DataFrame:
+def _level_of(span: int | None, width: int) -> int:
+    """The level an interval of that length lives on; the top one when the length is unknown."""
+    if span is None:
+        return LEVELS - 1
+    return next((i for i in range(LEVELS - 1) if span <= width * RATIO**i), LEVELS - 1)
+
+
+def _laid_out(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int, prefix: str, *, top: int) -> DataFrame:
+    """Rows once per bucket on their own level and on those above it, up to ``top``, where the other side may live."""
     own = _own_level(F.col(end) - F.col(start), width)
     packed = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))).select(
         *[F.col(k).alias(k) for k in keys],
@@ -36,8 +44,8 @@ def _laid_out(df: DataFrame, keys: Sequence[str], start: str, end: str, width: i
         F.col(end).alias(f"{prefix}_e"),
         own.alias(f"{prefix}_own"),
     )
-    top = F.lit(LEVELS - 1) if guests else F.col(f"{prefix}_own")
-    leveled = packed.withColumn("_level", F.explode(F.sequence(F.col(f"{prefix}_own"), top)))
+    own_level = F.col(f"{prefix}_own")
+    leveled = packed.withColumn("_level", F.explode(F.sequence(own_level, F.greatest(own_level, F.lit(top)))))
     span = F.element_at(F.array(*[F.lit(int(width * RATIO**i)) for i in range(LEVELS)]), F.col("_level") + 1)
     return leveled.withColumn(
         "_bucket",
@@ -54,17 +62,22 @@ def interval_join(
     *,
     width: int,
     where: Column | None = None,
+    left_longest: int | None = None,
+    right_longest: int | None = None,
 ) -> DataFrame:
     """All pairs whose closed spans meet, as struct columns ``l`` and ``r`` (plus ``where`` on them).
 
     Spans are integers of any unit (seconds, microseconds, sample numbers);
     equal names mean points.  Open or half-open bounds go into ``where``.
     ``width`` is the finest bucket: about the length of a short interval.
+    ``left_longest`` / ``right_longest`` state a length no span of that side
+    exceeds (epochs of fixed length, say) and spare the other side the levels
+    above it.
     """
-    left_points = left_span[0] == left_span[1]
-    right_points = right_span[0] == right_span[1]
-    a = _laid_out(left, keys, *left_span, width, "l", guests=not right_points)
-    b = _laid_out(right, keys, *right_span, width, "r", guests=not left_points)
+    left_top = _level_of(0 if left_span[0] == left_span[1] else left_longest, width)
+    right_top = _level_of(0 if right_span[0] == right_span[1] else right_longest, width)
+    a = _laid_out(left, keys, *left_span, width, "l", top=right_top)
+    b = _laid_out(right, keys, *right_span, width, "r", top=left_top)
     met = a.join(b, [*keys, "_level", "_bucket"])
     later = F.greatest("l_s", "r_s")
     span = F.element_at(F.array(*[F.lit(int(width * RATIO**i)) for i in range(LEVELS)]), F.col("_level") + 1)
