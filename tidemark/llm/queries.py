@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing
+from tidemark.llm import chat, mixing, packing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -115,8 +115,16 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN seats s ON s.source_key = p.source_key AND s.shard = p.shard
 """
 
+def op3_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_pack_documents": op3_pack_documents,
     "op7_mix_sources": op7_mix_sources,
 }
 TWINS = {
