@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, packing
+from tidemark.llm import chat, exactdedup, mixing, packing
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -122,12 +122,28 @@ def op3_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = exactdedup.dedup_against_snapshot(table(spark, folder, "documents"), exactdedup.in_batch())
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+OP9_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_pack_documents": op3_pack_documents,
     "op7_mix_sources": op7_mix_sources,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 TWINS = {
     "op1_chat_formatting": OP1_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op9_exact_dedup": OP9_SQL,
 }
