@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exactdedup, mixing, packing, quality, toxicity
+from tidemark.llm import chat, exactdedup, mixing, packing, quality, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -136,6 +136,24 @@ FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LA
 """
 
 
+def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, folder, "embeddings"), scale=64)
+    return topk.exact_top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+OP4_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -147,6 +165,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_pack_documents": op3_pack_documents,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
@@ -154,6 +173,7 @@ QUERIES = {
 }
 TWINS = {
     "op1_chat_formatting": OP1_SQL,
+    "op4_exact_top_k": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
 }

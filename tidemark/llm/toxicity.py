@@ -89,7 +89,7 @@ class Scorer:
 def telling_features(texts: list[Counter], toxic: np.ndarray, most: int = FIT_WORDS) -> list[str]:
     """Features whose likelihood ratio against independence exceeds what the best of so many words would reach by chance.
 
-    The strongest come first, and a feature that shares its beginning with a chosen one adds nothing new.
+    The strongest come first, and a feature that continues a chosen one, or is hardly more common than its chosen continuation, adds nothing new.
     """
     every, bad, words = Counter(), Counter(), set()
     for text, y in zip(texts, toxic):
@@ -112,14 +112,14 @@ def telling_features(texts: list[Counter], toxic: np.ndarray, most: int = FIT_WO
                  + term(n1 - k, (total - n) * n1 / total + 1e-9) + term(n0 - n + k, (total - n) * n0 / total + 1e-9))
     # only signs of toxicity: what is merely rarer in toxic texts tells the kind of text
     good = np.flatnonzero((ratio > 2 * np.log(len(words))) & (k / n > n1 / total))
-    chosen, beginnings, stems = [], set(), set()
-    for i in sorted(good, key=lambda i: (-ratio[i], names[i])):
+    chosen, beginnings, stems = [], {}, set()
+    for i in sorted(good, key=lambda i: (-ratio[i], -len(names[i]), names[i])):
         stem = names[i].rstrip("*")
-        if stem in beginnings or any(stem[:j] in stems for j in range(1, len(stem) + 1)):
+        if n[i] <= 1.2 * beginnings.get(stem, 0) or any(stem[:j] in stems for j in range(1, len(stem) + 1)):
             continue
         chosen.append(names[i])
         stems.add(stem)
-        beginnings.update(stem[:j] for j in range(1, len(stem) + 1))
+        beginnings.update({stem[:j]: max(n[i], beginnings.get(stem[:j], 0)) for j in range(1, len(stem) + 1)})
     return chosen[:most]
 
 
