@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exactdedup, mixing, packing, quality, topk, toxicity
+from tidemark.llm import chat, exactdedup, jaccard, mixing, packing, quality, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -158,6 +158,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "copy_of", "n_links", "kept")
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -168,6 +172,7 @@ QUERIES = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
