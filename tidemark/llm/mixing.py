@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_of
+from tidemark.llm.common import stored, text_of, with_rows
 
 #: Words of a block, words of a shard, and how often a word may be taken.
 BLOCK_WORDS, SHARD_WORDS, MOST_REPEATS = 16, 1 << 18, 3
-#: A prime above the blocks of any shard: multiplying by it permutes block numbers.
-_STRIDE = 1_000_000_007
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
@@ -75,30 +73,32 @@ def apportion(rows: DataFrame, group: list[str], share: str, limit: str, total:
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix", block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Per document ``doc_id, source, size, source_size, target, taken``: words it has and words the mix takes of it.
+    """Per document ``doc_id, source, size, source_size, target, taken, _file, _at``: words it has and words the mix takes of it.
 
     Each source is dealt by a seeded hash into shards of about ``shard_words`` words, each shard's documents stand in
     seeded order, and their words form blocks of ``block_words``. Blocks are apportioned to sources by target, then to
-    a source's shards by words. A shard takes all its blocks as often as its quota goes round and a seeded choice of
-    them once more. So no word is taken more than three times, every source comes within a few blocks of its target,
-    and reruns agree. A hot source only has more shards.
+    a source's shards by words. A shard takes all its blocks as often as its quota goes round, and once more those that
+    follow a seeded one, going round; since documents stand in seeded order, nearly all are taken whole. So no word is
+    taken more than three times, every source comes within a few blocks of its target, and reruns agree. A hot source
+    only has more shards.
 
     Null text has size 0, null source is a source of its own (last), a null doc_id hashes as empty text, and rows that
     repeat count one by one. A table without words takes nothing. Other columns are left out.
     """
     size = F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = with_rows(docs).select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), "_file", "_at")
     sized = stored(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = stored(source_targets(sources, weights).withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long")), "sources")
 
-    def drawn(purpose: str):
-        return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{purpose}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+    def drawn(purpose: str, *of: Column) -> Column:
+        words = [F.coalesce(c.cast("string"), F.lit("")) for c in of]
+        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(purpose), *words).cast("binary")), 1, 15), 16, 10).cast("long")
 
     named = sources.withColumnRenamed("source", "of_source")
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    placed = placed.withColumns({"shard": F.pmod(drawn("shard"), F.col("shards")), "draw": drawn("order")})
-    line = Window.partitionBy("source", "shard").orderBy("draw", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumns({"shard": F.pmod(drawn("shard", F.col("doc_id")), F.col("shards")), "draw": drawn("order", F.col("doc_id"))})
+    line = Window.partitionBy("source", "shard").orderBy("draw", F.col("doc_id").isNull(), "doc_id", "size", "_file", "_at").rowsBetween(Window.unboundedPreceding, 0)
     placed = stored(placed.withColumn("start", F.sum("size").over(line) - F.col("size")).drop("draw", "shards"), "places")
 
     shards = placed.groupBy("source", F.col("shard").alias("key")).agg(F.sum("size").alias("words"))
@@ -118,12 +118,21 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed:
         "rounds": F.when(F.col("blocks") > 0, F.floor(F.col("seats") / F.col("blocks"))).otherwise(0).cast("long"),
         "extra": F.when(F.col("blocks") > 0, F.col("seats") % F.col("blocks")).otherwise(0).cast("long"),
     })
-    end = F.col("start") + F.col("size")
+    # once more: blocks [from, from + extra), going round at the shard's last block
+    rows = rows.withColumn("from", F.when(F.col("blocks") > 0, F.pmod(drawn("start", F.col("source"), F.col("shard")), F.col("blocks"))).otherwise(0))
+    stop = F.col("from") + F.col("extra")
 
-    def once_more(total, b):
-        chosen = (b * _STRIDE + F.col("shard") * 7919) % F.col("blocks") < F.col("extra")
-        return total + F.when(chosen, F.least((b + 1) * block_words, end) - F.greatest(b * block_words, F.col("start"))).otherwise(0)
+    def inside(low: Column, high: Column) -> Column:
+        return F.greatest(F.least(high * block_words, F.col("start") + F.col("size")) - F.greatest(low * block_words, F.col("start")), F.lit(0))
 
-    span = F.sequence(F.floor(F.col("start") / block_words).cast("long"), F.floor((end - 1) / block_words).cast("long"))
-    more = F.when(F.col("size") > 0, F.aggregate(span, F.lit(0).cast("long"), once_more)).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + more).cast("long").alias("taken"))
+    more = inside(F.col("from"), F.least(stop, F.col("blocks"))) + inside(F.lit(0), stop - F.col("blocks"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + more).cast("long").alias("taken"), "_file", "_at")
+
+
+def mixed_documents(docs: DataFrame, **mix) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns: whole documents, so the few that the mix
+    takes in part count to the nearest whole. What is not taken, texts without words too, is gone."""
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mix_sources(docs, **mix).filter((F.col("size") > 0) & (F.col("taken") > 0)).select(F.col("_file").alias("t_file"), F.col("_at").alias("t_at"), times.alias("t_times"))
+    rows = with_rows(docs).join(taken.filter("t_times > 0"), (F.col("_file") == F.col("t_file")) & (F.col("_at") == F.col("t_at")))
+    return rows.withColumn("t_copy", F.explode(F.sequence(F.lit(1), F.col("t_times")))).select(*docs.columns)

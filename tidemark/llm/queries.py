@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exactdedup, jaccard, mixing, packing, quality, topk, toxicity
+from tidemark.llm import chat, exactdedup, jaccard, licenses, linededup, mixing, packing, quality, topk, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,12 +109,49 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target,
        (CASE WHEN blocks > 0 THEN (seats // blocks) * size ELSE 0 END
-        + CASE WHEN size > 0 THEN coalesce(list_sum(list_transform(range(start // {mixing.BLOCK_WORDS}, (start + size - 1) // {mixing.BLOCK_WORDS} + 1), lambda b:
-            CASE WHEN (b * 1000000007 + p.shard * 7919) % blocks < seats % blocks
-                 THEN least((b + 1) * {mixing.BLOCK_WORDS}, start + size) - greatest(b * {mixing.BLOCK_WORDS}, start) ELSE 0 END)), 0) ELSE 0 END)::BIGINT AS taken
-FROM placed p JOIN seats s ON s.source_key = p.source_key AND s.shard = p.shard
+        + greatest(least(least(first + extra, blocks) * {mixing.BLOCK_WORDS}, start + size) - greatest(first * {mixing.BLOCK_WORDS}, start), 0)
+        + greatest(least((first + extra - blocks) * {mixing.BLOCK_WORDS}, start + size) - greatest(0, start), 0))::BIGINT AS taken
+FROM placed p JOIN (
+  SELECT *, CASE WHEN blocks > 0 THEN seats % blocks ELSE 0 END AS extra FROM seats
+) s ON s.source_key = p.source_key AND s.shard = p.shard, LATERAL (
+  SELECT CASE WHEN blocks > 0 THEN ('0x' || substr(md5('mix|start|' || coalesce(source, '') || '|' || p.shard), 1, 15))::BIGINT % blocks ELSE 0 END AS first
+)
+"""
+
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = licenses.scan_licenses(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP2_SQL = rf"""
+WITH parts AS (
+  SELECT doc_id, list_filter(list_transform(
+           string_split(lower(regexp_replace(coalesce(text, ''), '[.!?:;](\s|$)|[\r\n]', chr(1) || '\1', 'g')), chr(1)),
+           lambda s: trim(regexp_replace(s, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda s: s <> '') AS sentences
+  FROM documents
+), lines AS (
+  SELECT doc_id, len(sentences) AS n_sentences, list_transform(sentences, lambda s, i: {{'place': i, 'id': map_extract_value(known, s)}}) AS all_lines
+  FROM parts, (SELECT MAP {{{", ".join(f"{_quoted(v)}: {_quoted(k)}" for k, v in licenses.SENTENCES.items())}}} AS known)
+), hits AS (
+  SELECT doc_id, n_sentences, list_filter(all_lines, lambda h: h.id IS NOT NULL) AS hits FROM lines
+), chains AS (
+  SELECT doc_id, n_sentences, list_transform(hits, lambda h: h.id) AS ids, array_to_string(list_transform(hits, lambda h, i:
+           CASE WHEN i = 1 OR h.place - hits[i - 1].place > {licenses.GAP + 1} THEN '!' ELSE '' END || '<' || h.id || '>'), '') AS chain FROM hits
+)
+SELECT doc_id, n_sentences, array_to_string(ids, ' ') AS sentence_ids,
+       array_to_string(list_sort(list_distinct(list_filter([{", ".join(f"CASE WHEN contains(chain, {_quoted(''.join(f'<{i}>' for i in ids))}) THEN {_quoted(name)} END" for name, ids in licenses.RULES)}], lambda l: l IS NOT NULL))), ' ') AS licenses
+FROM chains
 """
 
+
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.remove_repeated_chunks(table(spark, folder, "documents"))
+
+
 def op3_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -168,9 +205,11 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_license_scan": op2_license_scan,
     "op3_pack_documents": op3_pack_documents,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
@@ -178,6 +217,7 @@ QUERIES = {
 }
 TWINS = {
     "op1_chat_formatting": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
     "op4_exact_top_k": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
