@@ -39,15 +39,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file`` and ``_at``, which name each stored row the same way in every read.
-
-    Rows of a Parquet scan are named by file and position. Any other table is stored first.
-    """
+def as_scan(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain scan of files, else ``docs`` stored and scanned."""
     try:
-        return docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+        docs.select("_metadata.row_index")
     except AnalysisException:
-        return with_rows(stored(docs, "rows"))
+        return stored(docs, "rows")
+    return docs
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_file`` and ``_at``, which name each stored row the same way in every read of one scan."""
+    return as_scan(docs).withColumns({"_file": F.xxhash64("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
 
 
 def text_of(name: str = "text") -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, stored, text_of, with_rows
+from tidemark.llm.common import SPACES, as_scan, stored, text_of, with_rows
 
 #: Digests per filter.
 BUCKET_KEYS = 50_000
@@ -171,7 +171,7 @@ def in_batch() -> Column:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    numbered = with_rows(docs)
-    dropped = dedup_against_snapshot(docs if "_file" not in docs.columns else docs.drop("_file", "_at"), in_batch()).filter(~F.col("kept"))
+    docs = as_scan(docs)
+    dropped = dedup_against_snapshot(docs, in_batch()).filter(~F.col("kept"))
     dropped = dropped.select(F.col("_file").alias("gone_file"), F.col("_at").alias("gone_at"))
-    return numbered.join(dropped, (F.col("_file") == F.col("gone_file")) & (F.col("_at") == F.col("gone_at")), "left_anti").select(*docs.columns)
+    return with_rows(docs).join(dropped, (F.col("_file") == F.col("gone_file")) & (F.col("_at") == F.col("gone_at")), "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_of, with_rows
+from tidemark.llm.common import as_scan, stored, text_of, with_rows
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Levels of every path and of the longest; members from which a bucket may be split further, and from which it is dealt as tiles.
@@ -335,5 +335,6 @@ def _paths(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with their columns."""
+    docs = as_scan(docs)
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("_file").alias("gone_file"), F.col("_at").alias("gone_at"))
     return with_rows(docs).join(gone, (F.col("_file") == F.col("gone_file")) & (F.col("_at") == F.col("gone_at")), "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_of, with_rows
+from tidemark.llm.common import as_scan, stored, text_of, with_rows
 
 #: Words of a block, words of a shard, and how often a word may be taken.
 BLOCK_WORDS, SHARD_WORDS, MOST_REPEATS = 16, 1 << 18, 3
@@ -132,6 +132,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), seed:
 def mixed_documents(docs: DataFrame, **mix) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns: whole documents, so the few that the mix
     takes in part count to the nearest whole. What is not taken, texts without words too, is gone."""
+    docs = as_scan(docs)
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     taken = mix_sources(docs, **mix).filter((F.col("size") > 0) & (F.col("taken") > 0)).select(F.col("_file").alias("t_file"), F.col("_at").alias("t_at"), times.alias("t_times"))
     rows = with_rows(docs).join(taken.filter("t_times > 0"), (F.col("_file") == F.col("t_file")) & (F.col("_at") == F.col("t_at")))
