@@ -10,6 +10,9 @@ and cut anew; the tail of that string is cut to powers of two, so nothing is pad
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,14 +26,21 @@ CAPACITY, SHORT = 4096, 64
 _PIECES = "doc_id long, start long, length long, doc_tokens long, class int, nth long, part int, ids binary"
 
 
+#: Texts of these characters only have one composed form, and lower case and word breaks in them are the tokenizer's.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
+#: Runs of punctuation, but for those that touch an apostrophe (a contraction may begin there) or an underscore.
+_POINTS = re.compile(r"(?<![^\w\s])(?<!_)[^\w\s'_]++(?!['_])")
+
+
 class WordIds(dict):
     """Token ids of the runs between white space, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs in order.
-    Kept runs are dropped when they become many; that only costs time.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs in order. It also
+    lowers case and parts letters from punctuation; doing so before the look-up makes most runs known. Kept runs are
+    dropped when they become many, which only costs time.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
@@ -40,15 +50,29 @@ class WordIds(dict):
         if len(self) > self.most:
             self.clear()
             self[""] = b""
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(run, add_special_tokens=False).ids)
-        self[run] = ids
-        return ids
+        ids = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        self[run] = out = ids.tobytes()
+        return out
 
     def of(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text:  # a special token keeps its case
+            text = _POINTS.sub(r" \g<0> ", text.lower())
         runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([self[run] for run in runs])
 
 
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own; it lives as long as the worker."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
+
 def cut_sizes(tokens: int, capacity: int = CAPACITY, short: int = SHORT) -> list[tuple[int, int]]:
     """(length, class) of each piece of a document, in order."""
     cuts = [(capacity, 1)] * (tokens // capacity)
@@ -66,7 +90,7 @@ def cut_sizes(tokens: int, capacity: int = CAPACITY, short: int = SHORT) -> list
 
 def _tokenize(path: str, end_id: int, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = WordIds(path), TaskContext.get().partitionId(), {}
+        words, part, seen = word_ids(path), TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
         names = [f.split()[0] for f in _PIECES.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
