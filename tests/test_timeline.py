@@ -69,21 +69,42 @@ def test_gap_islands_match_a_loop_for_both_bounds(spark):
         assert got["island"].tolist() == want
 
 
-def test_large_groups_get_the_same_quantiles(spark):
+def test_quantiles_do_not_depend_on_the_number_of_chunks(spark):
     rnd = random.Random(5)
-    rows = [(0, float(rnd.randrange(40))) for _ in range(400)] + [(1, rnd.random()) for _ in range(333)] + [(2, 1.5), (2, None)]
+    rows = [(0, float(rnd.randrange(40))) for _ in range(400)] + [(1, rnd.random()) for _ in range(333)] + [(2, 1.5), (2, None), (2, float("nan"))]
     df = spark.createDataFrame(rows, "k long, v double")
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
     for method in ("linear", "index"):
-        small = qu.exact_quantiles(df, ["k"], "v", probs, method=method).toPandas().sort_values("k").reset_index(drop=True)
-        large = qu.exact_quantiles(df, ["k"], "v", probs, method=method, limit=5, bins=9).toPandas().sort_values("k").reset_index(drop=True)
-        pd.testing.assert_frame_equal(small, large)
+        few = qu.exact_quantiles(df, ["k"], "v", probs, method=method, bins=2).toPandas().sort_values("k").reset_index(drop=True)
+        many = qu.exact_quantiles(df, ["k"], "v", probs, method=method, bins=37).toPandas().sort_values("k").reset_index(drop=True)
+        pd.testing.assert_frame_equal(few, many, check_exact=True)
+    assert few.loc[2].tolist()[1:] == [1.5] * 5
     values = np.array([v for k, v in rows if k == 0])
-    assert small.loc[0, "c"] == np.sort(values)[199:201].mean()
-    linear = qu.exact_quantiles(df, ["k"], "v", probs, limit=5, bins=9).toPandas().set_index("k")
+    assert few.loc[0, "c"] == np.sort(values)[199:201].mean()
+    linear = qu.exact_quantiles(df, ["k"], "v", probs).toPandas().set_index("k")
     assert np.allclose(linear.loc[0].to_numpy(), np.quantile(values, list(probs.values())))
 
 
+def test_ranges_expand_in_blocks(spark):
+    from tidemark.operators.timeline import exploded_range
+
+    df = spark.createDataFrame([(1, 5, 30), (2, 7, 7), (3, 9, 8)], "k long, a long, b long")
+    got = exploded_range(df, F.col("a"), F.col("b"), "n", block=3).select("k", "n").collect()
+    assert sorted(map(tuple, got)) == [(1, n) for n in range(5, 31)] + [(2, 7)]
+    # a range of 3e9 numbers: its blocks can be counted without the numbers
+    huge = spark.createDataFrame([(1,)], "k long")
+    plan = exploded_range(huge, F.lit(0), F.lit(2_999_999_999), "n")
+    assert plan.columns == ["k", "n"] and plan.filter("n < 3").limit(3).count() == 3
+
+
+def test_interval_rows_go_to_levels_that_occur(spark):
+    points = spark.createDataFrame([(1, t) for t in range(0, 100_000, 50)], "k long, t long")
+    spans = spark.createDataFrame([(1, s, s + 40) for s in range(0, 100_000, 1000)], "k long, s long, e long")
+    assert rj.levels_present(spans, "s", "e", 50) == [0]
+    laid = rj._laid_out(points, ["k"], "t", "t", 50, "p", others=rj.levels_present(spans, "s", "e", 50))
+    assert laid.count() == points.count()
+
+
 def test_ranks_average_ties(spark):
     values = [5.0, 1.0, 5.0, 2.0, 2.0, 2.0, None, 9.0]
     df = spark.createDataFrame([(0, v) for v in values], "k long, v double")

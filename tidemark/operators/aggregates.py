@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import known
 from .quantiles import exact_quantiles
+from .timeline import exploded_range
 
 # fixed values: stage groups that overlap the plain stages
 STAGE_GROUPS = {"Sleep": ["N1", "N2", "N3", "R"], "NonDeepSleep": ["W", "N1", "N2", "R"]}
@@ -26,7 +28,8 @@ def bucket_medians(df: DataFrame, keys: Sequence[str], at: str, value: str, widt
     if not keep_empty:
         return medians
     span = rows.groupBy(*keys).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
-    grid = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.lit(width).cast("long"))).alias("bucket"))
+    steps = exploded_range(span, F.lit(0), (F.col("_hi") - F.col("_lo")) / width, "_k")
+    grid = steps.select(*keys, (F.col("_lo") + F.col("_k") * width).alias("bucket"))
     return grid.join(medians, [*keys, "bucket"], "left")
 
 
@@ -47,7 +50,7 @@ def stage_percentiles(df: DataFrame, columns: Sequence[str], stage: str) -> Data
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(F.explode(groups).alias("grp"), cells.alias("_cells"))
     long = long.select("grp", F.inline("_cells")).filter(F.col("value").isNotNull())
-    shares = exact_quantiles(long, ["column", "grp"], "value", {"p10": 0.1, "p90": 0.9}, method="index")
+    shares = exact_quantiles(long, ["column", "grp"], "value", {"p10": 0.1, "p90": 0.9}, method="index", nan_counts=True)
     ends = long.groupBy("column", "grp").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     return shares.join(ends, ["column", "grp"])
 
@@ -131,7 +134,7 @@ def exceedances(df: DataFrame, columns: Sequence[str], thresholds: Sequence[floa
     Quartiles and the clipped moments are small per-column tables, broadcast
     (as many rows as columns and clip levels).
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), known(F.col(c).cast("double")).alias("v")) for c in columns])
     long = df.select(F.inline(cells)).filter("v IS NOT NULL")
     box = exact_quantiles(long, ["column"], "v", {"q1": 0.25, "q3": 0.75})
     levels = F.array(*[F.struct(F.lit(float(c) if c is not None else -1.0).alias("clip")) for c in clips])
@@ -146,8 +149,8 @@ def exceedances(df: DataFrame, columns: Sequence[str], thresholds: Sequence[floa
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles per column."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    """Count, mean, deviation, extremes and quartiles per column; NaN counts as missing."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), known(F.col(c).cast("double")).alias("v")) for c in columns])
     long = df.select(F.inline(cells)).filter("v IS NOT NULL")
     q = exact_quantiles(long, ["column"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")).join(q, "column")

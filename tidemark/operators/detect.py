@@ -193,6 +193,16 @@ def peaks_and_valleys(df: DataFrame, keys: Sequence[str], order: str, smooth: st
     return df.select(*keys, order, smooth, raw).groupBy(*keys).applyInPandas(find, f"{schema}, feature string, smooth_at {kind}, `{order}` {kind}, `{raw}` double, `{smooth}` double")
 
 
+def in_night_hours(candidates: DataFrame, at: Column, start: float, end: float, *, after: Sequence[Column] = (), before: Sequence[Column] = ()) -> DataFrame:
+    """Candidates in ``[start, end)`` hours of their day (past 24 for the next date), not before ``after`` and not after ``before`` where these are known."""
+    keep = (at >= start) & (at < end)
+    for limit in after:
+        keep = keep & F.coalesce(at >= limit, F.lit(True))
+    for limit in before:
+        keep = keep & F.coalesce(at <= limit, F.lit(True))
+    return candidates.filter(keep)
+
+
 def choose_evening_peaks(candidates: DataFrame, subject: str, day: str, hour: str, *, history: int = 3) -> DataFrame:
     """One peak per day: the last one until ``history`` days were picked, then the one nearest to the mean hour of the last picks.
 
@@ -232,7 +242,7 @@ def first_stable(df: DataFrame, keys: Sequence[str], order: str, value: str, *,
         better = item["v"] > now + step if rising else item["v"] < now - step
         return F.struct(F.when(~acc["done"] & better, item).otherwise(acc["pick"]).alias("pick"), (F.lit(False) if rising else acc["done"] | ~better).alias("done"))
 
-    settled = F.aggregate(F.slice("_items", 2, 1 << 20), start, walk)
+    settled = F.aggregate(F.slice("_items", F.lit(2), F.greatest(F.size("_items") - 1, F.lit(0))), start, walk)
     return packed.select(*keys, settled["pick"].alias("_p")).select(*keys, F.col("_p.at").alias(order), F.col("_p.v").alias(value))
 
 

@@ -42,16 +42,16 @@ def transitions(df: DataFrame, keys: Sequence[str], order: str, stage: str = "st
 
 
 def stability(moves: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Diagonal of the transition shares per stage, and its mean over deep stages and over all sleep stages."""
+    """Half-even rounded diagonal of the transition shares per stage, and its mean over deep stages and over all sleep stages."""
     at = stage_to_int(F.col("from_stage"))
     diagonal = moves.groupBy(*keys, "from_stage").agg(
         F.sum(F.when(F.col("from_stage") == F.col("to_stage"), F.col("share")).otherwise(0.0)).alias("d")
     )
     return diagonal.groupBy(*keys).agg(
-        F.round(F.avg(F.when(at >= 2, F.col("d"))), 3).alias("any_stage"),
-        *[F.round(F.max(F.when(F.col("from_stage") == s, F.col("d"))), 3).alias(n) for s, n in
+        F.bround(F.avg(F.when(at >= 2, F.col("d"))), 3).alias("any_stage"),
+        *[F.bround(F.max(F.when(F.col("from_stage") == s, F.col("d"))), 3).alias(n) for s, n in
           [("W", "wake"), ("N1", "n1"), ("N2", "n2"), ("N3", "n3"), ("R", "rem")]],
-        F.round(F.avg(F.when(at >= 1, F.col("d"))), 3).alias("sleep"),
+        F.bround(F.avg(F.when(at >= 1, F.col("d"))), 3).alias("sleep"),
     )
 
 

@@ -227,26 +227,29 @@ def baskets(rows: DataFrame, keys: Sequence[str], item: str = "item") -> DataFra
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_set(item)).alias("items"))
 
 
-def frequent_itemsets(transactions: DataFrame, items: str, min_support: float, *, longest: int = 3) -> tuple[DataFrame, int]:
-    """Item sets up to ``longest`` items with their counts, and the number of transactions."""
+def frequent_itemsets(transactions: DataFrame, items: str, min_support: float) -> tuple[DataFrame, int]:
+    """Item sets of any size with their counts, and the number of transactions."""
     from pyspark.ml.fpm import FPGrowth
 
     total = transactions.count()
     found = FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=1.0).fit(transactions.select(items)).freqItemsets
-    return found.filter(F.size("items") <= longest).select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("freq")), total
-
-
-def association_rules(itemsets: DataFrame, total: int, *, min_confidence: float = 0.0, longest: int = 3) -> DataFrame:
-    """Every split of each frequent set into antecedent and consequent, with support, confidence and lift."""
-    splits = []
-    for size in range(2, longest + 1):
-        for r in range(1, size):
-            for left in combinations(range(size), r):
-                right = [i for i in range(size) if i not in left]
-                splits.append(F.when(F.size("items") == size, F.struct(
-                    F.array(*[F.get("items", F.lit(i)) for i in left]).alias("antecedent"), F.array(*[F.get("items", F.lit(i)) for i in right]).alias("consequent"))))
-    # built-in arrays of candidates, nulls dropped: a set of three has six splits
-    cut = itemsets.filter(F.size("items") >= 2).select("freq", F.inline(F.array_compact(F.array(*splits))))
+    return found.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("freq")), total
+
+
+def association_rules(itemsets: DataFrame, total: int, *, min_confidence: float = 0.0) -> DataFrame:
+    """Every split of each frequent set into antecedent and consequent, with support, confidence and lift.
+
+    A set of n items has 2^n - 2 splits, one per bit pattern.
+    """
+    patterns = F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size(items)) - 2"))
+    cut = itemsets.filter(F.size("items") >= 2).select("freq", "items", F.explode(patterns).alias("_bits"))
+
+    def side(bit: int) -> Column:
+        picked = F.filter("_marked", lambda m: m["bit"] == bit)
+        return F.transform(picked, lambda m: m["item"])
+
+    marked = F.transform("items", lambda x, i: F.struct(x.alias("item"), F.getbit(F.col("_bits"), i).cast("int").alias("bit")))
+    cut = cut.withColumn("_marked", marked).select("freq", side(1).alias("antecedent"), side(0).alias("consequent"))
     a = itemsets.select(F.col("items").alias("antecedent"), F.col("freq").alias("_fa"))
     c = itemsets.select(F.col("items").alias("consequent"), F.col("freq").alias("_fc"))
     rules = cut.join(a, "antecedent").join(c, "consequent")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.local import local_table
+from ..functions.values import known_of, with_known
 from .quantiles import exact_quantiles
 
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
@@ -23,7 +24,8 @@ def _unpack(row: DataFrame, structs: Sequence[Column]) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str], day: str | None = None) -> DataFrame:
-    """Present, missing and percent missing per column (one pass); with ``day`` also the first and last day missing."""
+    """Present, missing (null or NaN) and percent missing per column (one pass); with ``day`` also the first and last day missing."""
+    df = with_known(df, list(columns))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(columns):
         aggs.append(F.count(_q(c)).alias(f"_p{i}"))
@@ -41,16 +43,17 @@ def missing_profile(df: DataFrame, columns: Sequence[str], day: str | None = Non
 
 
 def require_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same rows; the job fails on the first row with a null in one of the columns."""
+    """The same rows; the job fails on the first row with a null or NaN in one of the columns."""
     bad = F.lit(False)
     for c in columns:
-        bad = bad | _q(c).isNull()
+        bad = bad | known_of(df, c).isNull()
     first = columns[0]
     checked = F.when(bad, F.raise_error(F.lit("missing values in a column that must be complete")).cast(df.schema[first].dataType)).otherwise(_q(first))
     return df.withColumn(first, checked)
 
 
 def negative_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    df = with_known(df, list(columns))
     aggs = []
     for i, c in enumerate(columns):
         aggs += [F.count(_q(c)).alias(f"_n{i}"), F.count_if(_q(c) < 0).alias(f"_k{i}"), F.min(_q(c)).cast("double").alias(f"_m{i}")]
@@ -61,7 +64,7 @@ def negative_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def null_patterns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How many rows share each combination of missing columns: at most ``2 ** columns`` and at most the rows, usually few."""
-    return df.groupBy(*[_q(c).isNull().alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("_rows"))
+    return df.groupBy(*[known_of(df, c).isNull().alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("_rows"))
 
 
 def sequential_removal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -80,13 +83,18 @@ def greedy_removal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows lost when columns are completed in the order that costs fewest rows next; free columns go first together.
 
     The table is read once, into counts per missing-pattern; every later step
-    aggregates those counts only.  They are written out once (checkpoint).
+    aggregates those counts only.  They stay cached while it runs; a lost part is counted again.
     """
-    from ..session import ensure_checkpoint_dir
-
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    patterns = null_patterns(df, columns).checkpoint()
+    patterns = null_patterns(df, columns)
+    patterns = patterns.persist()
+    try:
+        return _greedy(spark, patterns, columns)
+    finally:
+        patterns.unpersist()
+
+
+def _greedy(spark: SparkSession, patterns: DataFrame, columns: Sequence[str]) -> DataFrame:
     total = patterns.agg(F.sum("_rows")).first()[0] or 0
     left, gone, out = list(columns), 0, []
     while left:
@@ -123,36 +131,125 @@ def row_prefix_coverage(df: DataFrame, key: str, columns: Sequence[str]) -> Data
 
 # ---- column choice by name: decided on the driver from the schema, executed as a projection
 
-# fixed values: name parts that admit or reject a feature, per source
-FEATURE_SOURCES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "eeg": (("Main_eeg",), ("perm", "svdent")),
-    "best_eeg": (("Main_eeg",), ("perm", "svdent", "kurt", "skew", "petrosian")),
-    "eeg_no_future": (("Main_eeg",), ("perm", "svdent", "_c7min_")),
-    "eeg_easiest": (("Main_eeg",), ("perm", "svdent", "kurt", "skew", "petrosian", "_c7min_", "_p2min", "hcomp", "hmob", "std")),
-    "physical": (("hr", "temp", "o2", "movement"), ()),
-    "temp": (("temp",), ()),
-    "times": (("mins_since", "mins_until"), ()),
-    "sleep_stage": (("ss_",), ()),
-    "microwakings": (("microwaking",), ()),
+# fixed values: how a name is tested ("prefix", "exact", "part", "suffix") and with what; admitting rules, then rejecting ones
+FEATURE_SOURCES: dict[str, tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str], ...]]] = {
+    "eeg": ((("part", "Main_eeg"),), (("suffix", "_s"), ("part", "perm"), ("part", "svdent"))),
+    "eeg_no_future": ((("part", "Main_eeg"),), (("suffix", "_s"), ("part", "perm"), ("part", "svdent"), ("part", "_c7min_"))),
+    "best_eeg": ((("part", "Main_eeg"),), (("suffix", "_s"), ("part", "perm"), ("part", "svdent"), ("part", "kurt"), ("part", "skew"), ("part", "petrosian"))),
+    "eeg_easiest": ((("part", "Main_eeg"),), (("suffix", "_s"), ("part", "perm"), ("part", "svdent"), ("part", "kurt"), ("part", "skew"), ("part", "petrosian"),
+                                              ("part", "_c7min_"), ("part", "_p2min"), ("part", "hcomp"), ("part", "hmob"), ("part", "std"))),
+    "physical": ((("prefix", "HR"), ("prefix", "Hrv"), ("exact", "O2"), ("prefix", "Movement"), ("prefix", "Temp")), ()),
+    "temp": ((("prefix", "Temp"),), ()),
+    "times": ((("prefix", "minsSince"), ("prefix", "minsUntil"), ("any case prefix", "epoch")), ()),
+    "sleep_stage": ((("prefix", "SS"),), ()),
+    "sleep_stage_no_times": ((("prefix", "SS"),), (("part", "MinsUntil"), ("part", "MinsSince"))),
+    "microwakings": ((("part", "Microwakings"),), (("part", "MicrowakingsDbg"),)),
+    "literally_all": ((("prefix", ""),), ()),
+}
+# fixed values: day keys that are of no use; a rule is one test or several that must all hold
+USELESS_DAY_KEYS: tuple[tuple[tuple[str, str], ...], ...] = (
+    (("exact", "night:yasaExtended:Statistics:SE"),),
+    (("exact", "night:yasaExtended:Statistics:TIB"),),
+    (("prefix", "night:yasaExtended:Statistics:Lat_"),),
+    (("prefix", "night:"), ("part", "_s:")),
+    (("prefix", "night:"), ("part", "source:")),
+    (("prefix", "night:"), ("part", ":W:")),
+    (("prefix", "night:"), ("part", ":All:")),
+    (("prefix", "night:yasaExtended:Stability:Aggregated:Deep"),),
+    (("exact", "night:yasa:adjusted:debug:discardedMicrowakingsCount"),),
+)
+# fixed values: day keys by how far they are under the person's control
+CONTROLLED_DAY_KEYS: dict[str, tuple[tuple[str, str], ...]] = {
+    "fully": (("prefix", "drugsAndSupplements"), ("exact", "night:aggregated:gotIntoBedTimeSSM"), ("prefix", "exercise"), ("prefix", "sunExposure"),
+              ("prefix", "bedroomEnvironment"), ("prefix", "phoneUsage"), ("prefix", "events"), ("prefix", "food"), ("prefix", "oxa")),
+    "somewhat": (("part", "asleepTimeSSM"), ("part", "hasYasa"), ("suffix", "readyToSleepTimeSSM"), ("part", "pees"), ("part", "fitbit:heartrate"), ("prefix", "hr")),
 }
+# fixed values: curated day keys and their titles
+CURATED_DAY_KEYS: dict[str, tuple[tuple[str, str], ...]] = {
+    "sleep_architecture": (("night:yasa:adjusted:betweenAsleepAndWakeSecs", "Asleep to Wake"), ("night:aggregated:wakeTimeSSM", "Wake Time")),
+    "physical": (("coreBodyTemp:AsleepToAwake:percentile10", "Core Body Temp Low"), ("coreBodyTemp:AsleepToAwake:percentile90", "Core Body Temp High"),
+                 ("coreBodyTemp:AsleepToAwake:mean", "Core Body Temp Mean"), ("hr:AsleepToAwake:mean", "HR"), ("hrv:AsleepToAwake:mean", "HRV"),
+                 ("o2:AsleepToAwake:mean", "O2"), ("o2:AsleepToAwake:percentile10", "O2 Low"), ("o2:AsleepToAwake:percentile90", "O2 High"),
+                 ("movement:AsleepToAwake:mean", "Movement"), ("glucose:AsleepToAwake:mean", "Glucose"), ("diastolic:AsleepToAwake:mean", "Diastolic"),
+                 ("systolic:AsleepToAwake:mean", "Systolic")),
+    "wakings": (("night:aggregated:microwakingsPerHour", "Microwakings"), ("night:yasa:adjusted:wakingsWithDurationCount", "Wakings"),
+                ("night:yasa:adjusted:timeAwakeAfterSleepSecs", "Time Awake After Sleep")),
+    "next_day_energy": (("energy:energyScore", "Energy"),),
+    "settling": (("night:aggregated:asleepTimeSSM", "Asleep Time"), ("night:aggregated:betweenReadyToSleepAndAsleepSecs", "RTS to Asleep")),
+}
+# fixed values: per stage the words its keys use (amount, stability, microwakings), and the measures all stages have
+STAGE_WORDS = {"N1": ("n1", "N1", None), "N2": ("light", "N2", None), "N3": ("deep", "N3", "Deep"), "R": ("rem", "REM", "Rem"), "Sleep": (None, "Sleep", None)}
+STAGE_MEASURES = (
+    ("iqr", "Power"), ("auc", "AUC"), ("higuchi", "Complexity"),
+    ("sdelta", "Sdelta"), ("fdelta", "Fdelta"), ("theta", "Theta"), ("alpha", "Alpha"), ("sigma", "Sigma"), ("beta", "Beta"),
+    ("sdeltaabs", "SdeltaAbs"), ("fdeltaabs", "FdeltaAbs"), ("thetaabs", "ThetaAbs"), ("alphaabs", "AlphaAbs"), ("sigmaabs", "SigmaAbs"), ("betaabs", "BetaAbs"),
+    ("fdeltaaa", "Fdelta And Above"), ("thetaaa", "Theta And Above"), ("alphaaa", "Alpha And Above"), ("sigmaaa", "Sigma And Above"),
+    ("fdeltaabsab", "FdeltaAbs And Below"), ("thetaabsab", "ThetaAbs And Below"), ("alphaabsab", "AlphaAbs And Below"), ("sigmaabsab", "SigmaAbs And Below"),
+    ("fdeltaab", "Fdelta And Below"), ("thetaab", "Theta And Below"), ("alphaab", "Alpha And Below"), ("sigmaab", "Sigma And Below"),
+)
+
+
+def stage_day_keys(stage: str) -> tuple[tuple[str, str], ...]:
+    """Curated day keys of a stage (``N1 N2 N3 R Sleep``) with their titles."""
+    amount, stability, waking = STAGE_WORDS[stage]
+    keys = [(f"night:yasa:adjusted:{amount}SleepSecs", "Amount")] if amount else []
+    keys.append((f"night:yasaExtended:Stability:Aggregated:{stability}", "Stability"))
+    keys += [(f"night:yasaExtended:{stage}:{m}:mean", title) for m, title in STAGE_MEASURES]
+    return tuple(keys + ([(f"night:aggregated:microwakingsWithin{waking}PerHour", "Microwakings")] if waking else []))
+
+
+def best_night_keys() -> list[str]:
+    """Every curated key of a night: all stages, wakings, settling and architecture."""
+    sets = [stage_day_keys(s) for s in ("N3", "R", "N1", "N2", "Sleep")] + [CURATED_DAY_KEYS[n] for n in ("wakings", "settling", "sleep_architecture")]
+    return [key for keys in sets for key, _ in keys]
+
+
+_TESTS = {
+    "prefix": (str.startswith, lambda c, x: c.startswith(x)),
+    "suffix": (str.endswith, lambda c, x: c.endswith(x)),
+    "exact": (str.__eq__, lambda c, x: c == x),
+    "part": (str.__contains__, lambda c, x: c.contains(x)),
+    "any case prefix": (lambda name, x: name.lower().startswith(x), lambda c, x: F.lower(c).startswith(x)),
+}
+
+
+def name_passes(name: str, rule: tuple[str, str]) -> bool:
+    return _TESTS[rule[0]][0](name, rule[1])
+
+
+def key_passes(key: Column, rule: tuple[str, str]) -> Column:
+    """The same test on a column of names."""
+    return _TESTS[rule[0]][1](key, rule[1])
 
 
 def chosen_columns(columns: Sequence[str], sources: Sequence[str], *, real_time: bool = False) -> list[str]:
-    """Columns admitted by any of the sources; ``prefix:x`` admits names starting with ``x``; real time drops look-ahead columns."""
-    picked = []
-    for c in columns:
-        for s in sources:
-            if s.startswith("prefix:"):
-                ok = c.startswith(s.removeprefix("prefix:"))
-            else:
-                allow, deny = FEATURE_SOURCES[s]
-                ok = any(a in c for a in allow) and not any(d in c for d in deny)
-                if s.startswith(("eeg", "best")):
-                    ok = ok and not c.endswith("_s")
-            if ok and not (real_time and ("_c7" in c or "_p2" in c)):
-                picked.append(c)
-                break
-    return picked
+    """Columns admitted by any of the sources, in order; ``prefix:x`` admits names starting with ``x``; real time drops look-ahead columns."""
+    def admitted(name: str, source: str) -> bool:
+        if source.startswith("prefix:"):
+            return name.startswith(source.removeprefix("prefix:"))
+        allow, deny = FEATURE_SOURCES[source]
+        return any(name_passes(name, r) for r in allow) and not any(name_passes(name, r) for r in deny)
+
+    return [c for c in columns if any(admitted(c, s) for s in sources) and not (real_time and ("_c7" in c or "_p2" in c))]
+
+
+def useful_day_key(key: Column) -> Column:
+    """Whether a day key is worth keeping."""
+    useless = F.lit(False)
+    for rules in USELESS_DAY_KEYS:
+        every = F.lit(True)
+        for r in rules:
+            every = every & key_passes(key, r)
+        useless = useless | every
+    return ~useless
+
+
+def controlled_day_key(key: Column) -> Column:
+    """Whether a day key is fully or somewhat under the person's control."""
+    hit = F.lit(False)
+    for r in (*CONTROLLED_DAY_KEYS["fully"], *CONTROLLED_DAY_KEYS["somewhat"]):
+        hit = hit | key_passes(key, r)
+    return hit
 
 
 def select_features(df: DataFrame, sources: Sequence[str], keep: Sequence[str] = (), *, real_time: bool = False) -> DataFrame:
@@ -193,7 +290,7 @@ def clip_to_quantiles(df: DataFrame, columns: Sequence[str], low: float = 0.01,
     edges = {r["column"]: (r["lo"], r["hi"]) for r in exact_quantiles(long, ["column"], "v", {"lo": low, "hi": high}).collect()}
     changed = {}
     for c in columns:
-        x = _q(c).cast("double")
+        x = known_of(df, c).cast("double")
         if c in edges:
             x = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(edges[c][0])), F.lit(edges[c][1])))
         for prefix, (lo, hi) in (bounded or {}).items():
@@ -217,7 +314,8 @@ def clip_absolute_features(df: DataFrame, part: str = "abs", bound: float = 1.0)
 
 
 def min_max_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns mapped to [0, 1] by their extremes (one aggregate row, broadcast); a constant column maps to 0."""
+    """Columns mapped to [0, 1] by their extremes (one aggregate row, broadcast); a constant column maps to 0, NaN to null."""
+    df = with_known(df, list(columns))
     ends = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).withColumn("_one", F.lit(1))
     joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")
     scaled = {c: F.coalesce(F.try_divide(_q(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")), F.when(_q(c).isNotNull(), F.lit(0.0))) for c in columns}
@@ -303,6 +401,7 @@ def neighbour_days(df: DataFrame, keys: Sequence[str], day: str, columns: Sequen
 
 def drop_rows_of_nearly_complete_columns(df: DataFrame, columns: Sequence[str], under_pct: float = 5.0) -> DataFrame:
     """Drop rows with a null in any column that misses fewer than ``under_pct`` percent."""
+    df = with_known(df, list(columns))
     near = [r["column"] for r in missing_profile(df, columns).collect() if r["missing_pct"] < under_pct]
     return df.dropna(subset=near) if near else df
 

@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import known
 from .timeline import Timeline, running
 
-GROUP_LIMIT = 1_000_000
 FEWEST_BINS, MOST_BINS = 64, 4096
 
 
@@ -55,6 +55,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *, bins: int | N
     Copies are counted before anything is ordered, so ties cost one row; the
     distinct values are ranked chunk by chunk.
     """
+    df = df.withColumn(value, known(F.col(value).cast("double")))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     chunked = with_value_chunk(counts, keys, value, bins)
     line = Timeline(tuple(keys), (value,), F.col("_bin"))
@@ -92,23 +93,11 @@ def _column(p: float) -> str:
     return "_q_" + str(p).replace(".", "_")
 
 
-def _small_groups(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str) -> DataFrame:
-    if method == "linear":
-        picks = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
-        out = df.groupBy(*keys).agg(picks.alias("_qs"))
-        return out.select(*keys, *[F.col("_qs")[i].alias(_column(p)) for i, p in enumerate(probs)])
-    out = df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_vs"))
-    n = F.size("_vs").cast("long")
-    columns = []
-    for p in probs:
-        low, high = _wanted(n, p, method)
-        columns.append(_blend(F.get("_vs", low.cast("int")), F.get("_vs", high.cast("int")), n, p, method).alias(_column(p)))
-    return out.select(*keys, *columns)
-
-
-def _large_groups(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str, bins: int | None) -> DataFrame:
-    rows = with_value_chunk(df.select(*keys, value), keys, value, bins)
-    per_bin = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+def _picked(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str, bins: int | None) -> DataFrame:
+    """Copies are counted first; then only the chunks that hold a wanted rank are ordered, each on its own."""
+    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    chunked = with_value_chunk(counted, keys, value, bins)
+    per_bin = chunked.groupBy(*keys, "_bin").agg(F.sum("_k").alias("_c"))
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_bin.select(
         *keys,
@@ -123,18 +112,13 @@ def _large_groups(df: DataFrame, keys: Sequence[str], value: str, probs: Sequenc
         low, high = _wanted(n, p, method)
         spots += [F.struct(F.lit(float(p)).alias("_p"), F.lit(0).alias("_side"), low.cast("long").alias("_at")),
                   F.struct(F.lit(float(p)).alias("_p"), F.lit(1).alias("_side"), high.cast("long").alias("_at"))]
-    targets = placed.select(*keys, "_bin", "_before", "_c", "_n", F.inline(F.array(*spots))).filter(
-        (F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_c"))
-    )
-    # bounded: at most 2 * len(probs) bins for each group above the limit
-    bins_wanted = targets.select(*keys, "_bin").distinct()
-    inside = rows.join(F.broadcast(bins_wanted), [*keys, "_bin"], "left_semi")
-    counted = inside.groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_k"))
+    spot = F.filter(F.array(*spots), lambda s: (s["_at"] >= F.col("_before")) & (s["_at"] < F.col("_before") + F.col("_c")))
+    # one row per chunk that holds a wanted rank, at most 2 * len(probs) of a group
+    targets = placed.select(*keys, "_bin", "_before", "_n", spot.alias("_spots")).filter(F.size("_spots") > 0)
     local = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = counted.withColumn("_upto", F.sum("_k").over(local))
-    hit = ordered.join(F.broadcast(targets.select(*keys, "_bin", "_before", "_n", "_p", "_side", "_at")), [*keys, "_bin"]).filter(
-        (F.col("_at") < F.col("_before") + F.col("_upto")) & (F.col("_at") >= F.col("_before") + F.col("_upto") - F.col("_k"))
-    )
+    ordered = chunked.join(targets, [*keys, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_k").over(local))
+    here = F.filter("_spots", lambda s: (s["_at"] < F.col("_upto")) & (s["_at"] >= F.col("_upto") - F.col("_k")))
+    hit = ordered.select(*keys, value, "_n", F.inline(here))
     picked = hit.groupBy(*keys).agg(
         F.max("_n").alias("_n"),
         *[F.max(F.when((F.col("_p") == float(p)) & (F.col("_side") == s), F.col(value))).alias(f"{_column(p)}_{s}") for p in probs for s in (0, 1)],
@@ -152,32 +136,22 @@ def exact_quantiles(
     probs: dict[str, float],
     *,
     method: str = "linear",
-    limit: int = GROUP_LIMIT,
     bins: int | None = None,
+    nan_counts: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group as columns named by ``probs``.
 
     ``linear`` interpolates between neighbours; ``index`` takes the truncated
-    position ``p*n`` and averages two neighbours when it is integral.  Groups up
-    to ``limit`` rows use one aggregate; whether larger ones exist is asked
-    first (one counting pass).  Those locate the bin that holds
-    each wanted rank and sort only that bin, so no task sees a whole group.
+    position ``p*n`` and averages two neighbours when it is integral.  Null is
+    left out, and NaN too unless ``nan_counts``.  No task sees a whole group,
+    and the plan is the same at every size.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    x = F.col(value).cast("double")
+    rows = df.select(*keys, (x if nan_counts else known(x)).alias(value)).filter(F.col(value).isNotNull())
     constant = not keys
     if constant:
         rows = rows.withColumn("_all", F.lit(0))
         keys = ["_all"]
-    shares = sorted(set(probs.values()))
-    # bounded: at most (rows / limit) groups can exceed the limit
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > limit).select(*keys)
-    if not big.take(1):
-        both = _small_groups(rows, keys, value, shares, method)
-    else:
-        hint = F.broadcast(big)
-        match = same_keys(rows, hint, keys)
-        small = _small_groups(rows.join(hint, match, "left_anti"), keys, value, shares, method)
-        large = _large_groups(rows.join(hint, match, "left_semi"), keys, value, shares, method, bins)
-        both = small.unionByName(large)
+    both = _picked(rows, keys, value, sorted(set(probs.values())), method, bins)
     kept = [] if constant else list(keys)
     return both.select(*kept, *[F.col(_column(p)).alias(name) for name, p in probs.items()])

@@ -17,25 +17,38 @@ from pyspark.sql import functions as F
 from .timeline import Timeline, running
 
 RATIO = 16
-LEVELS = 7
+
+
+def _levels(width: int) -> int:
+    """Levels whose bucket width is a long."""
+    n = 1
+    while width * RATIO**n < 2**62:
+        n += 1
+    return n
 
 
 def _own_level(span: Column, width: int) -> Column:
-    level = F.lit(LEVELS - 1)
-    for i in reversed(range(LEVELS - 1)):
+    top = _levels(width) - 1
+    level = F.lit(top)
+    for i in reversed(range(top)):
         level = F.when(span <= width * RATIO**i, F.lit(i)).otherwise(level)
     return level
 
 
-def _level_of(span: int | None, width: int) -> int:
-    """The level an interval of that length lives on; the top one when the length is unknown."""
-    if span is None:
-        return LEVELS - 1
-    return next((i for i in range(LEVELS - 1) if span <= width * RATIO**i), LEVELS - 1)
+def _level_of(span: int, width: int) -> int:
+    """The level an interval of that length lives on."""
+    return next((i for i in range(_levels(width) - 1) if span <= width * RATIO**i), _levels(width) - 1)
+
+
+def levels_present(df: DataFrame, start: str, end: str, width: int) -> list[int]:
+    """The levels that intervals of a table live on: one aggregate, a handful of numbers."""
+    own = _own_level(F.col(end) - F.col(start), width)
+    found = df.filter(F.col(end) >= F.col(start)).agg(F.sort_array(F.collect_set(own))).first()[0]
+    return list(found)
 
 
-def _laid_out(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int, prefix: str, *, top: int) -> DataFrame:
-    """Rows once per bucket on their own level and on those above it, up to ``top``, where the other side may live."""
+def _laid_out(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int, prefix: str, *, others: Sequence[int]) -> DataFrame:
+    """Rows once per bucket on their own level and on those levels above it where the other side lives."""
     own = _own_level(F.col(end) - F.col(start), width)
     packed = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))).select(
         *[F.col(k).alias(k) for k in keys],
@@ -45,14 +58,19 @@ def _laid_out(df: DataFrame, keys: Sequence[str], start: str, end: str, width: i
         own.alias(f"{prefix}_own"),
     )
     own_level = F.col(f"{prefix}_own")
-    leveled = packed.withColumn("_level", F.explode(F.sequence(own_level, F.greatest(own_level, F.lit(top)))))
-    span = F.element_at(F.array(*[F.lit(int(width * RATIO**i)) for i in range(LEVELS)]), F.col("_level") + 1)
+    above = F.filter(F.array(*[F.lit(i) for i in others]).cast("array<int>"), lambda i: i > own_level)
+    leveled = packed.withColumn("_level", F.explode(F.concat(F.array(own_level), above)))
+    span = _span(width)
     return leveled.withColumn(
         "_bucket",
         F.explode(F.sequence(F.floor(F.col(f"{prefix}_s") / span).cast("long"), F.floor(F.col(f"{prefix}_e") / span).cast("long"))),
     )
 
 
+def _span(width: int) -> Column:
+    return F.element_at(F.array(*[F.lit(width * RATIO**i).cast("long") for i in range(_levels(width))]), F.col("_level") + 1)
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,
@@ -71,16 +89,20 @@ def interval_join(
     equal names mean points.  Open or half-open bounds go into ``where``.
     ``width`` is the finest bucket: about the length of a short interval.
     ``left_longest`` / ``right_longest`` state a length no span of that side
-    exceeds (epochs of fixed length, say) and spare the other side the levels
-    above it.
+    exceeds (epochs of fixed length, say).  Where it is left out, the levels
+    that side lives on are asked first, in one small aggregate; either way rows
+    go to those levels only.
     """
-    left_top = _level_of(0 if left_span[0] == left_span[1] else left_longest, width)
-    right_top = _level_of(0 if right_span[0] == right_span[1] else right_longest, width)
-    a = _laid_out(left, keys, *left_span, width, "l", top=right_top)
-    b = _laid_out(right, keys, *right_span, width, "r", top=left_top)
+    def lives(df: DataFrame, span: tuple[str, str], longest: int | None) -> list[int]:
+        if span[0] == span[1]:
+            return [0]
+        return levels_present(df, *span, width) if longest is None else list(range(_level_of(longest, width) + 1))
+
+    a = _laid_out(left, keys, *left_span, width, "l", others=lives(right, right_span, right_longest))
+    b = _laid_out(right, keys, *right_span, width, "r", others=lives(left, left_span, left_longest))
     met = a.join(b, [*keys, "_level", "_bucket"])
     later = F.greatest("l_s", "r_s")
-    span = F.element_at(F.array(*[F.lit(int(width * RATIO**i)) for i in range(LEVELS)]), F.col("_level") + 1)
+    span = _span(width)
     met = met.filter(
         (F.col("_level") == F.greatest("l_own", "r_own"))
         & (F.col("l_s") <= F.col("r_e"))

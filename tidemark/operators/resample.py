@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeline import Timeline, framed, previous, running
+from .timeline import Timeline, exploded_range, framed, previous, running
 
 
 def split_epochs(df: DataFrame, keys: Sequence[str], sample: str, length: int, step: int | None = None) -> DataFrame:
@@ -133,8 +133,7 @@ def fill_gaps(df: DataFrame, line: Timeline, values: Sequence[str], period: int,
     """
     at = line.order[0]
     gaps = find_gaps(df, line, longer_than)
-    steps = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("gap") / period).cast("long"))
-    made = gaps.select(*line.keys, "gap_start", F.explode(steps).alias("_k")).select(
+    made = exploded_range(gaps.select(*line.keys, "gap_start", "gap"), F.lit(1), F.ceil(F.col("gap") / period), "_k").select(
         *line.keys, (F.col("gap_start") + F.col("_k") * period).alias(at), *[F.lit(0.0).alias(v) for v in values], F.lit(1).alias("inserted"))
     kept = df.select(*line.keys, at, *values, F.lit(0).alias("inserted"))
     return kept.unionByName(made)
@@ -143,7 +142,7 @@ def fill_gaps(df: DataFrame, line: Timeline, values: Sequence[str], period: int,
 def grid_of(df: DataFrame, keys: Sequence[str], slot: str) -> DataFrame:
     """Every slot number between a series' first and last, one row each."""
     span = df.groupBy(*keys).agg(F.min(slot).alias("_lo"), F.max(slot).alias("_hi"))
-    return span.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(slot))
+    return exploded_range(span, F.col("_lo"), F.col("_hi"), slot).select(*keys, F.col(slot).cast(df.schema[slot].dataType).alias(slot))
 
 
 def missing_slots(df: DataFrame, keys: Sequence[str], slot: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
+from ..functions.values import known
 from .quantiles import exact_quantiles, value_ranks, with_value_chunk
 from .timeline import Timeline, running
 
@@ -125,7 +126,8 @@ def group_test(df: DataFrame, keys: Sequence[str], group: str, value: str) -> Da
 # ---- correlations
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Pearson and Spearman per key: equal pairs are counted first, ranks average ties."""
+    """Pearson and Spearman per key: equal pairs are counted first, ranks average ties; NaN counts as missing."""
+    df = df.withColumns({c: known(F.col(c).cast("double")) for c in (x, y)})
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rx = value_ranks(rows.select(*keys, x), keys, x).select(*keys, x, F.col("rank_avg").alias("_rx"))
@@ -408,6 +410,6 @@ def gaussian_copula(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataF
 
 def target_against_all(df: DataFrame, target: str, columns: Sequence[str], *, at_least: int = 10) -> DataFrame:
     """Pearson of one target with every column on their shared rows, where there are enough."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(F.col(target).cast("double").alias("t"), F.inline(cells)).filter("t IS NOT NULL AND v IS NOT NULL")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), known(F.col(c).cast("double")).alias("v")) for c in columns])
+    long = df.select(known(F.col(target).cast("double")).alias("t"), F.inline(cells)).filter("t IS NOT NULL AND v IS NOT NULL")
     return long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.corr("v", "t").alias("r")).filter(F.col("n") >= at_least)

@@ -207,3 +207,21 @@ def gap_islands(
     number = F.col("_offset") + F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = inner.join(offsets, [*keys, CHUNK]) if keys else inner.join(offsets, CHUNK)
     return joined.withColumn(name, number).select(*df.columns, name)
+
+
+#: Slots that one row is expanded to at once.
+BLOCK_SLOTS = 10_000
+
+
+def exploded_range(df: DataFrame, low: Column, high: Column, name: str, *, block: int = BLOCK_SLOTS) -> DataFrame:
+    """A row per whole number from ``low`` to ``high``: blocks first, dealt out, then the numbers of each block.
+
+    No array is longer than ``block``, or than the number of blocks' groups; a range of any length is spread over tasks.
+    """
+    rows = df.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).filter(F.col("_high") >= F.col("_low"))
+    for width in (block * block, block):
+        last = F.floor((F.col("_high") - F.col("_low")) / width).cast("long")
+        rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumns({
+            "_low": F.col("_low") + F.col("_b") * width, "_high": F.least(F.col("_high"), F.col("_low") + F.col("_b") * width + (width - 1))})
+    rows = rows.repartition(*[F.col(f"`{c}`") for c in df.columns], "_low")
+    return rows.withColumn(name, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high", "_b")

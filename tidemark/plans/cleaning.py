@@ -77,12 +77,47 @@ def _(t):
     return qu.row_prefix_coverage(df, "key", ["a", "b"])
 
 
-@query("selected_features", "H07 H08", f"WITH {EPOCHS} SELECT user_id, epoch, round(mean_value, 6) AS \"Main_eeg_abspow\", n AS mins_since_start FROM ep")
+@query("selected_features", "H07", f"WITH {EPOCHS} SELECT user_id, epoch, round(mean_value, 6) AS \"Main_eeg_abspow\", n AS \"minsSinceStart\", n AS \"HR_30s\", n AS \"O2\", n AS \"SSDeep\", n AS \"Microwakings30\" FROM ep")
 def _(t):
-    wide = epochs(t).select(
-        "user_id", "epoch", F.round("mean_value", 6).alias("Main_eeg_abspow"), F.col("n").alias("Main_eeg_kurt"), F.col("n").alias("Main_eeg_abspow_c7min_norm"),
-        F.col("n").alias("Main_eeg_abspow_s"), F.col("n").alias("mins_since_start"), F.col("n").alias("other"))
-    return qu.select_features(wide, ["eeg_easiest", "times"], keep=["user_id", "epoch"], real_time=True)
+    n = lambda *names: [F.col("n").alias(x) for x in names]
+    wide = epochs(t).select("user_id", "epoch", F.round("mean_value", 6).alias("Main_eeg_abspow"), *n(
+        "Main_eeg_kurt", "Main_eeg_abspow_c7min_norm", "Main_eeg_abspow_s", "Main_eeg_std", "minsSinceStart", "HR_30s", "O2", "O2_low", "threshold_x", "three",
+        "SSDeep", "SSMinsUntilWake", "Microwakings30", "MicrowakingsDbg30", "other"))
+    picked = qu.chosen_columns([c for c in wide.columns if c not in ("user_id", "epoch")], ["eeg_easiest", "times", "physical", "sleep_stage_no_times", "microwakings"], real_time=True)
+    return wide.select("user_id", "epoch", *picked)
+
+
+def _day_keys(t):
+    """A table of day keys: fixed ones of every kind, dealt to events."""
+    names = ["night:yasaExtended:Statistics:SE", "night:yasaExtended:Statistics:Lat_N1", "night:yasaExtended:N3:iqr_s:mean", "night:yasaExtended:W:iqr:mean",
+             "night:yasaExtended:All:iqr:mean", "night:yasaExtended:N3:iqr:mean", "night:aggregated:wakeTimeSSM", "night:source:x", "day:source:x",
+             "night:yasaExtended:Stability:Aggregated:Deep", "night:yasaExtended:Stability:Aggregated:REM", "energy:energyScore", "hr:AsleepToAwake:mean",
+             "exercise:mins", "night:aggregated:readyToSleepTimeSSM", "night:aggregated:microwakingsWithinDeepPerHour", "food:sugar", "night:aggregated:asleepTimeSSM"]
+    return t.events.select("event_id", F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int")).alias("key"))
+
+
+DAY_KEYS = """k AS (SELECT event_id, ['night:yasaExtended:Statistics:SE', 'night:yasaExtended:Statistics:Lat_N1', 'night:yasaExtended:N3:iqr_s:mean', 'night:yasaExtended:W:iqr:mean',
+  'night:yasaExtended:All:iqr:mean', 'night:yasaExtended:N3:iqr:mean', 'night:aggregated:wakeTimeSSM', 'night:source:x', 'day:source:x', 'night:yasaExtended:Stability:Aggregated:Deep',
+  'night:yasaExtended:Stability:Aggregated:REM', 'energy:energyScore', 'hr:AsleepToAwake:mean', 'exercise:mins', 'night:aggregated:readyToSleepTimeSSM',
+  'night:aggregated:microwakingsWithinDeepPerHour', 'food:sugar', 'night:aggregated:asleepTimeSSM'][event_id % 18 + 1] AS key FROM events)"""
+
+
+@query("useful_day_keys", "H07", f"WITH {DAY_KEYS}" + """
+SELECT event_id, key FROM k WHERE NOT (key LIKE 'night:yasaExtended:Statistics:%' OR key LIKE 'night:%' AND (contains(key, '_s:') OR contains(key, 'source:') OR contains(key, ':W:') OR contains(key, ':All:'))
+  OR key LIKE 'night:yasaExtended:Stability:Aggregated:Deep%' OR key = 'night:yasa:adjusted:debug:discardedMicrowakingsCount')
+""")
+def _(t):
+    return _day_keys(t).filter(qu.useful_day_key(F.col("key")))
+
+
+@query("curated_day_keys", "H08", f"WITH {DAY_KEYS}" + """
+SELECT event_id, key, key IN ('night:yasaExtended:N3:iqr:mean', 'night:aggregated:wakeTimeSSM', 'night:yasaExtended:Stability:Aggregated:REM',
+  'night:aggregated:microwakingsWithinDeepPerHour', 'night:aggregated:asleepTimeSSM') AS best_night,
+  key IN ('exercise:mins', 'food:sugar', 'night:aggregated:asleepTimeSSM', 'night:aggregated:readyToSleepTimeSSM', 'hr:AsleepToAwake:mean') AS controlled
+FROM k
+""")
+def _(t):
+    return _day_keys(t).select("event_id", "key", F.col("key").isin(*qu.best_night_keys()).alias("best_night"), qu.controlled_day_key(F.col("key")).alias("controlled"))
 
 
 @query("selected_map_keys", "H07 A06", """

@@ -135,15 +135,29 @@ def _(t):
     return de.peaks_and_valleys(night, ["rec", "night"], "sample_no", "smooth", "value", peak=(30, 5.0), valley=(10, 1.0))
 
 
-CANDIDATES = "cd AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) + minute(ts) / 60 AS hr, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE hour(ts) >= 16 GROUP BY user_id, day, hr)"
+ASLEEP = "CASE WHEN user_id % 5 <> 0 THEN {} + (user_id % 3) * 0.5 END"
 
 
-def _candidates(t):
-    hr = tu.hour_fraction(F.col("ts"))
-    return t.events.filter("hour(ts) >= 16").groupBy("user_id", F.to_date("ts").alias("day"), hr.alias("hr")).agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
+def _night_sql(first: int, last: int, rule: str) -> str:
+    """Candidates of user and day at hours [first, last), hours past 24 belonging to the day before."""
+    return f"""hs AS (SELECT user_id, event_id, value, CAST(ts AS DATE) - {{late}} AS day, hour(ts) + minute(ts) / 60 + 24 * {{late}} AS hr FROM events),
+cd AS (SELECT user_id, day, hr, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM hs WHERE hr >= {first} AND hr < {last} AND {rule} GROUP BY user_id, day, hr)""".replace(
+        "{late}", f"CAST(hour(ts) < {max(last - 24, 0)} AS INTEGER)")
 
 
-@query("evening_peak_choice", "J12", f"WITH RECURSIVE {CANDIDATES}," + """
+def _night(t, first, last, **limits):
+    late = (F.hour("ts") < max(last - 24, 0)).cast("int")
+    hr = tu.hour_fraction(F.col("ts")) + 24 * late
+    rows = t.events.select("user_id", "event_id", "value", F.date_sub(F.to_date("ts"), late).alias("day"), hr.alias("hr"))
+    kept = de.in_night_hours(rows, F.col("hr"), first, last, **limits)
+    return kept.groupBy("user_id", "day", "hr").agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
+
+
+def _asleep(hour):
+    return F.when(F.col("user_id") % 5 != 0, hour + F.col("user_id") % 3 * 0.5)
+
+
+@query("evening_peak_choice", "J12", f"WITH RECURSIVE {_night_sql(20, 24, f'coalesce(hr <= {ASLEEP.format(22)}, true)')}," + """
 dn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM (SELECT user_id, day, list({'hr': hr, 'id': event_id} ORDER BY hr) AS c FROM cd GROUP BY user_id, day)),
 wk AS (SELECT user_id, k, [c[-1].hr] AS recent, c[-1] AS pick, day FROM dn WHERE k = 1
   UNION ALL SELECT n.user_id, n.k, list_append(wk.recent, p.pick.hr)[-3:], p.pick, n.day FROM wk JOIN dn n ON n.user_id = wk.user_id AND n.k = wk.k + 1,
@@ -151,25 +165,27 @@ wk AS (SELECT user_id, k, [c[-1].hr] AS recent, c[-1] AS pick, day FROM dn WHERE
 SELECT user_id, day, pick.hr AS hr, pick.id AS event_id FROM wk
 """)
 def _(t):
-    return de.choose_evening_peaks(_candidates(t), "user_id", "day", "hr").select("user_id", "day", "hr", "event_id")
+    # not after falling asleep, where that is known
+    return de.choose_evening_peaks(_night(t, 20, 24, before=[_asleep(22)]), "user_id", "day", "hr").select("user_id", "day", "hr", "event_id")
 
 
-@query("first_stable_valley", "J13", f"WITH {CANDIDATES}," + """
+@query("first_stable_valley", "J13", f"WITH {_night_sql(23, 27, f'coalesce(hr >= {ASLEEP.format(23.5)}, true)')}," + """
 l AS (SELECT user_id, day, list({'hr': hr, 'v': value, 'done': false} ORDER BY hr) AS c FROM cd GROUP BY ALL),
 p AS (SELECT user_id, day, list_reduce(c, lambda a, b: CASE WHEN NOT a.done AND b.v < a.v - 0.1 THEN {'hr': b.hr, 'v': b.v, 'done': false} ELSE {'hr': a.hr, 'v': a.v, 'done': true} END) AS q FROM l)
 SELECT user_id, day, q.hr AS hr, q.v AS value FROM p
 """)
 def _(t):
-    return de.first_stable(_candidates(t), ["user_id", "day"], "hr", "value")
+    # from 23 to 3 o'clock, once asleep
+    return de.first_stable(_night(t, 23, 27, after=[_asleep(23.5)]), ["user_id", "day"], "hr", "value")
 
 
-@query("first_stable_peak", "J14", f"WITH {CANDIDATES}," + """
+@query("first_stable_peak", "J14", f"WITH {_night_sql(6, 11, 'true')}," + """
 l AS (SELECT user_id, day, list({'hr': hr, 'v': value} ORDER BY hr) AS c FROM cd GROUP BY ALL),
 p AS (SELECT user_id, day, list_reduce(c, lambda a, b: CASE WHEN b.v > a.v + 0.1 THEN b ELSE a END) AS q FROM l)
 SELECT user_id, day, q.hr AS hr, q.v AS value FROM p
 """)
 def _(t):
-    return de.first_stable(_candidates(t), ["user_id", "day"], "hr", "value", rising=True)
+    return de.first_stable(_night(t, 6, 11), ["user_id", "day"], "hr", "value", rising=True)
 
 
 REVIEW = """

@@ -110,46 +110,54 @@ def _(t):
 
 BASKET = "it AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type AS item FROM events), tt AS (SELECT count(DISTINCT (user_id, day)) AS n FROM it)"
 SETS = BASKET + """,
-s1 AS (SELECT [item] AS items, count(*) AS freq FROM it GROUP BY item),
-s2 AS (SELECT [a.item, b.item] AS items, count(*) AS freq FROM it a JOIN it b ON a.user_id = b.user_id AND a.day = b.day AND a.item < b.item GROUP BY ALL),
-s3 AS (SELECT [a.item, b.item, c.item] AS items, count(*) AS freq FROM it a JOIN it b ON a.user_id = b.user_id AND a.day = b.day AND a.item < b.item JOIN it c ON c.user_id = b.user_id AND c.day = b.day AND b.item < c.item GROUP BY ALL),
-fs AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3), tt WHERE freq >= 0.01 * n),
+gs AS (SELECT [item] AS items, user_id, day FROM it UNION ALL SELECT list_append(gs.items, it.item), gs.user_id, gs.day FROM gs JOIN it ON it.user_id = gs.user_id AND it.day = gs.day AND it.item > gs.items[-1]),
+fs AS (SELECT * FROM (SELECT items, count(*) AS freq FROM gs GROUP BY items), tt WHERE freq >= 0.01 * n),
 """
-RULES = SETS + """
+
+
+def _rules_sql(longest: str = "true") -> str:
+    return SETS + f"""
 ru AS (
-  SELECT x.a AS antecedent, x.c AS consequent, freq, n FROM (
-    SELECT items[1:1] AS a, items[2:2] AS c, freq, n FROM fs WHERE len(items) = 2 UNION ALL SELECT items[2:2], items[1:1], freq, n FROM fs WHERE len(items) = 2
-    UNION ALL SELECT items[1:1], items[2:3], freq, n FROM fs WHERE len(items) = 3 UNION ALL SELECT items[2:2], [items[1], items[3]], freq, n FROM fs WHERE len(items) = 3
-    UNION ALL SELECT items[3:3], items[1:2], freq, n FROM fs WHERE len(items) = 3 UNION ALL SELECT items[1:2], items[3:3], freq, n FROM fs WHERE len(items) = 3
-    UNION ALL SELECT [items[1], items[3]], items[2:2], freq, n FROM fs WHERE len(items) = 3 UNION ALL SELECT items[2:3], items[1:1], freq, n FROM fs WHERE len(items) = 3) x),
+  SELECT list_filter(items, lambda x, i: (bits >> (i - 1)) & 1 = 1) AS antecedent, list_filter(items, lambda x, i: (bits >> (i - 1)) & 1 = 0) AS consequent, freq, n
+  FROM fs, LATERAL (SELECT unnest(range(1, (1 << len(items)) - 1)) AS bits) WHERE {longest}),
 rl AS (SELECT antecedent, consequent, ru.freq / ru.n AS support, ru.freq / a.freq AS confidence, (ru.freq / a.freq) / (c.freq / ru.n) AS lift FROM ru JOIN fs a ON a.items = antecedent JOIN fs c ON c.items = consequent)
 """
 
 
+RULES = _rules_sql()
+
+
 def _sets(t):
     rows = t.events.select("user_id", F.to_date("ts").alias("day"), F.col("event_type").alias("item"))
     return mi.frequent_itemsets(mi.baskets(rows, ["user_id", "day"]), "items", 0.01)
 
 
-@query("frequent_itemsets", "K02 K05", f"WITH {SETS.rstrip().rstrip(',')} SELECT array_to_string(items, '|') AS items, freq FROM fs")
+@query("frequent_itemsets", "K02", f"WITH RECURSIVE {SETS.rstrip().rstrip(',')} SELECT array_to_string(items, '|') AS items, freq FROM fs")
 def _(t):
     sets, _ = _sets(t)
     return sets.select(F.array_join("items", "|").alias("items"), "freq")
 
 
-@query("association_rules", "K02 K05", f"WITH {RULES} SELECT array_to_string(antecedent, '|') AS antecedent, array_to_string(consequent, '|') AS consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rl WHERE confidence >= 0.05")
+@query("association_rules", "K02", f"WITH RECURSIVE {RULES} SELECT array_to_string(antecedent, '|') AS antecedent, array_to_string(consequent, '|') AS consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rl WHERE confidence >= 0.05")
 def _(t):
     out = mi.association_rules(*_sets(t), min_confidence=0.05)
     return out.select(F.array_join("antecedent", "|").alias("antecedent"), F.array_join("consequent", "|").alias("consequent"), *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
-@query("outcome_rules", "K07", f"WITH {RULES} SELECT array_to_string(antecedent, '|') AS antecedent, round(lift, 6) AS lift FROM rl WHERE consequent = ['purchase'] AND NOT list_contains(antecedent, 'error')")
+@query("rules_of_up_to_three", "K05", f"WITH RECURSIVE {_rules_sql('len(items) <= 3')} SELECT array_to_string(antecedent, '|') AS antecedent, array_to_string(consequent, '|') AS consequent, round(lift, 6) AS lift FROM rl")
+def _(t):
+    sets, total = _sets(t)
+    out = mi.association_rules(sets.filter(F.size("items") <= 3), total)
+    return out.select(F.array_join("antecedent", "|").alias("antecedent"), F.array_join("consequent", "|").alias("consequent"), F.round("lift", 6).alias("lift"))
+
+
+@query("outcome_rules", "K07", f"WITH RECURSIVE {RULES} SELECT array_to_string(antecedent, '|') AS antecedent, round(lift, 6) AS lift FROM rl WHERE consequent = ['purchase'] AND NOT list_contains(antecedent, 'error')")
 def _(t):
     out = mi.rules_for(mi.association_rules(*_sets(t)), F.col("consequent")[0] == "purchase", interventions=["view", "click", "signup"])
     return out.select(F.array_join("antecedent", "|").alias("antecedent"), F.round("lift", 6).alias("lift"))
 
 
-@query("top_rules", "K08", f"WITH {RULES} SELECT printf('When %s then %s (confidence %.1f%%, lift %.2f)', array_to_string(antecedent, ' and '), array_to_string(consequent, ' and '), confidence * 100, lift) AS text FROM rl ORDER BY lift DESC, confidence DESC, text LIMIT 8")
+@query("top_rules", "K08", f"WITH RECURSIVE {RULES} SELECT printf('When %s then %s (confidence %.1f%%, lift %.2f)', array_to_string(antecedent, ' and '), array_to_string(consequent, ' and '), confidence * 100, lift) AS text FROM rl ORDER BY lift DESC, confidence DESC, text LIMIT 8")
 def _(t):
     return mi.top_rules(mi.association_rules(*_sets(t)), 8).select("text")
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeutil as tu
 from ..operators import notes as nt
-from ..operators.timeline import Timeline, previous
+from ..operators.timeline import Timeline, previous, running
 from ..sources import manifest as mf
 from ..sources import tables as tb
 from .registry import query
@@ -51,26 +51,29 @@ def _(t):
 
 
 @query("reviews_wide", "A09", """
-WITH r AS (SELECT CAST(ts AS DATE) AS day, event_type AS type, user_id, value, row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts) AS rn FROM events)
+WITH r AS (SELECT user_id || '|' || CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS type, user_id, value, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type ORDER BY ts, event_id) AS rn FROM events)
 SELECT day, max('ok' || user_id) FILTER (type = 'view') AS view_status, max(CAST(value AS VARCHAR)) FILTER (type = 'view') AS view_score, max('ok' || user_id) FILTER (type = 'click') AS click_status,
   max(CAST(value AS VARCHAR)) FILTER (type = 'click') AS click_score FROM r WHERE rn = 1 GROUP BY day
 """)
 def _(t):
-    review = F.struct(F.col("type"), F.concat(F.lit("ok"), F.col("e.user_id")).alias("status"), F.create_map(F.lit("score"), F.col("e.value").cast("string")).alias("value"))
-    firsts = t.events.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("type")).agg(F.min_by(F.struct("user_id", "value"), "ts").alias("e"))
-    days = firsts.select("day", review.alias("r")).groupBy("day").agg(F.collect_list("r").alias("reviews"))
+    # every review of a person's day, in order; the first of a kind counts
+    listed = t.events.groupBy(F.concat_ws("|", "user_id", F.to_date("ts")).alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("event_type").alias("type"), "user_id", "value"))).alias("l"))
+    days = listed.select("day", F.transform("l", lambda x: F.struct(
+        x["type"].alias("type"), F.concat(F.lit("ok"), x["user_id"]).alias("status"), F.create_map(F.lit("score"), x["value"].cast("string")).alias("value"))).alias("reviews"))
     return tb.reviews_wide(days, "day", "reviews", ["view", "click"], ["score"])
 
 
 @query("reading_gaps", "A10 B04", """
-WITH p AS (SELECT user_id, ts, event_id, value FROM events WHERE value <> 120 AND value < 60),
-l AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM p)
+WITH p AS (SELECT user_id, ts, event_id, least(floor(value), 60) AS secs FROM events),
+l AS (SELECT *, epoch_us(ts) - last_value(CASE WHEN secs < 60 THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM p)
 SELECT event_id, c_name AS title, gap / 1000000 AS gap_seconds, CAST(CASE WHEN hour(ts) < 4 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS DATE) AS day FROM l LEFT JOIN customer ON c_custkey = user_id
 """)
 def _(t):
-    # pages that hit the time-out cap do not count as the row before
-    pages = t.timed.filter("value < 60").select("user_id", "us", "event_id", "ts")
-    seen = previous(pages, Timeline.every(["user_id"], ["us", "event_id"], 7 * DAY_US), p="us")
+    # pages whose time stands at the cap do not count as the row before
+    at = F.when(F.least(F.floor("value"), F.lit(60)) < 60, F.col("us"))
+    pages = t.timed.select("user_id", "us", "event_id", "ts", at.alias("below_cap"))
+    line = Timeline.every(["user_id"], ["us", "event_id"], 7 * DAY_US)
+    seen = running(previous(pages, line, just_before="below_cap"), line, {"p": ("last", F.col("just_before"))})
     titled = seen.join(t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("title")), "user_id", "left")
     return titled.select("event_id", "title", ((F.col("us") - F.col("p")) / 1_000_000).alias("gap_seconds"), tu.logical_date(F.col("ts"), 4).alias("day"))
 
@@ -127,8 +130,10 @@ def _(t):
 
 
 @query("changed_content", "A16", """
-WITH h AS (SELECT l_orderkey, CAST('0x' || substr(md5(concat_ws('|', CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), l_returnflag)), 1, 15) AS BIGINT) AS h, l_returnflag FROM lineitem),
-n AS (SELECT l_orderkey, md5(count(*) || '-' || CAST(sum(h) AS VARCHAR)) AS digest FROM h GROUP BY 1), o AS (SELECT l_orderkey, md5(count(*) || '-' || CAST(sum(h) AS VARCHAR)) AS digest FROM h WHERE l_returnflag <> 'R' GROUP BY 1)
+WITH m AS (SELECT l_orderkey, l_returnflag, md5(coalesce(length(l_partkey::VARCHAR) || ':' || l_partkey, '-') || coalesce(length(l_linenumber::VARCHAR) || ':' || l_linenumber, '-') || coalesce(length(l_returnflag) || ':' || l_returnflag, '-')) AS m FROM lineitem),
+h AS (SELECT l_orderkey, l_returnflag, CAST('0x' || substr(m, 1, 16) AS UBIGINT)::HUGEINT AS h, CAST('0x' || substr(m, 17, 16) AS UBIGINT)::HUGEINT AS l FROM m),
+n AS (SELECT l_orderkey, md5(count(*) || '-' || CAST(sum(h) AS VARCHAR) || '-' || CAST(sum(l) AS VARCHAR)) AS digest FROM h GROUP BY 1),
+o AS (SELECT l_orderkey, md5(count(*) || '-' || CAST(sum(h) AS VARCHAR) || '-' || CAST(sum(l) AS VARCHAR)) AS digest FROM h WHERE l_returnflag <> 'R' GROUP BY 1)
 SELECT l_orderkey, digest FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.l_orderkey = n.l_orderkey AND o.digest = n.digest)
 """)
 def _(t):

@@ -69,9 +69,9 @@ def _(t):
 @query("stage_stability", "E03", f"WITH {EPOCHS}" + """,
 m AS (SELECT user_id, stage AS f, lead(stage) OVER (PARTITION BY user_id ORDER BY epoch) AS g FROM ep),
 d AS (SELECT user_id, f, list_position(['W','N1','N2','N3','R'], f) - 1 AS i, count_if(f = g) / count(*) AS d FROM m WHERE g IS NOT NULL GROUP BY ALL)
-SELECT user_id, round(avg(d) FILTER (i >= 2), 3) AS any_stage, round(max(d) FILTER (f = 'W'), 3) AS wake, round(max(d) FILTER (f = 'N1'), 3) AS n1,
-  round(max(d) FILTER (f = 'N2'), 3) AS n2, round(max(d) FILTER (f = 'N3'), 3) AS n3, round(max(d) FILTER (f = 'R'), 3) AS rem,
-  round(avg(d) FILTER (i >= 1), 3) AS sleep FROM d GROUP BY user_id
+SELECT user_id, round_even(avg(d) FILTER (i >= 2), 3) AS any_stage, round_even(max(d) FILTER (f = 'W'), 3) AS wake, round_even(max(d) FILTER (f = 'N1'), 3) AS n1,
+  round_even(max(d) FILTER (f = 'N2'), 3) AS n2, round_even(max(d) FILTER (f = 'N3'), 3) AS n3, round_even(max(d) FILTER (f = 'R'), 3) AS rem,
+  round_even(avg(d) FILTER (i >= 1), 3) AS sleep FROM d GROUP BY user_id
 """)
 def _(t):
     return hy.stability(hy.transitions(epochs(t), ["user_id"], "epoch"), ["user_id"])

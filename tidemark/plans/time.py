@@ -33,13 +33,13 @@ def _(t):
 
 
 @query("naive_text_two_rules", "B02", ORDER_CLOCK_SQL + """
-SELECT o_orderkey, timezone('Europe/London', timezone('UTC', tm)) AS read_as_utc, timezone('UTC', timezone('Europe/London', tm)) AS read_as_local FROM o
-WHERE hour(tm) <> 1
+SELECT o_orderkey, timezone('Europe/London', timezone('UTC', tm)) AS read_as_utc,
+       CASE WHEN month(tm) = 10 AND day(tm) >= 25 AND dayofweek(tm) = 0 AND hour(tm) = 1 THEN tm - INTERVAL 1 HOUR ELSE timezone('UTC', timezone('Europe/London', tm)) END AS read_as_local FROM o
 """)
 def _(t):
-    # local times in the hour repeated each autumn are ambiguous; engines choose differently
+    # of a local time in the hour repeated each autumn, the first is meant
     text = F.date_format("at", "yyyy-MM-dd HH:mm:ss")
-    return _order_clock(t).filter(F.hour("at") != 1).select(
+    return _order_clock(t).select(
         "o_orderkey",
         tu.wall_clock(tu.parse_instant(text)).alias("read_as_utc"),
         tu.parse_instant(text, naive_zone=tu.LONDON).alias("read_as_local"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,12 +31,19 @@ def build_session(master: str | None = None, *, zone: str = "UTC", partitions: i
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Without one a cluster cannot go on.  A local session, all of one machine,
+    gets a temporary folder.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    target = configured or tempfile.mkdtemp(prefix="tidemark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+    target = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not target:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        target = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     sc.setCheckpointDir(target)
     return target

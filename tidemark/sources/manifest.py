@@ -31,10 +31,12 @@ def content_digests(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     Row hashes are summed, not collected, so a group of any size combines on the
     map side.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    part = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
-    rows = df.select(*keys, part.alias("_h"))
-    return rows.groupBy(*keys).agg(F.md5(F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum("_h").cast("string"))).alias("digest"))
+    # each field says how long it is, and null differs from any text
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    text = F.concat(*[field(F.col(c).cast("string")) for c in columns])
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 16), 16, 10).cast("decimal(38,0)")
+    rows = df.select(*keys, half(1).alias("_h"), half(17).alias("_l"))
+    return rows.groupBy(*keys).agg(F.md5(F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum("_h").cast("string"), F.sum("_l").cast("string"))).alias("digest"))
 
 
 def changed(now: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:

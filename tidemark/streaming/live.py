@@ -23,8 +23,8 @@ from ..session import ensure_checkpoint_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def incoming_files(spark: SparkSession, folder: str, schema: T.StructType, *, pattern: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
-    """New files of a folder, each picked up once."""
+def incoming_files(spark: SparkSession, folder: str, schema: T.StructType, *, pattern: str = "*.parquet", per_trigger: int | None = 100) -> DataFrame:
+    """New files of a folder, each picked up once; a backlog is worked off in batches of ``per_trigger`` files."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
@@ -59,7 +59,7 @@ def online_epochs(stream: DataFrame, keys: Sequence[str], at: str, value: str, *
 
 
 def online_medians(stream: DataFrame, keys: Sequence[str], at: str, value: str, *, length: str = "30 seconds", late: str = "10 seconds", offset: str = "0 seconds", accuracy: int = 10_000) -> DataFrame:
-    """Approximate bucket medians: the state is a bounded sketch."""
+    """Approximate bucket medians: the state is a bounded sketch, its rank error at most 1 / ``accuracy``; up to ``accuracy`` values it is a value of middle rank."""
     rows = stream.withWatermark(at, late).groupBy(*keys, F.window(at, length, length, offset).alias("w"))
     return rows.agg(F.percentile_approx(value, 0.5, accuracy).alias("median")).select(*keys, F.col("w.start").alias("at"), "median")
 
