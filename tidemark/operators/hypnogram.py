@@ -146,19 +146,21 @@ def confident_wake(df: DataFrame, keys: Sequence[str], order: str, stage: str =
 
 def events_per_epoch(epochs: DataFrame, events: DataFrame, keys: Sequence[str], epoch_at: str, event_at: str,
                      manual: tuple[Column, Column] | None = None) -> DataFrame:
-    """Epochs with the events in ``[start, next start)`` summarised, and whether they prove wake.
+    """Epochs with the events in ``[start, next start)``, listed and summarised, and whether they prove wake.
 
-    The last epoch has no end: its summary is empty but any later event proves wake.
+    The last epoch has no end: its list is empty but any later event proves wake. Without a list for it, an epoch's
+    events are bounded by its length.
     """
     ends = epochs.withColumn("_end", F.lead(epoch_at).over(Window.partitionBy(*keys).orderBy(epoch_at)))
     # the epoch an event falls into is the last one starting at or before it
     rows = events.select(*keys, F.col(event_at).alias("_at"), F.lit(1).alias("_side")).unionByName(
-        epochs.select(*keys, F.col(epoch_at).alias("_at"), F.lit(0).alias("_side")))
+        ends.select(*keys, F.col(epoch_at).alias("_at"), F.lit(0).alias("_side"), F.col("_end").isNull().alias("_last")), allowMissingColumns=True)
     walk = Timeline(tuple(keys), ("_at", "_side"), F.floor(F.col("_at") / (86_400 * 1_000_000)))
-    placed = running(rows, walk, {"_epoch_at": ("last", F.when(F.col("_side") == 0, F.col("_at")))}).filter(
+    placed = running(rows, walk, {"_epoch_at": ("last", F.when(F.col("_side") == 0, F.col("_at"))), "_open": ("last", F.when(F.col("_side") == 0, F.col("_last")))}).filter(
         (F.col("_side") == 1) & F.col("_epoch_at").isNotNull())
     hits = placed.groupBy(*keys, F.col("_epoch_at").alias(epoch_at)).agg(
-        F.count(F.lit(1)).alias("_hits"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+        F.count(F.lit(1)).alias("_hits"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"),
+        F.sort_array(F.collect_list(F.when(~F.coalesce(F.col("_open"), F.lit(False)), F.col("_at")))).alias("_list"))
     joined = ends.join(hits, [*keys, epoch_at], "left")
     inner = F.col("_end").isNotNull()
     any_hit = F.coalesce(F.col("_hits") > 0, F.lit(False))
@@ -167,10 +169,11 @@ def events_per_epoch(epochs: DataFrame, events: DataFrame, keys: Sequence[str],
         by_hand = F.coalesce(inner & (F.col(epoch_at) >= manual[0]) & (F.col("_end") <= manual[1]), F.lit(False))
     return joined.withColumns({
         "event_count": F.when(inner, F.coalesce("_hits", F.lit(0))).otherwise(0).cast("long"),
+        "event_times": F.when(inner, F.coalesce("_list", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")),
         "first_event": F.when(inner, F.col("_lo")),
         "last_event": F.when(inner, F.col("_hi")),
         "definitely_awake": any_hit | by_hand,
-    }).drop("_end", "_hits", "_lo", "_hi")
+    }).drop("_end", "_hits", "_lo", "_hi", "_list")
 
 
 def away_from(df: DataFrame, keys: Sequence[str], at: str, flag: Column, reach: int, name: str = "probably_asleep") -> DataFrame:

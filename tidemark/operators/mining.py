@@ -9,12 +9,11 @@ of the active ones.  Work is linear in events times vocabulary.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.local import local_table
+from ..session import ensure_checkpoint_dir
 from .timeline import Timeline, framed, running
 
 MINUTE = 60_000_000
@@ -23,23 +22,25 @@ GAP_BUCKETS = [("immediate", 5), ("under_15min", 15), ("15_30min", 30), ("30_60m
 WIDE = "decimal(38,0)"
 
 
-def kind_pairs(df: DataFrame, kind: str, lo: int, hi: int, *, same: bool = False) -> DataFrame:
-    """All ordered pairs of event kinds with a gap range (vocabulary squared rows)."""
-    kinds = [r[0] for r in df.select(kind).distinct().collect()]
-    rows = [(a, b, lo, hi, 0) for a in kinds for b in kinds if same or a != b]
-    return local_table(df.sparkSession, rows, "first string, second string, lo long, hi long, part int")
+def kind_pairs(df: DataFrame, keys: Sequence[str], kind: str, lo: int, hi: int, *, same: bool = False) -> DataFrame:
+    """Ordered pairs of the event kinds that a series has, with a gap range: (keys, first, second, lo, hi, part)."""
+    present = df.select(*keys, kind).distinct()
+    pairs = present.withColumnRenamed(kind, "first").join(present.withColumnRenamed(kind, "second"), list(keys))
+    pairs = pairs if same else pairs.filter(F.col("first") != F.col("second"))
+    return pairs.withColumns({"lo": F.lit(lo).cast("long"), "hi": F.lit(hi).cast("long"), "part": F.lit(0)})
 
 
 def sweep_pairs(df: DataFrame, keys: Sequence[str], at: str, kind: str, order: str, pairs: DataFrame, *, chunk: int) -> DataFrame:
     """One row per second event and pair with the first events ``lo <= gap <= hi`` before it.
 
-    ``n`` of them, their gaps' ``total`` and ``squares`` (exact sums) and the ``nearest`` gap.  ``pairs`` is a vocabulary-sized table, broadcast.
+    ``n`` of them, their gaps' ``total`` and ``squares`` (exact sums) and the ``nearest`` gap.  ``pairs`` may be per series
+    (with the keys) or for all; how it is joined is left to its size.
     """
-    p = F.broadcast(pairs)
+    per = [c for c in keys if c in pairs.columns]
     k, t = F.col(kind), F.col(at)
     ids = [*keys, "first", "second", "part"]
-    a = df.select(*keys, t.alias(at), k.alias(kind), order).join(p, F.col(kind) == F.col("first"))
-    b = df.select(*keys, t.alias(at), k.alias(kind), order).join(p, F.col(kind) == F.col("second"))
+    a = df.select(*keys, t.alias(at), k.alias("first"), order).join(pairs, [*per, "first"])
+    b = df.select(*keys, t.alias(at), k.alias("second"), order).join(pairs, [*per, "second"])
     first = a.select(*ids, order, F.inline(F.array(
         F.struct((t + F.col("lo")).alias("_t"), F.lit(0).alias("_phase"), t.alias("_a")),
         F.struct((t + F.col("hi")).alias("_t"), F.lit(2).alias("_phase"), t.alias("_a")))))
@@ -87,7 +88,7 @@ def bounded_gap_episodes(df: DataFrame, keys: Sequence[str], at: str, kind: str,
     pass yields both.
     """
     pair = ["first", "second"]
-    hits = sweep_pairs(df, keys, at, kind, order, kind_pairs(df, kind, 1, gap), chunk=chunk)
+    hits = sweep_pairs(df, keys, at, kind, order, kind_pairs(df, keys, kind, 1, gap), chunk=chunk)
     sums = [F.sum(c).alias(c) for c in ("n", "total", "squares")] + [F.min("nearest").alias("nearest")]
     by_day = hits.groupBy(*pair, F.to_date(F.timestamp_micros(F.col(at))).alias("_day")).agg(*sums)
     run = F.date_sub(F.col("_day"), F.row_number().over(Window.partitionBy(*pair).orderBy("_day")))
@@ -97,24 +98,29 @@ def bounded_gap_episodes(df: DataFrame, keys: Sequence[str], at: str, kind: str,
     return stats.filter(F.col("occurrences") >= at_least)
 
 
-def triple_counts(df: DataFrame, keys: Sequence[str], at: str, kind: str, order: str, *, gap: int, at_least: int, chunk: int) -> DataFrame:
-    """Triples of different kinds whose neighbours are at most ``gap`` apart, extending frequent pairs.
+def triple_counts(df: DataFrame, keys: Sequence[str], at: str, kind: str, order: str, *, gap: int, at_least: int, chunk: int, shortest: int = 1) -> DataFrame:
+    """Triples of different kinds whose neighbours are ``shortest`` to ``gap`` apart, extending frequent pairs.
 
     A middle event contributes (firsts before it) times (thirds after it); the
     thirds come from the same sweep on reversed time.
     """
-    pairs = kind_pairs(df, kind, 1, gap)
+    pairs = kind_pairs(df, keys, kind, shortest, gap)
     before = sweep_pairs(df, keys, at, kind, order, pairs, chunk=chunk)
     frequent = before.groupBy("first", "second").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= at_least).select("first", "second")
     mirrored = df.withColumn(at, -F.col(at))
     after = sweep_pairs(mirrored, keys, at, kind, order, pairs, chunk=chunk)
-    lead = before.join(F.broadcast(frequent), ["first", "second"]).select(*keys, order, "first", F.col("second").alias("middle"), F.col("n").alias("_b"))
+    lead = before.join(frequent, ["first", "second"]).select(*keys, order, "first", F.col("second").alias("middle"), F.col("n").alias("_b"))
     tail = after.select(*keys, order, F.col("first").alias("third"), F.col("second").alias("middle"), F.col("n").alias("_a"))
-    follow = F.broadcast(frequent.select(F.col("first").alias("middle"), F.col("second").alias("third")))
+    follow = frequent.select(F.col("first").alias("middle"), F.col("second").alias("third"))
     met = lead.join(tail.join(follow, ["middle", "third"]), [*keys, order, "middle"]).filter(F.col("first") != F.col("third"))
     return met.groupBy("first", "middle", "third").agg(F.sum(F.col("_a") * F.col("_b")).alias("occurrences")).filter(F.col("occurrences") >= at_least)
 
 
+def same_day_triples(df: DataFrame, keys: Sequence[str], at: str, kind: str, order: str, day: str, *, lo: int, hi: int, at_least: int, chunk: int) -> DataFrame:
+    """Triples of different kinds within one day, neighbours ``lo`` to ``hi`` apart."""
+    return triple_counts(df, [*keys, day], at, kind, order, gap=hi, shortest=max(lo, 1), at_least=at_least, chunk=chunk)
+
+
 def same_day_patterns(df: DataFrame, keys: Sequence[str], at: str, kind: str, order: str, day: str, *, lo: int, hi: int, at_least: int, chunk: int) -> DataFrame:
     """Pairs within a day by gap range: spread, share inside one deviation, consistency, support, lift and day streak.
 
@@ -122,16 +128,15 @@ def same_day_patterns(df: DataFrame, keys: Sequence[str], at: str, kind: str, or
     """
     spark = df.sparkSession
     every = [*keys, day]
-    hits = sweep_pairs(df, every, at, kind, order, kind_pairs(df, kind, max(lo, 1), hi, same=True), chunk=chunk)
+    hits = sweep_pairs(df, every, at, kind, order, kind_pairs(df, every, kind, max(lo, 1), hi, same=True), chunk=chunk)
     by = ["first", "second"]
-    stats = gap_statistics(hits, by).filter(F.col("occurrences") >= at_least)
-    # vocabulary squared rows: small enough to plan the second sweep with
-    chosen = stats.collect()
-    bands = [(r["first"], r["second"], max(int(-(-(r["mean_gap"] - r["std_gap"]) * MINUTE // 1)), lo, 1), min(int((r["mean_gap"] + r["std_gap"]) * MINUTE // 1), hi), 0) for r in chosen]
-    band_pairs = local_table(spark, bands, "first string, second string, lo long, hi long, part int")
+    ensure_checkpoint_dir(spark)
+    # one row per pair of kinds, needed twice
+    fixed = gap_statistics(hits, by).filter(F.col("occurrences") >= at_least).checkpoint()
+    low = F.ceil((F.col("mean_gap") - F.col("std_gap")) * MINUTE).cast("long")
+    high = F.floor((F.col("mean_gap") + F.col("std_gap")) * MINUTE).cast("long")
+    band_pairs = fixed.select(*by, F.greatest(low, F.lit(max(lo, 1))).alias("lo"), F.least(high, F.lit(hi)).alias("hi"), F.lit(0).alias("part"))
     inside = sweep_pairs(df, every, at, kind, order, band_pairs, chunk=chunk).groupBy(*by).agg(F.sum("n").alias("_in"))
-    fixed = local_table(spark, [(r["first"], r["second"], r["occurrences"], r["mean_gap"], r["std_gap"], r["min_gap"]) for r in chosen],
-                                  "first string, second string, occurrences long, mean_gap double, std_gap double, min_gap double")
     seen = hits.select(*by, *every).distinct()
     supported = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("_days"))
     present = df.select(*every, kind).distinct().groupBy(kind).agg(F.count(F.lit(1)).alias("_p"))
@@ -173,7 +178,7 @@ def window_episodes(df: DataFrame, keys: Sequence[str], at: str, kind: str, orde
     ahead = framed(rows, line, {f"_k{i}": (lambda w, i=i: F.lead(kind, i).over(w)) for i in range(1, reach + 1)}, before=0, after=reach)
     pairs = ahead.select(*every, F.col(kind).alias("first"), F.explode(F.array(*[F.col(f"_k{i}") for i in range(1, reach + 1)])).alias("second")).filter("second IS NOT NULL")
     per = pairs.groupBy(*every, "first", "second").agg(F.count(F.lit(1)).alias("_occ"))
-    gaps = sweep_pairs(rows, every, at, kind, order, kind_pairs(df, kind, 1, size, same=True), chunk=chunk).groupBy(*every, "first", "second").agg(
+    gaps = sweep_pairs(rows, every, at, kind, order, kind_pairs(rows, every, kind, 1, size, same=True), chunk=chunk).groupBy(*every, "first", "second").agg(
         F.sum("n").alias("_n"), F.sum("total").alias("_t"), F.sum("squares").alias("_q"), F.min("nearest").alias("_m"))
     total = rows.select(*every).distinct().agg(F.count(F.lit(1))).first()[0]
     w = F.col("_occ")
@@ -201,14 +206,13 @@ def window_triples(df: DataFrame, keys: Sequence[str], at: str, kind: str, order
 
 def sliding_transactions(df: DataFrame, keys: Sequence[str], at: str, kind: str, order: str, *, size: int, chunk: int) -> DataFrame:
     """Item sets of half-overlapping windows: event kinds, and ``A_to_B_<bucket>`` for earlier events up to two hours before (in or out of the window)."""
-    spark = df.sparkSession
-    kinds = [r[0] for r in df.select(kind).distinct().collect()]
-    rows, low = [], 1
+    bounds, low = [], 1
     for i, (_, bound) in enumerate(GAP_BUCKETS):
-        rows += [(a, b, low, bound * MINUTE - 1, i) for a in kinds for b in kinds]
+        bounds.append((low, bound * MINUTE - 1, i))
         low = bound * MINUTE
-    rows += [(a, b, low, low, len(GAP_BUCKETS)) for a in kinds for b in kinds]
-    pairs = local_table(spark, rows, "first string, second string, lo long, hi long, part int")
+    bounds.append((low, low, len(GAP_BUCKETS)))
+    ranges = F.array(*[F.struct(F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi"), F.lit(i).alias("part")) for a, b, i in bounds])
+    pairs = kind_pairs(df, keys, kind, 1, 1, same=True).select(*keys, "first", "second", F.inline(ranges))
     names = F.array(*[F.lit(n) for n, _ in GAP_BUCKETS], F.lit("over_2hours"))
     hits = sweep_pairs(df, keys, at, kind, order, pairs, chunk=chunk)
     sequences = hits.select(*keys, at, order, F.concat_ws("_", "first", F.lit("to"), "second", F.element_at(names, F.col("part") + 1)).alias("item"))
@@ -267,9 +271,26 @@ def rules_for(rules: DataFrame, outcome: Column, *, interventions: Sequence[str]
     return out
 
 
+# fixed values: how each gap bucket reads between two events
+BUCKET_TEXT = {
+    "immediate": " immediately followed by ", "under_15min": " followed within 15 minutes by ", "15_30min": " followed 15-30 minutes later by ",
+    "30_60min": " followed 30-60 minutes later by ", "1_2hours": " followed 1-2 hours later by ", "over_2hours": " followed over 2 hours later by ",
+}
+
+
+def readable_item(item: Column) -> Column:
+    """``a_to_b_<bucket>`` as a phrase; other items stay."""
+    text = item
+    for bucket, words in BUCKET_TEXT.items():
+        hit = item.contains("_to_") & item.endswith(f"_{bucket}")
+        text = F.when(hit, F.regexp_replace(F.regexp_replace(item, f"_{bucket}$", ""), "_to_", words)).otherwise(text)
+    return text
+
+
 def top_rules(rules: DataFrame, n: int) -> DataFrame:
     """The ``n`` rules of highest lift as readable text."""
-    text = F.format_string("When %s then %s (confidence %.1f%%, lift %.2f)", F.array_join("antecedent", " and "), F.array_join("consequent", " and "), F.col("confidence") * 100, F.col("lift"))
+    said = lambda side: F.array_join(F.transform(side, readable_item), " and ")
+    text = F.format_string("When %s then %s (confidence %.1f%%, lift %.2f)", said("antecedent"), said("consequent"), F.col("confidence") * 100, F.col("lift"))
     return rules.withColumn("text", text).orderBy(F.desc("lift"), F.desc("confidence"), F.col("text")).limit(n)
 
 

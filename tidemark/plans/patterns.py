@@ -55,6 +55,25 @@ def _(t):
                       *[F.round(c, 6).alias(c) for c in ("min_gap", "band_share", "consistency", "support", "lift")], "streak")
 
 
+@query("same_day_triples", "K11", f"WITH {E5}," + f"""
+p2 AS (SELECT a.user_id, a.day, a.kind AS first, b.kind AS middle, b.us AS us2 FROM e a JOIN e b ON a.user_id = b.user_id AND a.day = b.day AND a.kind <> b.kind AND b.us - a.us BETWEEN {5 * MIN} AND {480 * MIN}),
+fq AS (SELECT first, middle FROM p2 GROUP BY ALL HAVING count(*) >= 3)
+SELECT first, middle, kind AS third, count(*) AS occurrences FROM p2 JOIN e c ON c.user_id = p2.user_id AND c.day = p2.day AND c.us - us2 BETWEEN {5 * MIN} AND {480 * MIN} AND c.kind <> first AND c.kind <> middle
+WHERE (first, middle) IN (SELECT (first, middle) FROM fq) AND (middle, c.kind) IN (SELECT (first, middle) FROM fq) GROUP BY ALL HAVING count(*) >= 3
+""")
+def _(t):
+    return mi.same_day_triples(_stream(t), ["user_id"], "us", "kind", "event_id", "day", lo=5 * MIN, hi=480 * MIN, at_least=3, chunk=DAY_US)
+
+
+@query("readable_items", "K08", """
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type || ' immediately followed by view' WHEN 1 THEN event_type || ' followed within 15 minutes by view' WHEN 2 THEN event_type || ' followed 15-30 minutes later by view'
+  WHEN 3 THEN event_type || ' followed 30-60 minutes later by view' WHEN 4 THEN event_type || ' followed 1-2 hours later by view' WHEN 5 THEN event_type || ' followed over 2 hours later by view' ELSE event_type END AS text FROM events
+""")
+def _(t):
+    tail = F.element_at(F.array(*[F.lit(f"_to_view_{b}") for b in mi.BUCKET_TEXT], F.lit("")), (F.col("event_id") % 7 + 1).cast("int"))
+    return t.events.select("event_id", mi.readable_item(F.concat("event_type", tail)).alias("text"))
+
+
 @query("day_streaks", "K12", """
 WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), r AS (SELECT user_id, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS run FROM d),
 c AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL) SELECT user_id, max(n) AS streak FROM c GROUP BY user_id

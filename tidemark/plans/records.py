@@ -1,16 +1,60 @@
 """Source, manifest and note queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import timeutil as tu
 from ..operators import notes as nt
 from ..operators.timeline import Timeline, previous, running
 from ..sources import manifest as mf
+from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
 from .registry import query
 from .resampling import DAY_US
 
 
+def shared_path(spark):
+    """A new folder for one run, where executors share files."""
+    return f"{ensure_checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query("recordings_from_csv", "A01", "SELECT CAST(user_id AS VARCHAR) AS recording_id, event_id, value FROM events")
+def _(t):
+    # one folder per recording, as the device leaves them, then read back
+    root = f"{shared_path(t.spark)}/csv"
+    t.events.select(F.col("user_id").alias("recording"), "event_id", "value").repartition("recording").write.partitionBy("recording").option("header", True).csv(root)
+    found = tb.read_recordings(t.spark, root, "*.csv", T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())]))
+    return found.select(F.regexp_extract("recording_id", r"(\d+)$", 1).alias("recording_id"), "event_id", "value")
+
+
+@query("tables_stacked", "A02", """
+SELECT 'customer.parquet' AS origin, c_custkey AS id, c_name AS name, NULL::VARCHAR AS brand FROM customer UNION ALL SELECT 'part.parquet', p_partkey, p_name, p_brand FROM part
+""")
+def _(t):
+    origin = F.regexp_extract("_metadata.file_path", r"([a-z]+\.parquet)(/[^/]*)?$", 1).alias("origin")
+    return tb.union_recordings([t.customer.select(origin, F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
+                                t.part.select(origin, F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))])
+
+
+@query("recordings_replaced", "A13", "SELECT user_id, count(*) AS n, round(sum(CASE WHEN user_id % 3 = 0 THEN value + 1 ELSE value END), 4) AS total FROM events GROUP BY user_id")
+def _(t):
+    # all recordings, then a third of them anew: only these are replaced
+    root = f"{shared_path(t.spark)}/recordings"
+    rows = t.events.select("user_id", "event_id", "value")
+    tb.write_recordings(rows, root, "user_id")
+    tb.write_recordings(rows.filter("user_id % 3 = 0").withColumn("value", F.col("value") + 1), root, "user_id")
+    back = t.spark.read.parquet(root)
+    return back.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("files_of_tables", "A17", "SELECT 'orders.parquet' AS name, count(*) > 0 AS filled FROM orders UNION ALL SELECT 'part.parquet', count(*) > 0 FROM part")
+def _(t):
+    files = tb.list_files(t.spark, f"{t.folder}/*.parquet").filter(F.col("name").isin("orders.parquet", "part.parquet"))
+    return files.select("name", (F.col("length") > 0).alias("filled"))
+
+
 @query("document_find", "A03", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars > 500")
 def _(t):
     return tb.find(t.documents, (F.col("lang") == "en") & (F.col("n_chars") > 500), ["doc_id", "lang", "n_chars"], [F.col("doc_id")])

@@ -138,11 +138,11 @@ def _(t):
 
 @query("events_in_epochs", "E08", f"WITH {EPOCHS}" + """,
 x AS (SELECT user_id, epoch, at_us, lead(at_us) OVER (PARTITION BY user_id ORDER BY epoch) AS end_us FROM ep),
-h AS (SELECT x.user_id, x.epoch, count(e.us) AS k, min(e.us) AS lo, max(e.us) AS hi FROM x LEFT JOIN
+h AS (SELECT x.user_id, x.epoch, count(e.us) AS k, min(e.us) AS lo, max(e.us) AS hi, string_agg(e.us, ' ' ORDER BY e.us) AS times FROM x LEFT JOIN
   (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'error') e
   ON e.user_id = x.user_id AND e.us >= x.at_us AND (e.us < x.end_us OR x.end_us IS NULL) GROUP BY ALL)
 SELECT user_id, epoch, CASE WHEN end_us IS NULL THEN 0 ELSE k END AS event_count, CASE WHEN end_us IS NOT NULL THEN lo END AS first_event,
-  CASE WHEN end_us IS NOT NULL THEN hi END AS last_event,
+  CASE WHEN end_us IS NOT NULL THEN hi END AS last_event, CASE WHEN end_us IS NOT NULL THEN coalesce(times, '') ELSE '' END AS event_times,
   k > 0 OR coalesce(end_us IS NOT NULL AND at_us >= 1704844800000000 AND end_us <= 1704931200000000, false) AS definitely_awake
 FROM x JOIN h USING (user_id, epoch)
 """, nullable="first_event last_event")
@@ -150,7 +150,7 @@ def _(t):
     presses = t.timed.filter("event_type = 'error'").select("user_id", "us")
     manual = (F.lit(1704844800000000), F.lit(1704931200000000))
     out = hy.events_per_epoch(epochs(t), presses, ["user_id"], "at", "us", manual)
-    return out.select("user_id", "epoch", "event_count", "first_event", "last_event", "definitely_awake")
+    return out.select("user_id", "epoch", "event_count", "first_event", "last_event", F.array_join("event_times", " ").alias("event_times"), "definitely_awake")
 
 
 @query("away_from_wake", "E09 E10", f"WITH {EPOCHS}" + """,

@@ -31,7 +31,7 @@ def _(t):
     return _ntz(out, "at").select("user_id", "at", "n", F.round(F.col("mean_value") + 1e-9, 6).alias("mean_value"), F.round("std_value", 6).alias("std_value"))
 
 
-@query("live_view", "S01", f"WITH {CLOSED}, w AS (SELECT user_id, (epoch_us(ts) // {6 * HOUR_US} - k) * {6 * HOUR_US} AS s, ts, value FROM events, range(0, 4) r(k)), g AS (SELECT user_id, s, count(*) AS n, max(ts) AS newest FROM w GROUP BY ALL) SELECT user_id, make_timestamp(s) AS from_at, n, newest FROM g, wm WHERE s + {24 * HOUR_US} <= wm.us")
+@query("live_view", "S01 S09", f"WITH {CLOSED}, w AS (SELECT user_id, (epoch_us(ts) // {6 * HOUR_US} - k) * {6 * HOUR_US} AS s, ts, value FROM events, range(0, 4) r(k)), g AS (SELECT user_id, s, count(*) AS n, max(ts) AS newest FROM w GROUP BY ALL) SELECT user_id, make_timestamp(s) AS from_at, n, newest FROM g, wm WHERE s + {24 * HOUR_US} <= wm.us")
 def _(t):
     out = lv.run_available(lv.latest_view(_stream(t), ["user_id"], "ts", "value", length="24 hours", slide="6 hours", late="1 hour"))
     return _ntz(out, "from_at", "newest").select("user_id", "from_at", "n", "newest")

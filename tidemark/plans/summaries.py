@@ -244,3 +244,21 @@ def _(t):
     # an epoch holds a fixed number of samples, so it is its own chunk
     seen = previous(rows, Timeline(("rec", "epoch"), ("sample_no",), F.lit(0)), p="q")
     return seen.groupBy("rec", "epoch").agg(F.round(F.count_distinct("q") / F.count(F.lit(1)), 6).alias("distinct_ratio"), F.round(F.avg(F.abs(F.col("q") - F.col("p"))), 6).alias("mean_step"))
+
+
+@query("resolution_of_first_deep_epoch", "G22", f"WITH {EPOCHS}, {SIGNAL.strip().removesuffix(',')}," + """
+f AS (SELECT user_id, min(epoch) AS epoch FROM ep WHERE stage = 'N3' AND confidence > 0.8 GROUP BY user_id),
+s AS (SELECT rec, sample_no // 64 AS epoch, value, abs(value - lag(value) OVER (PARTITION BY rec, sample_no // 64 ORDER BY sample_no)) AS step FROM sg)
+SELECT f.user_id, f.epoch, round(count(DISTINCT value) / count(*), 6) AS distinct_ratio, round(avg(step), 6) AS mean_step
+FROM f JOIN s ON s.rec = f.user_id AND s.epoch = f.epoch % 4 GROUP BY ALL
+""")
+def _(t):
+    from ..operators.timeline import Timeline
+
+    # the first deep epoch that is sure; its samples are those of the recording with its number
+    first = epochs(t).filter("stage = 'N3' AND confidence > 0.8").groupBy("user_id").agg(F.min("epoch").alias("first_epoch"))
+    rows = signal(t).select("rec", F.floor(F.col("sample_no") / 64).alias("epoch"), "sample_no", "value")
+    chosen = rows.join(first.select(F.col("user_id").alias("rec"), (F.col("first_epoch") % 4).alias("epoch"), "first_epoch"), ["rec", "epoch"])
+    seen = previous(chosen, Timeline(("rec", "epoch"), ("sample_no",), F.lit(0)), p="value")
+    return seen.groupBy(F.col("rec").alias("user_id"), F.col("first_epoch").alias("epoch")).agg(
+        F.round(F.count_distinct("value") / F.count(F.lit(1)), 6).alias("distinct_ratio"), F.round(F.avg(F.abs(F.col("value") - F.col("p"))), 6).alias("mean_step"))
