@@ -53,6 +53,12 @@ def keyword_search(index: DataFrame, ids: Sequence[str], words: Sequence[str], k
     return hits.orderBy(F.desc("matched"), F.desc("occurrences"), *ids).limit(k)
 
 
+def retrieve_notes(df: DataFrame, text: str, words: Sequence[str], tags: str, tag: str, order: Sequence[str]) -> DataFrame:
+    """Notes with a tag and any of the words, sorted (by day, say)."""
+    found = F.arrays_overlap(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), F.array(*[F.lit(w.lower()) for w in words]))
+    return df.filter(F.array_contains(tags, tag) & found).orderBy(*order)
+
+
 def nearest_vectors(df: DataFrame, ident: str, vector: str, queries: dict[str, Sequence[float]], k: int) -> DataFrame:
     """The ``k`` vectors of largest dot product per query vector.
 

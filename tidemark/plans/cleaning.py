@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import eventlog as el
 from ..operators import quality as qu
+from ..operators.quantiles import exact_quantiles
 from .common import CHANNELS, EPOCHS, HOURS6, channel_epochs, epochs
 from .joining import DAILY, MEASURES, daily
 from .registry import query
@@ -161,12 +162,12 @@ def _(t):
 
 
 @query("percentile_scale", "H16", """
-WITH l AS (SELECT event_type AS col, value, event_id FROM events), s AS (SELECT col, min(value) AS p10, max(value) AS p90 FROM l WHERE col <> 'view' GROUP BY col)
+WITH l AS (SELECT event_type AS col, value, event_id FROM events), s AS (SELECT col, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90 FROM l WHERE col <> 'view' GROUP BY col)
 SELECT event_id, col AS "column", round(CASE WHEN p10 IS NULL THEN value ELSE (value - p10) / (p90 - p10) END, 6) AS scaled FROM l LEFT JOIN s USING (col)
 """)
 def _(t):
     long = t.events.select("event_id", F.col("event_type").alias("column"), "value")
-    stats = long.filter("column <> 'view'").groupBy("column").agg(F.min("value").alias("p10"), F.max("value").alias("p90"))
+    stats = exact_quantiles(long.filter("column <> 'view'"), ["column"], "value", {"p10": 0.1, "p90": 0.9})
     return qu.scale_by_percentiles(long, stats).select("event_id", "column", F.round("scaled", 6).alias("scaled"))
 
 
@@ -185,11 +186,17 @@ def _(t):
     return u.drop(*qu.redundant_percentile_columns(u)).withColumn("value_mean", F.round("value_mean", 6))
 
 
-@query("collinear_columns", "H19", f"WITH {HOLES} SELECT event_id, a, b, d FROM wd")
+@query("collinear_columns", "H19", f"WITH {HOLES}," + """
+w AS (SELECT b, d, d * 2 + CASE WHEN event_id % 50 = 0 THEN 5 ELSE 0 END AS d2 FROM wd),
+r AS (SELECT abs(corr(b, d)) AS bd, abs(corr(b, d2)) AS bd2, abs(corr(d, d2)) AS dd2 FROM w)
+SELECT 'flat' AS "column", 'variance' AS reason UNION ALL SELECT CASE WHEN bd > bd2 THEN 'd' ELSE 'd2' END, 'collinear' FROM r WHERE dd2 > 0.99
+""")
 def _(t):
-    df = holes(t).select("event_id", "a", "b", "d", (F.col("d") * 2 + 1).alias("d2"), F.lit(1.0).alias("flat"))
-    flat, twins = qu.collinear_columns(df.select("b", "d", "d2", "flat"), ["b", "d", "d2", "flat"])
-    return df.drop(*flat, *twins).select("event_id", "a", "b", *(F.col(c).alias("d") if c == "d" else ((F.col(c) - 1) / 2).alias("d") for c in df.drop(*flat, *twins).columns if c in ("d", "d2")))
+    noisy = F.col("d") * 2 + F.when(F.col("event_id") % 50 == 0, 5).otherwise(0)
+    df = holes(t).select("event_id", "b", "d", noisy.alias("d2"), F.lit(1.0).alias("flat"))
+    flat, twins = qu.collinear_columns(df, ["b", "d", "d2", "flat"])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(r).alias("reason")) for r, names in (("variance", flat), ("collinear", twins)) for c in names]
+    return df.limit(1).select(F.inline(F.array(*rows)))
 
 
 DAYS = f"{DAILY}, dn AS (SELECT user_id, day, CASE WHEN n > 1 THEN CAST(n AS DOUBLE) END AS n, CASE WHEN n <> 2 THEN CAST(n AS DOUBLE) END AS m FROM dy)"

@@ -206,10 +206,16 @@ def _(t):
     return st.effect_sizes(t.events, [], "event_type", "value").withColumn("effect_size", F.round("effect_size", 6))
 
 
-@query("merged_clusters", "L34", "SELECT event_id, 0 AS merged FROM events")
+@query("merged_clusters", "L34", """
+WITH v AS (SELECT event_id, event_type AS c, value + CASE event_type WHEN 'purchase' THEN 1000 WHEN 'signup' THEN 1000 WHEN 'view' THEN 5000 ELSE 0 END AS x FROM events),
+g AS (SELECT c, dense_rank() OVER (ORDER BY c) - 1 AS label, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM v GROUP BY c),
+p AS (SELECT b.c, min(a.label) AS label FROM g a JOIN g b ON a.label <= b.label WHERE a.label = b.label OR abs(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) < 0.3 GROUP BY b.c)
+SELECT event_id, CAST(label AS INTEGER) AS merged FROM v JOIN p USING (c)
+""")
 def _(t):
     label = F.element_at(F.create_map(*[x for i, k in enumerate(["click", "error", "purchase", "signup", "view"]) for x in (F.lit(k), F.lit(i))]), F.col("event_type"))
-    return st.merge_similar(t.events.select("event_id", "value", label.alias("c")), "c", "value").select("event_id", "merged")
+    apart = F.when(label.isin(2, 3), 1000).when(label == 4, 5000).otherwise(0)
+    return st.merge_similar(t.events.select("event_id", (F.col("value") + apart).alias("value"), label.alias("c")), "c", "value").select("event_id", "merged")
 
 
 @query("cluster_lines", "L35", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY ALL")
