@@ -28,7 +28,7 @@ def _(t):
 s AS (SELECT flag, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM xy GROUP BY flag),
 r AS (SELECT xy.flag, id, (n * sxy - sx * sy) ** 2 / ((n * sxx - sx * sx) * (n * syy - sy * sy)) AS whole,
   ((n - 1) * (sxy - x * y) - (sx - x) * (sy - y)) ** 2 / (((n - 1) * (sxx - x * x) - (sx - x) ** 2) * ((n - 1) * (syy - y * y) - (sy - y) ** 2)) AS without FROM xy JOIN s USING (flag))
-SELECT flag, id, round((without - whole) * 1000, 3) AS rise FROM r
+SELECT flag, id, round((without - whole) * 1000, 3) + 0.0::DOUBLE AS rise FROM r
 """)
 def _(t):
     return rl.leave_one_out(_xy(t), ["flag"], ["id"], "x", "y").withColumn("rise", F.round(F.col("rise") * 1000, 3))
