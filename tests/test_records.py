@@ -101,7 +101,7 @@ def test_sweep_counts_every_pair_without_listing_them(spark):
     ev = [(k, rnd.randrange(0, 4000) * 1_000_000, i, rnd.choice("abc")) for i in range(150) for k in [0 if rnd.random() < 0.8 else 1]]
     df = spark.createDataFrame(ev, "k long, t long, i long, e string")
     lo, hi = 60_000_000, 900_000_000
-    hits = mi.sweep_pairs(df, ["k"], "t", "e", "i", mi.kind_pairs(df, "e", lo, hi, same=True), chunk=500_000_000)
+    hits = mi.sweep_pairs(df, ["k"], "t", "e", "i", mi.kind_pairs(df, ["k"], "e", lo, hi, same=True), chunk=500_000_000)
     got = {(r["first"], r["second"]): (r["occurrences"], round(r["mean_gap"], 6), round(r["std_gap"], 5), round(r["min_gap"], 6)) for r in mi.gap_statistics(hits, ["first", "second"]).collect()}
     want = {}
     for (k, t, i, e), (q, u, j, f) in itertools.product(ev, ev):

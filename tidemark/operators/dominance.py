@@ -14,10 +14,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import value_edges
+from .quantiles import with_value_chunk
 from .timeline import Timeline, running
 
 SUMS = ["w", "wx", "wy", "wxy"]
@@ -56,11 +56,22 @@ def _products(rows: np.ndarray, below: np.ndarray) -> tuple[float, float]:
 
 def _chunked(cells: DataFrame, keys: Sequence[str], value: str, name: str, bins: int | None) -> DataFrame:
     """Even numbers for stretches between cut points, odd ones for the cut points themselves."""
-    edges = value_edges(cells, keys, value, bins)
-    v = F.col(value)
-    joined = cells.join(edges, list(keys))
-    at = F.size(F.filter("_edges", lambda e: e < v)) * 2 + F.array_contains("_edges", v).cast("int")
-    return joined.withColumn(name, at.cast("long")).drop("_edges")
+    return with_value_chunk(cells, keys, value, bins, name, apart=True)
+
+
+def _grid_products(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of grid cells of which one lies left of and below the other: sums over one axis, then over the other.
+
+    A key's grid has at most as many cells as chunks on both axes; a window sees one row or column of it.
+    """
+    left = grid.select(*keys, "bx").distinct().join(grid.select(*keys, "by").distinct(), list(keys))
+    full = left.join(grid, [*keys, "bx", "by"], "left").na.fill(0.0, SUMS)
+    below = Window.partitionBy(*keys, "bx").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "by").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)
+    full = full.select("*", *[F.coalesce(F.sum(c).over(below), F.lit(0.0)).alias(f"_{c}") for c in SUMS])
+    full = full.select("*", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0.0)).alias(f"d_{c}") for c in SUMS])
+    product = F.col("wxy") * F.col("d_w") - F.col("wx") * F.col("d_wy") - F.col("wy") * F.col("d_wx") + F.col("w") * F.col("d_wxy")
+    return full.groupBy(*keys).agg(F.sum(F.col("w") * F.col("d_w")).alias("concordant"), F.sum(product).alias("product"))
 
 
 def pair_products(df: DataFrame, keys: Sequence[str], x: str, y: str, *, bins: int | None = None) -> DataFrame:
@@ -84,8 +95,7 @@ def pair_products(df: DataFrame, keys: Sequence[str], x: str, y: str, *, bins: i
     same_x = placed.filter("bx % 2 = 0").groupBy(*keys, "bx").applyInPandas(local("x", "y"), schema)
     same_y = placed.filter("by % 2 = 0").groupBy(*keys, "by").applyInPandas(local("bx", "y"), schema)
     grid = placed.groupBy(*keys, "bx", "by").agg(*[F.sum(c).alias(c) for c in SUMS])
-    lower = grid.groupBy(*keys).applyInPandas(local("bx", "by"), schema)
-    parts = same_x.unionByName(same_y).unionByName(lower)
+    parts = same_x.unionByName(same_y).unionByName(_grid_products(grid, keys))
     return parts.groupBy(*keys).agg(F.sum("concordant").alias("concordant"), F.sum("product").alias("product"))
 
 

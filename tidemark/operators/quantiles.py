@@ -34,8 +34,11 @@ def value_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int | None
     return df.groupBy(*keys).agg(F.array_distinct(sketch).alias("_edges"))
 
 
-def with_value_chunk(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = None, name: str = "_bin") -> DataFrame:
-    """Add a chunk number that never decreases with ``value``; equal values always share a chunk."""
+def with_value_chunk(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = None, name: str = "_bin", *, apart: bool = False) -> DataFrame:
+    """Add a chunk number that never decreases with ``value``; equal values always share a chunk.
+
+    ``apart`` gives even numbers to stretches between cut points and odd ones to the cut points themselves.
+    """
     edges = value_edges(df, keys, value, bins)
     # two short searches: which stretch of edges, then which edge in it
     stride = math.isqrt(bins_for(df, bins))
@@ -45,7 +48,11 @@ def with_value_chunk(df: DataFrame, keys: Sequence[str], value: str, bins: int |
     v = F.col(value)
     stretch = F.size(F.filter("_coarse", lambda e: e < v))
     inside = F.size(F.filter(F.slice("_edges", F.col("_stretch") * stride + 1, F.lit(stride)), lambda e: e < v))
-    out = joined.withColumn("_stretch", stretch).withColumn(name, F.coalesce(F.col("_stretch") * stride + inside, F.lit(0)).cast("long"))
+    below = F.coalesce(F.col("_stretch") * stride + inside, F.lit(0))
+    if apart:
+        # the first cut point that is not below the value may be the value
+        below = below * 2 + F.coalesce(F.get("_edges", below) == v, F.lit(False)).cast("int")
+    out = joined.withColumn("_stretch", stretch).withColumn(name, below.cast("long"))
     return out.drop("_edges", "_coarse", "_stretch")
 
 

@@ -29,39 +29,33 @@ def split_epochs(df: DataFrame, keys: Sequence[str], sample: str, length: int, s
     return joined.filter(first <= last).withColumn("epoch", F.explode(F.sequence(first, last))).drop("_total")
 
 
-class _ExitMap:
-    """Where a chunk leaves every state it may be entered with; the last entry stands for "nothing kept yet"."""
-
-    def __init__(self, modulus: int):
-        self.modulus = modulus
-        self.holders = [[s] for s in range(modulus)]
-        self.fresh_waiting = True
-
-    def step(self, c: int) -> None:
-        before = (c - 1) % self.modulus
-        if before != c:
-            moved, self.holders[before] = self.holders[before], []
-            self.holders[c] += moved
-        if self.fresh_waiting:
-            self.holders[c].append(self.modulus)
-            self.fresh_waiting = False
-
-    def exits(self) -> list[int]:
-        out = [self.modulus] * (self.modulus + 1)
-        for state, who in enumerate(self.holders):
-            for w in who:
-                out[w] = state
-        return out
+def _stretches(pdf: pd.DataFrame, columns: Sequence[str]) -> list[tuple[int, int]]:
+    """Row ranges of a sorted batch over which the columns stay the same."""
+    new = np.zeros(len(pdf), dtype=bool)
+    for c in columns:
+        x = pdf[c]
+        before = x.shift()
+        new |= ((x != before) & ~(x.isna() & before.isna())).to_numpy()
+    starts = np.flatnonzero(new[1:]) + 1
+    return list(zip([0, *starts], [*starts, len(pdf)]))
+
+
+def _runs(counters: np.ndarray, modulus: int) -> Iterator[tuple[int, int]]:
+    """Row ranges in which every counter follows the one before."""
+    starts = np.flatnonzero(counters[1:] != (counters[:-1] + 1) % modulus) + 1
+    return zip([0, *starts], [*starts, len(counters)])
 
 
 def drop_out_of_order(df: DataFrame, keys: Sequence[str], arrival: str, counter: str, *, modulus: int = 256, chunk: int = 1_000_000) -> DataFrame:
     """Keep a row only when its wrapping counter follows the last *kept* row's; the first row is kept.
 
-    The rule is sequential, but its whole state is one counter value.  So each
-    chunk of arrival numbers first reports where it would leave every possible
-    state, those small maps are composed per key, and each chunk is then walked
-    knowing the state it starts with.  Sorted partitions are streamed through
-    Python batch by batch: no key and no chunk is ever held whole.
+    The rule is sequential, but its whole state is one counter value, and runs
+    of counters that follow one another are taken as one step: a run is kept
+    from the value that the state waits for, if it holds it.  Each chunk of
+    arrival numbers first reports where it would leave every possible state,
+    those small maps are composed per key, and each chunk is then walked knowing
+    the state it starts with.  Sorted partitions are streamed through Python
+    batch by batch: no key and no chunk is ever held whole.
     """
     keys = list(keys)
     part = [*keys, "_part"]
@@ -69,19 +63,24 @@ def drop_out_of_order(df: DataFrame, keys: Sequence[str], arrival: str, counter:
     key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, walk = None, None
+        # where each entry state, the last one for "nothing kept yet", stands by now
+        now, state = None, None
         for pdf in batches:
             done = []
-            for who, c in zip(zip(*[pdf[k] for k in part]), pdf[counter]):
+            for lo, hi in _stretches(pdf, part):
+                who = tuple(pdf[k].iloc[lo] for k in part)
                 if who != now:
                     if now is not None:
-                        done.append((*now, walk.exits()))
-                    now, walk = who, _ExitMap(modulus)
-                walk.step(int(c))
+                        done.append((*now, state.tolist()))
+                    now, state = who, np.arange(modulus + 1)
+                c = pdf[counter].to_numpy()[lo:hi].astype(np.int64)
+                for a, b in _runs(c, modulus):
+                    caught = ((state + 1 - c[a]) % modulus < b - a) | (state == modulus)
+                    state = np.where(caught, c[b - 1], state)
             if done:
                 yield pd.DataFrame(done, columns=[*part, "_exits"])
         if now is not None:
-            yield pd.DataFrame([(*now, walk.exits())], columns=[*part, "_exits"])
+            yield pd.DataFrame([(*now, state.tolist())], columns=[*part, "_exits"])
 
     def sorted_chunks(rows: DataFrame) -> DataFrame:
         return rows.repartition(*part).sortWithinPartitions(*part, arrival)
@@ -107,11 +106,16 @@ def drop_out_of_order(df: DataFrame, keys: Sequence[str], arrival: str, counter:
         now, state = None, modulus
         for pdf in batches:
             kept = np.zeros(len(pdf), dtype=bool)
-            for i, (who, c, start) in enumerate(zip(zip(*[pdf[k] for k in part]), pdf[counter], pdf["_state"])):
+            for lo, hi in _stretches(pdf, part):
+                who = tuple(pdf[k].iloc[lo] for k in part)
                 if who != now:
-                    now, state = who, int(start)
-                if state == modulus or c == (state + 1) % modulus:
-                    kept[i], state = True, int(c)
+                    now, state = who, int(pdf["_state"].iloc[lo])
+                c = pdf[counter].to_numpy()[lo:hi].astype(np.int64)
+                for a, b in _runs(c, modulus):
+                    skip = 0 if state == modulus else (state + 1 - int(c[a])) % modulus
+                    if skip < b - a:
+                        kept[lo + a + skip: lo + b] = True
+                        state = int(c[b - 1])
             yield pdf.loc[kept, schema.names]
 
     return sorted_chunks(base.join(entry, part)).mapInPandas(keep, schema)
