@@ -55,7 +55,16 @@ def _(t):
     return qu.sequential_removal(holes(t), COLS)
 
 
-@query("greedy_row_removal", "H05")
+@query("greedy_row_removal", "H05", f"WITH RECURSIVE {HOLES}," + """
+pt AS (SELECT list_filter([CASE WHEN a IS NULL THEN 1 END, CASE WHEN b IS NULL THEN 2 END, CASE WHEN c IS NULL THEN 3 END, CASE WHEN d IS NULL THEN 4 END], lambda x: x IS NOT NULL) AS miss, count(*) AS n FROM wd GROUP BY 1),
+nx AS (SELECT 0 AS step, []::INTEGER[] AS done, 0::BIGINT AS removed, 0::BIGINT AS gone
+  UNION ALL SELECT step + 1, list_append(done, pick[2]::INTEGER), pick[1], gone + pick[1] FROM (
+    SELECT nx.step, nx.done, nx.gone, list_min(list_transform(list_filter([1, 2, 3, 4], lambda c: NOT list_contains(nx.done, c)),
+      lambda c: [coalesce(list_sum(list_transform(pp.all_patterns, lambda p: CASE WHEN list_contains(p.miss, c) AND NOT list_has_any(p.miss, nx.done) THEN p.n ELSE 0 END)), 0)::BIGINT, c])) AS pick
+    FROM nx, (SELECT list({'miss': miss, 'n': n}) AS all_patterns FROM pt) pp WHERE nx.step < 4))
+SELECT step, ['a', 'b', 'c', 'd'][done[-1]] AS "column", removed, round(removed / (SELECT count(*) FROM wd) * 100, 1) AS removed_pct, gone AS cumulative_removed, round(gone / (SELECT count(*) FROM wd) * 100, 1) AS cumulative_pct
+FROM nx WHERE step > 0
+""")
 def _(t):
     return qu.greedy_removal(holes(t), COLS)
 

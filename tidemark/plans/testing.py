@@ -151,9 +151,15 @@ def _(t):
     return st.binary_segmentation(_xy(t), "x", "y", "id")
 
 
-@query("consensus_thresholds", "L24")
+@query("consensus_thresholds", "L24", """
+WITH m AS (SELECT stddev_samp(value) * power(count(value), -0.2) AS h, min(value) AS lo, (max(value) - min(value)) / 999 AS step FROM events),
+v AS (SELECT value, count(*) AS w FROM events GROUP BY value), g AS (SELECT i, lo + i * step AS x, h FROM range(0, 1000) r(i), m),
+dn AS (SELECT i, x, sum(w * exp(-((x - value) * (x - value)) / (2 * h * h))) AS d FROM g, v GROUP BY ALL),
+p AS (SELECT *, lag(d) OVER (ORDER BY i) AS before, lead(d) OVER (ORDER BY i) AS after FROM dn)
+SELECT round(x, 6) AS threshold, round(d, 5) AS density FROM p WHERE d > before AND d > after ORDER BY d DESC LIMIT 3
+""")
 def _(t):
-    return st.consensus_thresholds(t.events, "value")
+    return st.consensus_thresholds(t.events, "value").select(F.round("threshold", 6).alias("threshold"), F.round("density", 5).alias("density"))
 
 
 @query("regional_errors", "L25", f"WITH {XY}, n AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY y, id) AS pos, count(*) OVER (PARTITION BY flag) AS t FROM xy)," + """
@@ -225,9 +231,38 @@ def _(t):
     return out.select("flag", "status", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("r", 6).alias("r"))
 
 
-@query("gaussian_copula", "L37")
+# fixed values: the published rational form (algorithm AS 241) of the normal quantile: centre, tail, far tail
+AS241 = {
+    "centre": ("2.509080928730122672e3 3.343057558358812811e4 6.726577092700870085e4 4.592195393154987146e4 1.373169376550946111e4 1.971590950306551443e3 1.331416678917843775e2 3.387132872796366608e0",
+               "5.226495278852854561e3 2.872908573572194267e4 3.930789580009271061e4 2.121379430158965979e4 5.394196021424751108e3 6.871870074920579083e2 4.231333070160091125e1 1.0"),
+    "tail": ("7.7454501427834140764e-4 2.27238449892691845833e-2 2.4178072517745061177e-1 1.27045825245236838258e0 3.64784832476320460504e0 5.7694972214606914055e0 4.6303378461565452959e0 1.42343711074968357734e0",
+             "1.05075007164441684324e-9 5.475938084995344946e-4 1.51986665636164571966e-2 1.4810397642748007459e-1 6.8976733498510000455e-1 1.6763848301838038494e0 2.05319162663775882187e0 1.0"),
+    "far": ("2.01033439929228813265e-7 2.71155556874348757815e-5 1.2426609473880784386e-3 2.6532189526576123093e-2 2.9656057182850489123e-1 1.7848265399172913358e0 5.4637849111641143699e0 6.6579046435011037772e0",
+            "2.04426310338993978564e-15 1.4215117583164458887e-7 1.8463183175100546818e-5 7.868691311456132591e-4 1.4875361290850615025e-2 1.3692988092273580531e-1 5.9983220655588793769e-1 1.0"),
+}
+
+
+def _quantile_sql(p: str) -> str:
+    def ratio(part: str, r: str) -> str:
+        sums = []
+        for side in AS241[part]:
+            out = ""
+            for c in side.split():
+                out = f"({out} * {r} + {c}::DOUBLE)" if out else f"{c}::DOUBLE"
+            sums.append(out)
+        return f"{sums[0]} / {sums[1]}"
+
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    return (f"CASE WHEN abs{q} <= 0.425 THEN {q} * {ratio('centre', f'(0.180625 - {q} * {q})')} "
+            f"ELSE sign{q} * CASE WHEN {r} <= 5 THEN {ratio('tail', f'({r} - 1.6)')} ELSE {ratio('far', f'({r} - 5)')} END END")
+
+
+@query("gaussian_copula", "L37", f"WITH {XY}," + """
+k AS (SELECT flag, (rank() OVER (PARTITION BY flag ORDER BY x) + (count(*) OVER (PARTITION BY flag, x) - 1) / 2) / (count(*) OVER (PARTITION BY flag) + 1) AS px,
+  (rank() OVER (PARTITION BY flag ORDER BY y) + (count(*) OVER (PARTITION BY flag, y) - 1) / 2) / (count(*) OVER (PARTITION BY flag) + 1) AS py FROM xy),
+""" + f"z AS (SELECT flag, {_quantile_sql('px')} AS zx, {_quantile_sql('py')} AS zy FROM k) SELECT flag, round(corr(zx, zy), 6) AS rho FROM z GROUP BY flag")
 def _(t):
-    return st.gaussian_copula(_xy(t), ["flag"], "x", "y")
+    return st.gaussian_copula(_xy(t), ["flag"], "x", "y").withColumn("rho", F.round("rho", 6))
 
 
 @query("target_against_all", "L39", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, round(corr({c}, l_extendedprice), 6) AS r FROM lineitem WHERE {c} IS NOT NULL" for c in ("l_quantity", "l_discount", "l_tax")))
