@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -311,7 +312,7 @@ def test_seats_go_to_the_highest_quotients(spark):
 def _links(rows):
     sets = []
     for _, t, _ in rows:
-        w = (t or "").lower().split()
+        w = re.findall(r"\w+", (t or "").lower())
         sets.append(frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset())
     links, root = [0] * len(rows), list(range(len(rows)))
     inverted = defaultdict(list)

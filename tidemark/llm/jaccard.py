@@ -15,6 +15,7 @@ Copies, texts with equal sets, are joined once, as a class with a weight. Large
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Levels of every path and of the longest; members from which a bucket may be split further, and from which it is dealt as tiles.
 DEPTH, DEEPEST, LARGE, TILE = 5, 8, 512, 2048
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY ** DEPTH))
+_WORD = re.compile(r"\w+")
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
@@ -56,8 +58,8 @@ class Shingles:
         return h
 
     def of(self, text: str) -> np.ndarray:
-        """Words are lower-case runs between white space. A text of fewer than five words is one shingle, an empty one none."""
-        words = text.lower().split()
+        """Words are runs of letters and digits in lower case. A text of fewer than five is one shingle, one without any has none."""
+        words = _WORD.findall(text.lower())
         known, n = self.known, len(words)
         if not n:
             return np.zeros(0, np.uint64)
