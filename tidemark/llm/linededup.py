@@ -22,7 +22,7 @@ def chunks_of(text: Column) -> Column:
     lines = F.split(F.replace(text, F.lit("\x01"), F.lit(_MARK)), "\n")
     facts = F.transform(lines, lambda line: F.struct(
         line.alias("line"), F.xxhash64(line).alias("hash"),
-        (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1).alias("long")))
+        _long(line).alias("long")))
     none = F.struct(F.lit("").alias("line"), F.lit(0).cast("long").alias("hash"), F.lit(False).alias("long"))
     pairs = F.zip_with(F.concat(F.array(none), facts), facts, lambda before, own: F.struct(before.alias("before"), own.alias("own")))
     rolled = lambda p: F.shiftleft(p["before"]["hash"], 1).bitwiseXOR(p["own"]["hash"])
@@ -37,40 +37,63 @@ def _plain(text: Column) -> Column:
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, text, n_chunks, removed_chunks, removed_lines, removed_chars``; ``text`` is what stays.
+    """Per row ``doc_id, text, removed_chunks, removed_lines, removed_chars``; ``text`` is what stays.
 
     Of equal chunks, the one in the smallest doc_id (null last), then the first stored row, then the first in the text
     stays; all others go, within one text too. Blank chunks, and chunks of one short line, always stay. Null text is
     empty and stays so; rows that repeat lose all their repeated chunks to the first; an empty table gives no rows;
     other columns are left out. A text that repeats whole becomes what its short lines leave.
+
+    Chunks meet by two hashes, which travel without their texts. The texts of all that met are then compared as bytes,
+    and the run stops if two of them share both hashes and differ.
     """
     base = with_rows(docs).select("doc_id", "_file", "_at", text_of().alias("text"))
     rows = base.select("doc_id", "_file", "_at", F.posexplode(chunks_of(F.col("text"))).alias("place", "chunk"))
     rows = rows.withColumn("lines", F.length("chunk") - F.length(F.replace("chunk", F.lit("\n"), F.lit(""))) + 1)
-    spaces = F.length("chunk") - F.length(F.replace("chunk", F.lit(" "), F.lit("")))
-    rows = rows.filter(((F.col("lines") > 1) | (spaces >= LONG_WORDS - 1)) & (F.trim(F.regexp_replace("chunk", r"\s", " ")) != ""))
-    keyed = rows.withColumns({"h": F.xxhash64("chunk"), "check": F.xxhash64(F.length("chunk"), F.lit("chunk"), "chunk")})
+    rows = rows.filter(((F.col("lines") > 1) | _long(F.col("chunk"))) & (F.btrim("chunk", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    chars = F.length("chunk") - (F.length("chunk") - F.length(F.replace("chunk", F.lit(_MARK), F.lit("")))) / 2
+    placed = rows.select("doc_id", "_file", "_at", "place", "lines", chars.cast("long").alias("chars"), *_hashes(F.col("chunk")))
+    placed = stored(placed, "chunks")
 
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_file", "_at", "place")
-    # equal bytes meet here; what is read twice in a task is counted there
-    bytewise = keyed.groupBy("h", "check", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
-    repeated = bytewise.groupBy("h", "check").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.count(F.lit(1)).alias("texts")).filter("n > 1")
-    repeated = repeated.withColumn("first", F.when(F.col("texts") == 1, F.col("first")).otherwise(F.raise_error(F.lit("two chunks share both hashes"))))
+    repeated = placed.groupBy("h", "check").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")).filter("n > 1")
     repeated = stored(repeated.select(F.col("h").alias("rh"), F.col("check").alias("rc"), "first"), "repeated")
+    # merge joins: the same plan at every size, and Spark can split a hot chunk's side
+    met = placed.join(repeated.hint("merge"), (F.col("h") == F.col("rh")) & (F.col("check") == F.col("rc")))
+    stays = (F.col("_file") == F.col("first._file")) & (F.col("_at") == F.col("first._at")) & (F.col("place") == F.col("first.place"))
+    lost = lambda c: F.sum(F.when(~F.col("stays"), F.col(c)).otherwise(0))
+    marks = met.withColumn("stays", stays).groupBy(F.col("_file").alias("m_file"), F.col("_at").alias("m_at")).agg(
+        F.collect_list(F.when(~F.col("stays"), F.col("place"))).alias("gone"), F.collect_list("place").alias("met"),
+        F.count(F.when(~F.col("stays"), 1)).alias("chunks"), lost("lines").alias("lines"), lost("chars").alias("chars"))
+    marks = stored(marks, "marks")
 
-    placed = stored(keyed.select("_file", "_at", "place", "lines", F.length(_plain(F.col("chunk"))).alias("chars"), "h", "check"), "chunks")
-    again = placed.join(repeated, (F.col("h") == F.col("rh")) & (F.col("check") == F.col("rc")))
-    again = again.filter((F.col("_file") != F.col("first._file")) | (F.col("_at") != F.col("first._at")) | (F.col("place") != F.col("first.place")))
-    gone = again.groupBy(F.col("_file").alias("g_file"), F.col("_at").alias("g_at")).agg(
-        F.collect_set("place").alias("gone"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars"))
-    gone = stored(gone, "gone")
-
-    out = base.join(gone, (F.col("_file") == F.col("g_file")) & (F.col("_at") == F.col("g_at")), "left")
-    chunks = chunks_of(F.col("text"))
-    kept = F.filter(chunks, lambda c, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_plain(F.array_join(kept, "\n")))
-    return out.select(
-        "doc_id", text.alias("text"), F.size(chunks).cast("long").alias("n_chunks"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"),
+    out = base.join(marks.hint("merge"), (F.col("_file") == F.col("m_file")) & (F.col("_at") == F.col("m_at")), "left")
+    untouched = F.col("met").isNull()
+    kept = F.filter(chunks_of(F.col("text")), lambda c, i: ~F.array_contains("gone", i))
+    shared = F.filter(chunks_of(F.col("text")), lambda c, i: F.array_contains("met", i))
+    out = stored(out.select(
+        "doc_id",
+        F.when(untouched | (F.size("gone") == 0), F.col("text")).otherwise(_plain(F.array_join(kept, "\n"))).alias("text"),
+        F.coalesce("chunks", F.lit(0)).cast("long").alias("removed_chunks"),
         F.coalesce("lines", F.lit(0)).cast("long").alias("removed_lines"),
-        F.coalesce("chars", F.lit(0)).cast("long").alias("removed_chars"))
+        F.coalesce("chars", F.lit(0)).cast("long").alias("removed_chars"),
+        F.when(~untouched, shared).alias("shared")), "cleaned")
+    _compare_bytes(out)
+    return out.drop("shared")
+
+
+def _long(line: Column) -> Column:
+    """Fifty words or more, told by their spaces."""
+    return (F.octet_length(line) >= 2 * LONG_WORDS - 1) & (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1)
+
+
+def _hashes(chunk: Column) -> list[Column]:
+    return [F.xxhash64(chunk).alias("h"), F.xxhash64(F.length(chunk), F.lit("chunk"), chunk).alias("check")]
+
+
+def _compare_bytes(cleaned: DataFrame) -> None:
+    """Stops where chunks that share both hashes are not the same bytes; equal ones are counted where they are read."""
+    texts = cleaned.select(F.explode("shared").alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    unlike = texts.groupBy(*_hashes(F.col("chunk"))).agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    if unlike.limit(1).count():
+        raise ValueError("two different chunks share both hashes")
