@@ -53,9 +53,10 @@ def supervised_table(df: DataFrame, target: str, features: Sequence[str], *, con
 
 # ---- models
 
-def regressor(kind: str, target: str, seed: int = SEED):
+def regressor(kind: str, target: str, seed: int = SEED, *, trees: int = 200, depth: int = 8):
+    """An estimator; ``trees`` and ``depth`` are those of the boosted kind."""
     made = {
-        "boosted": lambda: GBTRegressor(maxIter=20, maxDepth=5, stepSize=0.1, seed=seed),
+        "boosted": lambda: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed),
         "linear": LinearRegression,
         "tree": lambda: DecisionTreeRegressor(maxDepth=5, seed=seed),
         "forest": lambda: RandomForestRegressor(numTrees=20, maxDepth=8, seed=seed),
@@ -63,9 +64,10 @@ def regressor(kind: str, target: str, seed: int = SEED):
     return made.setLabelCol(target).setFeaturesCol("features")
 
 
-def classifier(kind: str, target: str, seed: int = SEED):
+def classifier(kind: str, target: str, seed: int = SEED, *, trees: int = 200, depth: int = 8):
+    """An estimator; ``trees`` and ``depth`` are those of the boosted kind."""
     made = {
-        "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.1, seed=seed),
+        "boosted": lambda: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed),
         "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed),
     }[kind]()
     return made.setLabelCol(target).setFeaturesCol("features")

@@ -47,7 +47,7 @@ def _(t):
     train = rows.filter(~F.col("is_test"))
     out = []
     for kind in ("linear", "tree", "forest", "boosted"):
-        scored = mo.fit(train, FEATURES, mo.regressor(kind, "value")).transform(rows)
+        scored = mo.fit(train, FEATURES, mo.regressor(kind, "value", trees=20, depth=5)).transform(rows)
         out.append(mo.regression_metrics(scored, "value", "prediction", ["is_test"]).withColumn("model", F.lit(kind)))
     from ..operators.aggregates import union_all
     return union_all(out)
@@ -56,7 +56,7 @@ def _(t):
 @query("classifier_scores", "M05 M09")
 def _(t):
     rows = mo.split(_features(t), ["event_id"])
-    scored = mo.fit(rows.filter(~F.col("is_test")), [*FEATURES, "value"], mo.classifier("boosted", "wake")).transform(rows)
+    scored = mo.fit(rows.filter(~F.col("is_test")), [*FEATURES, "value"], mo.classifier("boosted", "wake", trees=20, depth=5)).transform(rows)
     return mo.classification_metrics(scored, F.col("wake") == 1, F.col("prediction") == 1, ["is_test"])
 
 
