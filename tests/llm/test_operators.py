@@ -74,6 +74,81 @@ def test_licence_rules_need_their_order_and_nearness(spark):
     assert licenses.scan_licenses(documents(spark, rows).limit(0)).count() == 0
 
 
+MIT = """The MIT License (MIT)
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS BE LIABLE.
+"""
+BSD = """Copyright (c) 2020 Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_official_wrapped_notices_name_their_licence(spark):
+    commented = lambda text, mark: "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines())
+    parts = MIT.split("\n\n")
+    texts = [MIT, BSD, GPL, APACHE, commented(MIT, " *"), commented(BSD, "#"), commented(GPL, "//"), MIT.replace("\n", "\r\n"), " ".join(GPL.split()),
+             'Licensed under the Apache License, Version 2.0\n(the "License").', "\n" * 50_000 + MIT, MIT.replace("to deal", "to. deal"), MIT.replace("subject to", "subject"),
+             *[parts[1] + "\n" + "Other words\nwrapped over\nthree lines.\n" * n + parts[2] for n in (2, 3)]]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    mit, gpl, apache = ["mit-1", "mit-2", "mit-3"], ["gpl-1", "gpl-2", "gpl-3"], [f"apache-{i}" for i in range(1, 6)]
+    bsd = ["reserved", "bsd-1", "bsd-2", "bsd-3", "bsd-4"]
+    assert [got[i]["sentence_ids"] for i in range(9)] == [mit, bsd, gpl, apache, mit, bsd, gpl, mit, gpl]
+    every_bsd = ["all-rights-reserved", "bsd-2-clause", "bsd-3-clause"]
+    assert [got[i]["licenses"] for i in range(9)] == [["mit"], every_bsd, ["gpl-3.0-or-later"], ["apache-2.0"], ["mit"], every_bsd, ["gpl-3.0-or-later"], ["mit"], ["gpl-3.0-or-later"]]
+    assert got[9]["sentence_ids"] == ["apache-short", "apache-1"] and got[9]["licenses"] == ["apache-2.0"]
+    assert got[10]["sentence_ids"] == mit and got[11]["sentence_ids"] == got[12]["sentence_ids"] == mit[1:]
+    assert got[13]["sentence_ids"] == got[14]["sentence_ids"] == mit[:2] and [got[i]["licenses"] for i in (13, 14)] == [["mit"], []]
+
+
 # ---- packing
 
 def test_packing_keeps_every_token_once(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,33 +65,56 @@ RULES = (
 GAP = 2
 
 
-def sentences_of(text: Column) -> Column:
-    """Normalised sentences: texts part at line ends and after . ! ? : ; and before white space; empty ones stay, as places."""
-    plain = F.lower(F.regexp_replace(text, r"[.!?:;](?=\s|$)|[\r\n]", "\x01"))
-    return F.transform(F.split(plain, "\x01"), lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
+def broken_text(text: Column) -> Column:
+    """Normalised text between breaks, one mark for each run of them and one at either end.
+
+    ``\\x01`` stands after . ! ? and ``\\x03`` after : and ; (each before white space) or for blank lines, ``\\x02`` for a
+    single line end. Comment marks go with all else that is neither letter nor digit.
+    """
+    marked = F.regexp_replace(F.translate(text, "\x02\x03", "  "), r"[.!?](?=\s|$)", "\x01")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"[:;](?=\s|$)", "\x03"), r"\r?\n|\r", "\x02")
+    plain = F.regexp_replace(F.concat(F.lit("\x01"), F.lower(marked), F.lit("\x01")), "[^\\p{L}\\p{N}\x01\x02\x03]+", " ")
+    # runs of breaks are looked at from their first character only, so long ones cost no more than their length
+    plain = F.regexp_replace(plain, "(?<![ \x01\x02\x03])[ \x02\x03]*+\x01[ \x01\x02\x03]*+", "\x01")
+    plain = F.regexp_replace(plain, "(?<![ \x01\x02\x03])[ \x02]*+\x03[ \x02\x03]*+", "\x03")
+    plain = F.regexp_replace(plain, "(?<![ \x01\x02\x03]) ?\x02 ?\x02[ \x02]*+", "\x03")
+    return F.regexp_replace(plain, " ?\x02 ?", "\x02")
 
 
 def scan_licenses(docs: DataFrame, *, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, gap: int = GAP) -> DataFrame:
     """Per row ``doc_id, n_sentences, sentence_ids, licenses``.
 
-    ``sentence_ids`` are the known sentences of the text in order; ``licenses`` the sorted licences of all rules whose
-    sentences follow one another in it, with at most ``gap`` other sentences between two; a sentence that occurs again
-    begins anew. A rule counts beside a longer one of the same licence only once. Null and empty texts have one empty
-    sentence and no licence; rows that repeat are scanned each; an empty table gives no rows; other columns are left
-    out. The tables of sentences and rules are parameters of fixed size and live in the plan.
+    ``n_sentences`` counts what stands between breaks: line ends, and . ! ? : ; before white space; empty ones do not
+    count. A known sentence is found wherever it stands from one break to another; line ends, blank lines, : and ;
+    inside it read as spaces, so a wrapped notice counts like one on a line. ``sentence_ids`` are the known sentences of
+    the text in order; ``licenses`` the sorted licences of all rules whose sentences follow one another in it, with at
+    most ``gap`` other sentences between two, wrapped ones counting once; a sentence that occurs again begins anew. A
+    rule counts beside a longer one of the same licence only once. Null and empty texts have no sentence and no licence;
+    rows that repeat are scanned each; an empty table gives no rows; other columns are left out. The tables of sentences
+    and rules are parameters of fixed size and live in the plan.
     """
+    breaks = "[\x01\x02\x03]"
     known = F.create_map(*[F.lit(v) for name, line in sentences.items() for v in (line, name)])
-    found = F.filter(
-        F.transform("sentences", lambda s, i: F.struct(i.alias("place"), s.alias("line"))),
-        lambda s: s["line"].isin(*sentences.values()))
-    # blank places between sentences do not count as other sentences
-    rows = docs.select("doc_id", sentences_of(text_of()).alias("all")).withColumn("sentences", F.filter("all", lambda s: s != ""))
-    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"),
-                       F.transform(found, lambda s: F.struct(s["place"].alias("place"), known[s["line"]].alias("id"))).alias("hits"))
-    blank = F.struct(F.lit(-1).alias("place"), F.lit("").alias("id"))
-    linked = F.zip_with(F.concat(F.array(blank), F.col("hits")), "hits", lambda before, own: F.when(own.isNotNull(), F.concat(
-        F.when((own["place"] - before["place"] > gap + 1) | (before["place"] < 0), "!").otherwise(""), F.lit("<"), own["id"], F.lit(">"))))
-    chain = F.array_join(linked, "")
+    longest_first = sorted(sentences.values(), key=len, reverse=True)
+    any_known = "|".join("[ \x02\x03]".join(re.escape(w) for w in line.split(" ")) for line in longest_first)
+    # each place where a known sentence begins gets the longest one put before it
+    tagged = F.regexp_replace("text", f"(?<={breaks})(?=({any_known}){breaks})", "\x04$1\x05")
+
+    def found(part: Column) -> Column:
+        """The known sentences that begin here, shorter ones first, and the other sentences before the next."""
+        raw = F.substring_index(part, "\x05", 1)
+        line = F.translate(raw, "\x02\x03", "  ")
+        shorter = [F.when((line == long) & F.substring(raw, len(short) + 1, 1).isin("\x02", "\x03"), F.lit(name))
+                   for name, short in sorted(sentences.items(), key=lambda s: len(s[1])) for long in sentences.values() if long.startswith(f"{short} ")]
+        rest = part.substr(2 * F.length(raw) + 3, F.length(part))
+        others = F.regexp_count(rest, F.lit("[\x01\x03]")) + F.endswith(rest, F.lit("\x02")).cast("int")
+        return F.struct(F.array_compact(F.array(*shorter, known[line])).alias("ids"), others.alias("others"))
+
+    rows = docs.select("doc_id", broken_text(text_of()).alias("text"))
+    rows = rows.select("doc_id", (F.regexp_count("text", F.lit(breaks)) - 1).cast("long").alias("n_sentences"), F.split(tagged, "\x04").alias("parts"))
+    rows = rows.withColumn("hits", F.transform(F.slice("parts", 2, F.size("parts")), found))
+    chain = F.array_join(F.transform("hits", lambda h: F.concat(
+        F.array_join(F.transform(h["ids"], lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""), F.when(h["others"] > gap, "!").otherwise(""))), "")
     named = F.array(*[F.when(chain.contains("".join(f"<{i}>" for i in ids)), F.lit(name)) for name, ids in rules])
-    return rows.select("doc_id", "n_sentences", F.transform("hits", lambda h: h["id"]).alias("sentence_ids"),
+    return rows.select("doc_id", "n_sentences", F.flatten(F.transform("hits", lambda h: h["ids"])).alias("sentence_ids"),
                        F.array_sort(F.array_distinct(F.array_compact(named))).alias("licenses"))
