@@ -449,6 +449,25 @@ def test_large_buckets_are_split_or_dealt_as_tiles(spark, monkeypatch):
     assert got["class_id"].tolist() == [rows[r][0] for r in root]
 
 
+def test_pairs_in_deeply_split_buckets_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE", 4)
+    rng, shape = np.random.default_rng(4), (300, jaccard.MOST_RUNS, jaccard.DEEPEST)
+    one = rng.integers(0, 3, shape)
+    one[:, :, :jaccard.DEPTH] = 0  # one bucket of all in every run, whose sets agree on a third of the next tokens
+    two = np.where(rng.random(shape) < 0.8, one, rng.integers(3, 60_000, shape))
+    full = [x.astype("<u2").tobytes() for x in np.concatenate([one, two])]
+    known = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(full)], "rid long, tokens binary")
+    reps = known.withColumn("tokens", F.expr(f"substring(tokens, 1, {2 * jaccard.RUNS * jaccard.DEEPEST})"))
+    members, depths, longer = jaccard._paths(reps, lambda needy: needy.join(known, "rid"))
+    assert max(max(r["depths"]) for r in depths.collect()) == jaccard.DEEPEST and longer.filter("rid < 300").count() > 290
+    together = defaultdict(set)
+    for r in members.select("bucket", "tile", "rid").collect():
+        together[r["bucket"], r["tile"]].add(r["rid"])
+    assert len({i for ids in together.values() for i in ids if i < 300 and i + 300 in ids}) >= 299
+    base = {r["bucket"] for r in members.filter(F.col("run") < jaccard.RUNS).select("bucket").collect()}
+    assert len({i for (b, _), ids in together.items() if b in base for i in ids if i < 300 and i + 300 in ids}) < 297
+
+
 def test_components_of_a_chain(spark):
     ids = random.Random(1).sample(range(1000), 60)
     edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(2000, 2001)], "rid long, other long")

@@ -5,7 +5,9 @@ which two sets share a part equal to their Jaccard similarity on average. A run
 sets: each level samples a token position and puts together the sets that share the token there. At depth five sets
 of little similarity have parted, while a pair at the threshold is still together with probability 0.8 ^ 5; buckets
 that are large there and whose sets agree on the next token no more than half the time are split further. Runs repeat
-until a pair at the threshold is missed with a probability below one minus the target recall.
+until a pair at the threshold is missed with a probability below one minus the target recall. Sets that were split
+further in any run take part in more runs: a pair that agrees at depth five in some run is found there, or both its sets
+are split, and then it has the runs that the deepest level needs.
 
 Sets in a bucket are compared by brute force. A pair counts in the first run that has it together, so counts need no
 list of pairs: a task returns how many links each set gained, and just enough of them to hold its clusters together.
@@ -30,6 +32,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Levels of every path and of the longest; members from which a bucket may be split further, and from which it is dealt as tiles.
 DEPTH, DEEPEST, LARGE, TILE = 5, 8, 512, 2048
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY ** DEPTH))
+#: Runs of sets that are split further, so that pairs never together at DEPTH and pairs parted below it stay under 1 - RECALL in all.
+MOST_RUNS = math.ceil(math.log(1 - RECALL - (1 - SIMILARITY ** DEPTH) ** RUNS) / math.log(1 - SIMILARITY ** DEEPEST))
 _WORD = re.compile(r"\w+")
 _MASK = 0xFFFFFFFFFFFFFFFF
 
@@ -40,8 +44,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_ODD = _mix(np.arange(1, RUNS * DEEPEST + 1, dtype=np.uint64)) | np.uint64(1)
-_PLUS = _mix(np.arange(10_001, RUNS * DEEPEST + 10_001, dtype=np.uint64))
+_ODD = _mix(np.arange(1, MOST_RUNS * DEEPEST + 1, dtype=np.uint64)) | np.uint64(1)
+_PLUS = _mix(np.arange(10_001, MOST_RUNS * DEEPEST + 10_001, dtype=np.uint64))
 _STEPS = _mix(np.arange(501, 501 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -72,11 +76,12 @@ class Shingles:
         return np.unique(_mix(total))
 
 
-def tokens_of(shingles: np.ndarray) -> np.ndarray:
-    """The embedded set: 16 bits of the min-hash at each position."""
-    least = np.full(len(_ODD), _MASK, np.uint64)
+def tokens_of(shingles: np.ndarray, first: int = 0, end: int = RUNS) -> np.ndarray:
+    """The embedded set: 16 bits of the min-hash at each position of the runs from ``first`` to before ``end``."""
+    odd, plus = _ODD[first * DEEPEST: end * DEEPEST], _PLUS[first * DEEPEST: end * DEEPEST]
+    least = np.full(len(odd), _MASK, np.uint64)
     for at in range(0, len(shingles), 4096):
-        part = shingles[at: at + 4096, None] * _ODD + _PLUS
+        part = shingles[at: at + 4096, None] * odd + plus
         np.minimum(least, part.min(0), out=least)
     return (_mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
@@ -94,6 +99,12 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
+def _more_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shingles = Shingles()
+    for pdf in batches:
+        yield pd.DataFrame({"rid": pdf["rid"], "later": [tokens_of(shingles.of(t), RUNS, MOST_RUNS).tobytes() for t in pdf["text"]]})
+
+
 def _path(depth) -> F.Column:
     """Name of the bucket that a set is in at ``depth`` of its run."""
     return F.xxhash64("run", depth, F.expr(f"substring(tokens, run * {2 * DEEPEST} + 1, depth * 2)"))
@@ -102,16 +113,16 @@ def _path(depth) -> F.Column:
 def candidates(tokens: np.ndarray, depths: np.ndarray, run: int, crossing: np.ndarray | None) -> np.ndarray:
     """Upper-triangle mask of a bucket's pairs: first together in ``run``, and alike enough to need an exact look.
 
-    ``tokens`` is (members, RUNS, DEEPEST). Tokens agree as often as sets are similar, within a spread of
+    ``tokens`` is (members, runs, DEEPEST). Tokens agree as often as sets are similar, within a spread of
     sqrt(s (1 - s) / positions); pairs that stay 5 such spreads below the threshold are left out.
     """
-    n = len(tokens)
+    n, runs = tokens.shape[:2]
     agree = np.zeros((n, n), np.int32)
-    for r in range(RUNS):
+    for r in range(runs):
         for d in range(DEEPEST):
             column = tokens[:, r, d]
             agree += column[:, None] == column
-    positions = RUNS * DEEPEST
+    positions = runs * DEEPEST
     spread = math.sqrt(SIMILARITY * (1 - SIMILARITY) * positions)
     mask = np.triu(agree >= SIMILARITY * positions - 5 * spread, 1)
     if crossing is not None:
@@ -189,8 +200,8 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _mask(group: pd.DataFrame) -> np.ndarray:
     n = len(group)
-    tokens = np.frombuffer(b"".join(group["tokens"]), "<u2").reshape(n, RUNS, DEEPEST)
-    depths = np.full((n, RUNS), DEPTH, np.uint8)
+    tokens = np.frombuffer(b"".join(group["tokens"]), "<u2").reshape(n, -1, DEEPEST)
+    depths = np.full((n, MOST_RUNS), DEPTH, np.uint8)
     for i, own in enumerate(group["depths"]):
         if own is not None and len(own):
             depths[i] = np.asarray(own, np.uint8)
@@ -270,8 +281,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sketches.filter("shingles > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("best"), F.max("tokens").alias("tokens"))
     reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
-    members, depths = _paths(reps)
-    rows = members.join(reps.select("rid", "tokens"), "rid").join(depths, "rid", "left")
+    def longer(needy: DataFrame) -> DataFrame:
+        """``needy`` with the tokens of all runs."""
+        places = needy.join(reps.select("rid", "tokens", F.col("best._file").alias("_file"), F.col("best._at").alias("_at")), "rid")
+        later = named.select("_file", "_at", "text").join(places.select("rid", "_file", "_at"), ["_file", "_at"]).select("rid", "text")
+        later = later.mapInPandas(_more_tokens, "rid long, later binary")
+        return places.join(later, "rid").select("rid", F.concat("tokens", "later").alias("tokens"))
+
+    members, depths, long_tokens = _paths(reps, longer)
+    first_runs = members.filter(F.col("run") < RUNS).join(reps.select("rid", "tokens"), "rid")
+    rows = first_runs if long_tokens is None else first_runs.unionByName(members.filter(F.col("run") >= RUNS).join(long_tokens.select("rid", "tokens"), "rid"))
+    rows = rows.join(depths, "rid", "left")
     spread = lambda df: df.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "rid")
     shape = "bucket long, tile int, block int, run int, rid long, tokens binary, depths array<int>"
     rows = rows.select(*[c.split()[0] for c in shape.split(", ")])
@@ -302,11 +322,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "_file", "_at")
 
 
-def _paths(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of all buckets of two or more, (bucket, tile, block, run, rid), and the depths of sets that went deeper."""
-    runs = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run")
-    walk = reps.select("rid", "tokens", runs).withColumn("depth", F.lit(DEPTH))
-    walk = walk.withColumn("bucket", _path("depth"))
+def _settled(walk: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Where the paths of ``walk`` (rid, tokens, run) end among others: (rid, run, depth, bucket, n)."""
+    walk = walk.withColumn("depth", F.lit(DEPTH)).withColumn("bucket", _path("depth"))
     sizes = stored(walk.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = stored(walk.join(sizes, "bucket").select("rid", "run", "depth", "bucket", "n"), "members")
     settled, deeper = members.filter(F.col("n") <= LARGE), members.filter(F.col("n") > LARGE)
@@ -314,7 +332,7 @@ def _paths(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         if deeper.limit(1).count() == 0:
             break
         # agreement on the next token, averaged over the pairs of a bucket
-        down = deeper.join(reps.select("rid", "tokens"), "rid").withColumn("depth", F.lit(depth + 1)).withColumn("below", _path("depth"))
+        down = deeper.join(tokens, "rid").withColumn("depth", F.lit(depth + 1)).withColumn("below", _path("depth"))
         counts = stored(down.groupBy("bucket", "n", "below").agg(F.count(F.lit(1)).alias("m")), "below")
         split = stored(counts.groupBy("bucket", "n").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("alike"))
                        .filter(F.col("alike") < 0.5 * F.col("n") * F.col("n")).select("bucket"), "split")
@@ -323,16 +341,31 @@ def _paths(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         down = stored(down.join(counts.filter("m > 0").select(F.col("below").alias("bucket"), F.col("m").alias("n")), "bucket")
                       .select("rid", "run", "depth", "bucket", "n"), "deeper")
         settled, deeper = settled.unionByName(down.filter(F.col("n") <= LARGE)), down.filter(F.col("n") > LARGE)
-    settled = settled.unionByName(deeper.select(settled.columns))
+    return settled.unionByName(deeper.select(settled.columns))
+
+
+def _paths(reps: DataFrame, longer) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Members of all buckets of two or more, (bucket, tile, block, run, rid), the depths of sets that went deeper, and the
+    tokens of those in more runs than ``RUNS``, which ``longer`` adds to (rid); None if there are none."""
+    runs = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run")
+    tokens = reps.select("rid", "tokens")
+    settled = _settled(reps.select("rid", "tokens", runs), tokens)
+
+    needy = stored(settled.filter(F.col("depth") > DEPTH).select("rid").distinct(), "needy")
+    long_tokens = None
+    if needy.limit(1).count():
+        long_tokens = stored(longer(needy), "long-tokens")
+        runs = F.explode(F.sequence(F.lit(RUNS), F.lit(MOST_RUNS - 1))).alias("run")
+        settled = settled.unionByName(_settled(long_tokens.select("rid", "tokens", runs), long_tokens.select("rid", "tokens")))
 
     own = settled.filter(F.col("depth") > DEPTH).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("run", "depth"))).alias("own"))
-    depths = own.select("rid", F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.element_at("own", r), F.lit(DEPTH))).alias("depths"))
+    depths = own.select("rid", F.transform(F.sequence(F.lit(0), F.lit(MOST_RUNS - 1)), lambda r: F.coalesce(F.element_at("own", r), F.lit(DEPTH))).alias("depths"))
 
     blocks = F.when(F.col("n") > TILE, F.ceil(F.col("n") * 2 / TILE)).otherwise(1).cast("int")
     block = F.pmod(F.xxhash64("rid", F.lit("block")), F.col("blocks").cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block")))
     dealt = settled.filter("n > 1").withColumn("blocks", blocks).withColumn("block", block)
-    return dealt.select("bucket", F.explode(tiles).alias("tile"), "block", "run", "rid"), depths
+    return dealt.select("bucket", F.explode(tiles).alias("tile"), "block", "run", "rid"), depths, long_tokens
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
