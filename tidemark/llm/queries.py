@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exactdedup, jaccard, licenses, linededup, mixing, packing, quality, topk, toxicity
+from tidemark.llm import chat, exactdedup, jaccard, licenses, linededup, mixing, packing, quality, resampling, tokencounts, topk, toxicity, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -203,6 +203,55 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = tokencounts.prefix_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencounts.budgeted(counts, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.importance_sample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = rf"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS steps FROM range(256) r(i)
+), said AS (
+  SELECT doc_id, 'd' AS side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{resampling.WORD}') AS words FROM documents
+  UNION ALL
+  SELECT NULL, 'b', regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{resampling.WORD}') FROM benchmark
+), named AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(hex(encode(word)), (2 * i - 1)::INT, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket
+  FROM (SELECT DISTINCT unnest(words) AS word FROM said), crc
+), held AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM (SELECT side, unnest(words) AS word FROM said) JOIN named USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {resampling.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM held
+), gain_of AS (
+  SELECT word, gain FROM named JOIN gains USING (bucket)
+), rows AS (
+  SELECT row_number() OVER () AS row_no, doc_id, words FROM said WHERE side = 'd'
+), summed AS (
+  SELECT row_no, sum(gain)::BIGINT AS total FROM (SELECT row_no, unnest(words) AS word FROM rows) JOIN gain_of USING (word) GROUP BY row_no
+), weighed AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, CASE WHEN len(words) = 0 THEN 0 ELSE (total - ((total % len(words)) + len(words)) % len(words)) // len(words) END::BIGINT AS weight
+  FROM rows LEFT JOIN summed USING (row_no)
+), scored AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM weighed
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {resampling.FEWEST_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= {resampling.FEWEST_WORDS}) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resampling.FEWEST_WORDS} AND place <= {resampling.PERCENT} * n // 100 THEN place END AS rank FROM placed
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scan": op2_license_scan,
@@ -214,6 +263,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_token_counts": op12_token_counts,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 TWINS = {
     "op1_chat_formatting": OP1_SQL,
@@ -221,4 +273,5 @@ TWINS = {
     "op4_exact_top_k": OP4_SQL,
     "op7_mix_sources": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
