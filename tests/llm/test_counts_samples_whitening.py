@@ -36,7 +36,7 @@ def _encoder(model):
 
 
 def test_every_prefix_has_the_encoders_count(model):
-    encoder, counter = _encoder(model), tokencounts.PrefixCounter(tokencounts.pieces_of(model))
+    encoder, counter = _encoder(model), tokencounts.PrefixCounter(tokencounts.Pieces(model))
     rng = random.Random(5)
     bits = ["a", "e", "t", "ing", " the", " ", "  ", "\n", "\t", "é", "▁", "<s>", "<0x0A>", "0", "17", "\U0001f600", "的", "Ж", ".", "==", "----", "\x00", "ﬁ", "́"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(400)] + [" " * 70, "a" * 70, "=" * 90, "▁ ▁", "\U0001f600" * 9]
@@ -48,7 +48,7 @@ def test_every_prefix_has_the_encoders_count(model):
 def test_bounded_stores_change_nothing(model, monkeypatch):
     for name in ("PARTS", "PAIRS", "HEADS"):
         monkeypatch.setattr(tokencounts, name, 3)
-    encoder, counter = _encoder(model), tokencounts.PrefixCounter(tokencounts.pieces_of(model))
+    encoder, counter = _encoder(model), tokencounts.PrefixCounter(tokencounts.Pieces(model))
     rng = random.Random(6)
     for _ in range(60):
         text = " ".join("".join(rng.choice("abcdeéß.,-") for _ in range(rng.randrange(1, 14))) for _ in range(12))

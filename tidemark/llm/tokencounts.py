@@ -28,8 +28,9 @@ from tidemark.llm.common import text_of
 
 #: How the model writes a space; here both are spaces.
 _BAR, SPACE = "▁", " "
-#: Parts, and pairs of pieces, that a task remembers twice over; beyond that the older half goes, which only costs time.
-PARTS, PAIRS = 150_000, 200_000
+#: Parts that a worker remembers twice over (about 100 MB in all), and pairs of pieces; beyond that the older half, or
+#: all pairs, go, which only costs time.
+PARTS, PAIRS = 250_000, 300_000
 #: Longer parts are worked out each time.
 LONGEST_KEPT = 64
 #: Parts that begin with the same so many characters share their first rows.
@@ -122,16 +123,6 @@ class Pieces:
                 j += 1
 
 
-_KNOWN: dict[str, Pieces] = {}
-
-
-def pieces_of(path: str) -> Pieces:
-    """The worker's own; its size is the model's."""
-    if path not in _KNOWN:
-        _KNOWN[path] = Pieces(path)
-    return _KNOWN[path]
-
-
 class PrefixCounter:
     """Steps of the token count from prefix to prefix, one signed byte per code point."""
 
@@ -166,7 +157,8 @@ class PrefixCounter:
             last, count = [""], [0]
         score, reach, follows = self.pieces.score, self.pieces.reach, self.follows
         for end in range(len(last), n + 1):
-            for at in range(max(0, end - reach.get(part[max(0, end - 2): end], 1)), end):
+            far = reach.get(part[end - 2: end] if end > 1 else part[0], 1)
+            for at in range(end - far if end > far else 0, end):
                 piece = part[at:end]
                 if piece in score:
                     before = last[at]
@@ -235,6 +227,17 @@ class PrefixCounter:
         return bytes([both & 255]) + out[2:], self.wide
 
 
+_KNOWN: dict[str, PrefixCounter] = {}
+
+
+def counter_of(path: str) -> PrefixCounter:
+    """The worker's own, with what it remembers of earlier tasks; another model takes its place."""
+    if path not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[path] = PrefixCounter(Pieces(path))
+    return _KNOWN[path]
+
+
 def counts_at_prefixes(steps: bytes, wide) -> np.ndarray:
     """Token counts of the prefixes of 0, 1, 2, ... code points."""
     a = np.frombuffer(steps, np.int8).astype(np.int64)
@@ -249,8 +252,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what is remembered goes with the task
-        counter = PrefixCounter(pieces_of(path))
+        counter = counter_of(path)
         names = [f.split()[0] for f in _SHAPE.split(", ")]
         rows, held = [], 0
 
