@@ -456,7 +456,7 @@ def test_pairs_in_deeply_split_buckets_meet(spark, monkeypatch):
     one[:, :, :jaccard.DEPTH] = 0  # one bucket of all in every run, whose sets agree on a third of the next tokens
     two = np.where(rng.random(shape) < 0.8, one, rng.integers(3, 60_000, shape))
     full = [x.astype("<u2").tobytes() for x in np.concatenate([one, two])]
-    known = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(full)], "rid long, tokens binary")
+    known = spark.createDataFrame([(i, bytearray(x), 10) for i, x in enumerate(full)], "rid long, tokens binary, shingles long")
     reps = known.withColumn("tokens", F.expr(f"substring(tokens, 1, {2 * jaccard.RUNS * jaccard.DEEPEST})"))
     members, depths, longer = jaccard._paths(reps, lambda needy: needy.join(known, "rid"))
     assert max(max(r["depths"]) for r in depths.collect()) == jaccard.DEEPEST and longer.filter("rid < 300").count() > 290
@@ -468,6 +468,27 @@ def test_pairs_in_deeply_split_buckets_meet(spark, monkeypatch):
     assert len({i for (b, _), ids in together.items() if b in base for i in ids if i < 300 and i + 300 in ids}) < 297
 
 
+def test_shared_shingles_are_counted_alike_in_slices_of_any_size(monkeypatch):
+    rng = np.random.default_rng(1)
+    sets = [np.unique(jaccard._mix(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64))) for _ in range(40)]
+    for size in (50, 500_000):
+        monkeypatch.setattr(jaccard, "SLICE", size)
+        common = jaccard._common(sets, np.array([len(s) for s in sets]))
+        assert all(common[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(40) for b in range(40))
+
+
+def test_few_long_sets_are_dealt_as_tiles_too(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "VOLUME", 50)
+    same = np.zeros((jaccard.RUNS, jaccard.DEEPEST), "<u2").tobytes()
+    reps = spark.createDataFrame([(i, bytearray(same), 20) for i in range(12)], "rid long, tokens binary, shingles long")
+    members, _, _ = jaccard._paths(reps, None)
+    tiles = defaultdict(set)
+    for r in members.filter("run = 0").select("bucket", "tile", "rid").collect():
+        tiles[r["bucket"], r["tile"]].add(r["rid"])
+    assert max(map(len, tiles.values())) < 12
+    assert all(any({a, b} <= ids for ids in tiles.values()) for a in range(12) for b in range(a))
+
+
 def test_components_of_a_chain(spark):
     ids = random.Random(1).sample(range(1000), 60)
     edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(2000, 2001)], "rid long, other long")

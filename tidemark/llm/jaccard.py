@@ -31,6 +31,8 @@ from tidemark.llm.common import as_scan, stored, text_of, with_rows
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Levels of every path and of the longest; members from which a bucket may be split further, and from which it is dealt as tiles.
 DEPTH, DEEPEST, LARGE, TILE = 5, 8, 512, 2048
+#: Shingles from which a bucket is dealt as tiles, however few sets they are (32 MB of hashes), and those compared at a time.
+VOLUME, SLICE = 4_000_000, 500_000
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY ** DEPTH))
 #: Runs of sets that are split further, so that pairs never together at DEPTH and pairs parted below it stay under 1 - RECALL in all.
 MOST_RUNS = math.ceil(math.log(1 - RECALL - (1 - SIMILARITY ** DEPTH) ** RUNS) / math.log(1 - SIMILARITY ** DEEPEST))
@@ -56,7 +58,7 @@ class Shingles:
         self.known: dict[str, int] = {}
 
     def _hash(self, word: str) -> int:
-        if len(self.known) > 400_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         h = self.known[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -145,16 +147,7 @@ def similar(sets: list[np.ndarray], mask: np.ndarray) -> np.ndarray:
     if len(i) <= 4 * len(sets):
         both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], dtype=np.int64)
     else:
-        every, where = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        width = max(1, 20_000_000 // len(sets))
-        for at in range(0, len(every), width):
-            here = (where >= at) & (where < at + width)
-            held = np.zeros((len(sets), min(width, len(every) - at)), np.float32)
-            held[owner[here], where[here] - at] = 1
-            common += held @ held.T
-        both = common[i, j].astype(np.int64)
+        both = _common(sets, size)[i, j].astype(np.int64)
     # both / (a + b - both) >= 4 / 5 in integers
     top, low = round(SIMILARITY * 1000), 1000
     found = both * low >= top * (size[i] + size[j] - both)
@@ -163,6 +156,31 @@ def similar(sets: list[np.ndarray], mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def _common(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """Shared shingles of all pairs, by ranges of hashes that hold about ``SLICE`` shingles each: memory follows the slice."""
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    slices = int(size.sum()) // SLICE + 1
+    width = max(1, 4_000_000 // len(sets))
+    start = np.zeros(len(sets), np.int64)
+    for k in range(1, slices + 1):
+        end = size if k == slices else np.array([np.searchsorted(s, np.uint64(_MASK // slices * k)) for s in sets])
+        parts = [s[a:b] for s, a, b in zip(sets, start, end)]
+        owner, every = np.repeat(np.arange(len(sets)), end - start), np.concatenate(parts)
+        start = end
+        order = np.argsort(every, kind="stable")
+        owner, every = owner[order], every[order]
+        if not len(every):
+            continue
+        column = np.cumsum(np.concatenate([[0], every[1:] != every[:-1]]))
+        # columns lie in order, so a block of them is a stretch
+        edges = np.searchsorted(column, np.arange(0, column[-1] + width + 1, width))
+        for n, (a, b) in enumerate(zip(edges, edges[1:])):
+            held = np.zeros((len(sets), int(column[b - 1]) + 1 - n * width), np.float32)
+            held[owner[a:b], column[a:b] - n * width] = 1
+            common += held @ held.T
+    return common
+
+
 def _spanning(links: np.ndarray) -> list[tuple[int, int]]:
     """Links that keep the clusters of ``links`` together, at most one less than members."""
     root = list(range(len(links)))
@@ -278,15 +296,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = with_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_file", "_at", text_of().alias("text"))
     sketches = stored(named.mapInPandas(_sketches, "doc_id long, _file long, _at long, shingles int, k1 long, k2 long, tokens binary"), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_file", "_at")
-    reps = sketches.filter("shingles > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("best"), F.max("tokens").alias("tokens"))
+    reps = sketches.filter("shingles > 0").groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("weight"), F.min(first).alias("best"), F.max("tokens").alias("tokens"), F.max("shingles").cast("long").alias("shingles"))
     reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
     def longer(needy: DataFrame) -> DataFrame:
         """``needy`` with the tokens of all runs."""
-        places = needy.join(reps.select("rid", "tokens", F.col("best._file").alias("_file"), F.col("best._at").alias("_at")), "rid")
+        places = needy.join(reps.select("rid", "tokens", "shingles", F.col("best._file").alias("_file"), F.col("best._at").alias("_at")), "rid")
         later = named.select("_file", "_at", "text").join(places.select("rid", "_file", "_at"), ["_file", "_at"]).select("rid", "text")
         later = later.mapInPandas(_more_tokens, "rid long, later binary")
-        return places.join(later, "rid").select("rid", F.concat("tokens", "later").alias("tokens"))
+        return places.join(later, "rid").select("rid", "shingles", F.concat("tokens", "later").alias("tokens"))
 
     members, depths, long_tokens = _paths(reps, longer)
     first_runs = members.filter(F.col("run") < RUNS).join(reps.select("rid", "tokens"), "rid")
@@ -323,23 +342,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _settled(walk: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Where the paths of ``walk`` (rid, tokens, run) end among others: (rid, run, depth, bucket, n)."""
+    """Where the paths of ``walk`` (rid, tokens, shingles, run) end among others: (rid, run, depth, bucket, n, v, shingles), n sets of v shingles."""
     walk = walk.withColumn("depth", F.lit(DEPTH)).withColumn("bucket", _path("depth"))
-    sizes = stored(walk.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = stored(walk.join(sizes, "bucket").select("rid", "run", "depth", "bucket", "n"), "members")
+    sizes = stored(walk.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("v")).filter("n > 1"), "buckets")
+    members = stored(walk.join(sizes, "bucket").select("rid", "run", "depth", "bucket", "n", "v", "shingles"), "members")
     settled, deeper = members.filter(F.col("n") <= LARGE), members.filter(F.col("n") > LARGE)
     for depth in range(DEPTH, DEEPEST):
         if deeper.limit(1).count() == 0:
             break
         # agreement on the next token, averaged over the pairs of a bucket
         down = deeper.join(tokens, "rid").withColumn("depth", F.lit(depth + 1)).withColumn("below", _path("depth"))
-        counts = stored(down.groupBy("bucket", "n", "below").agg(F.count(F.lit(1)).alias("m")), "below")
+        counts = stored(down.groupBy("bucket", "n", "below").agg(F.count(F.lit(1)).alias("m"), F.sum("shingles").alias("w")), "below")
         split = stored(counts.groupBy("bucket", "n").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("alike"))
                        .filter(F.col("alike") < 0.5 * F.col("n") * F.col("n")).select("bucket"), "split")
         settled = settled.unionByName(deeper.join(split, "bucket", "left_anti").select(settled.columns))
-        down = down.join(split, "bucket", "left_semi").drop("bucket", "n").withColumnRenamed("below", "bucket")
-        down = stored(down.join(counts.filter("m > 0").select(F.col("below").alias("bucket"), F.col("m").alias("n")), "bucket")
-                      .select("rid", "run", "depth", "bucket", "n"), "deeper")
+        down = down.join(split, "bucket", "left_semi").drop("bucket", "n", "v").withColumnRenamed("below", "bucket")
+        down = stored(down.join(counts.filter("m > 0").select(F.col("below").alias("bucket"), F.col("m").alias("n"), F.col("w").alias("v")), "bucket")
+                      .select("rid", "run", "depth", "bucket", "n", "v", "shingles"), "deeper")
         settled, deeper = settled.unionByName(down.filter(F.col("n") <= LARGE)), down.filter(F.col("n") > LARGE)
     return settled.unionByName(deeper.select(settled.columns))
 
@@ -349,19 +368,21 @@ def _paths(reps: DataFrame, longer) -> tuple[DataFrame, DataFrame, DataFrame | N
     tokens of those in more runs than ``RUNS``, which ``longer`` adds to (rid); None if there are none."""
     runs = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run")
     tokens = reps.select("rid", "tokens")
-    settled = _settled(reps.select("rid", "tokens", runs), tokens)
+    settled = _settled(reps.select("rid", "tokens", "shingles", runs), tokens)
 
     needy = stored(settled.filter(F.col("depth") > DEPTH).select("rid").distinct(), "needy")
     long_tokens = None
     if needy.limit(1).count():
         long_tokens = stored(longer(needy), "long-tokens")
         runs = F.explode(F.sequence(F.lit(RUNS), F.lit(MOST_RUNS - 1))).alias("run")
-        settled = settled.unionByName(_settled(long_tokens.select("rid", "tokens", runs), long_tokens.select("rid", "tokens")))
+        settled = settled.unionByName(_settled(long_tokens.select("rid", "tokens", "shingles", runs), long_tokens.select("rid", "tokens")))
 
     own = settled.filter(F.col("depth") > DEPTH).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("run", "depth"))).alias("own"))
     depths = own.select("rid", F.transform(F.sequence(F.lit(0), F.lit(MOST_RUNS - 1)), lambda r: F.coalesce(F.element_at("own", r), F.lit(DEPTH))).alias("depths"))
 
-    blocks = F.when(F.col("n") > TILE, F.ceil(F.col("n") * 2 / TILE)).otherwise(1).cast("int")
+    blocks = F.greatest(
+        F.when(F.col("n") > TILE, F.ceil(F.col("n") * 2 / TILE)).otherwise(1),
+        F.when(F.col("v") > VOLUME, F.ceil(F.col("v") * 2 / VOLUME)).otherwise(1)).cast("int")
     block = F.pmod(F.xxhash64("rid", F.lit("block")), F.col("blocks").cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block")))
     dealt = settled.filter("n > 1").withColumn("blocks", blocks).withColumn("block", block)
