@@ -162,17 +162,30 @@ def binned_mutual_information(df: DataFrame, keys: Sequence[str], x: str, y: str
     return cells.withColumn("_i", n / t * F.log(n * t / (a * b))).groupBy(*keys).agg(F.sum("_i").alias("mutual_information"))
 
 
-def pair_analysis(pairs: DataFrame, bins: int = 4, *, at_least: int = 10) -> DataFrame:
-    """Every column pair at once: Spearman, F over quantile bins of x, best p; sorted by p.
+def pair_statistics(pairs: DataFrame, bins: int = 4) -> DataFrame:
+    """Every column pair at once: Pearson, Spearman and the group test over quantile bins of x.
 
-    ``pairs`` is long: ``x``, ``y``, ``vx``, ``vy``.  Pairs with too few rows say so.
+    ``pairs`` is long: ``x``, ``y``, ``vx``, ``vy``.
     """
     by = ["x", "y"]
     corr = spearman(pairs, by, "vx", "vy").withColumn("spearman_p", correlation_p(F.col("spearman"), F.col("n")))
     tests = group_test(quantile_bins(pairs, by, "vx", bins), by, "bin", "vy").select(*by, "test", F.col("statistic").alias("bin_statistic"), F.col("p").alias("bin_p"))
-    out = corr.join(tests, by, "left")
+    return corr.join(tests, by, "left")
+
+
+def pair_analysis(pairs: DataFrame, bins: int = 4, *, clusters: int = 3, at_least: int = 10) -> DataFrame:
+    """``pair_statistics``, the best Spearman inside the pair's two-dimensional clusters, and the best p of all; sorted by it.
+
+    Clusters of under five rows don't count; pairs with too few rows say so.
+    """
+    from .pairclusters import best_cluster_p, cluster_ranks
+
+    by = ["x", "y"]
+    inside = best_cluster_p(cluster_ranks(pairs, by, "vx", "vy", clusters), by)
+    out = pair_statistics(pairs, bins).join(inside, by, "left").na.fill(0, ["clusters"])
     few = F.col("n") < at_least
-    return out.withColumns({"best_p": F.when(~few, F.least("spearman_p", "bin_p")), "error": F.when(few, F.format_string("only %d shared rows", "n"))}).orderBy(F.col("best_p").asc_nulls_last(), *by)
+    best = F.when(~few, F.least("spearman_p", "bin_p", "cluster_p"))
+    return out.withColumns({"best_p": best, "error": F.when(few, F.format_string("only %d shared rows", "n"))}).orderBy(F.col("best_p").asc_nulls_last(), *by)
 
 
 def partial_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str) -> DataFrame:

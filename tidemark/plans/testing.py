@@ -116,6 +116,30 @@ def _(t):
     return st.pair_analysis(column_pairs(t.lineitem, MEASURES))
 
 
+def _pair_sql(x: str, y: str) -> str:
+    edges = ", ".join(f"quantile_cont({x}, {q})" for q in (0.0, 0.25, 0.5, 0.75, 1.0))
+    return f"""SELECT '{x}' AS x, '{y}' AS y, c.n, c.pearson, c.spearman, CASE WHEN t.k = 2 THEN 'welch' WHEN t.k > 2 THEN 'anova' END AS test,
+  round(CASE WHEN t.k = 2 THEN (t.m1 - t.m2) / sqrt(t.e1 + t.e2) WHEN t.k > 2 THEN (t.q - t.s * t.s / t.n) / (t.k - 1) / (t.within / (t.n - t.k)) END, 4) AS bin_statistic
+FROM (SELECT count(*) AS n, round(corr({x}, {y}), 6) AS pearson, round(corr(r_{x}, r_{y}), 6) AS spearman FROM r) c,
+  (SELECT count(*) AS k, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q, sum(n * v) AS within, min_by(m, b) AS m1, max_by(m, b) AS m2, min_by(e, b) AS e1, max_by(e, b) AS e2
+   FROM (SELECT greatest(len(list_filter(edges, lambda e: e < {x})) - 1, 0) AS b, count(*) AS n, avg({y}) AS m, var_pop({y}) AS v, var_samp({y}) / count(*) AS e
+         FROM r, (SELECT list_sort(list_distinct([{edges}])) AS edges FROM r) GROUP BY 1 HAVING count(*) >= 5)) t"""
+
+
+@query("all_pair_statistics", "L16 L11 L12", "WITH r AS (SELECT " + ", ".join(f"{c}, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r_{c}" for c in MEASURES) + " FROM lineitem) " +
+       " UNION ALL ".join(_pair_sql(a, b) for a in MEASURES for b in MEASURES if a != b))
+def _(t):
+    out = st.pair_statistics(column_pairs(t.lineitem, MEASURES))
+    return out.select("x", "y", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"), "test", F.round("bin_statistic", 4).alias("bin_statistic"))
+
+
+@query("pair_cluster_ranks", "L16 L35")
+def _(t):
+    from ..operators.pairclusters import cluster_ranks
+
+    return cluster_ranks(column_pairs(t.lineitem, MEASURES, ordered=False), ["x", "y"], "vx", "vy")
+
+
 @query("all_pair_ranks", "L17 L12", "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in MEASURES) + " FROM lineitem) " +
        " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, round(corr({a}, {b}), 6) AS spearman FROM r" for i, a in enumerate(MEASURES) for b in MEASURES[i + 1:]))
 def _(t):
