@@ -343,16 +343,15 @@ def trim_deviations(df: DataFrame, columns: Sequence[str], times: float = 3.0, f
 LINE_SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
 
 
-def improving_removals(df: DataFrame, keys: Sequence[str], x: str, y: str, tie: str, *, share: float = 0.10) -> DataFrame:
-    """How many of the largest residuals to drop (up to ``share``) for the best line through the rest.
+def _whole_lines(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
+    return df.groupBy(*keys).agg(F.regr_slope(vy, vx).alias("_b"), F.regr_intercept(vy, vx).alias("_a"), F.count(F.lit(1)).alias("_t"),
+                                 F.sum(vx).alias("t_sx"), F.sum(vy).alias("t_sy"), F.sum(vx * vy).alias("t_sxy"), F.sum(vx * vx).alias("t_sxx"), F.sum(vy * vy).alias("t_syy"))
 
-    Rows are ranked by residual of the full fit; running sums over that rank
-    give the refitted R2 of every prefix in one pass.
-    """
+
+def _best_prefix(scored: DataFrame, fit: DataFrame, keys: Sequence[str], x: str, y: str, tie: str, share: float) -> DataFrame:
+    """The prefix in the order of ``_e`` (then ``tie``) whose removal leaves the best line: running sums give every refit in one pass."""
     vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
-    fit = df.groupBy(*keys).agg(F.regr_slope(vy, vx).alias("_b"), F.regr_intercept(vy, vx).alias("_a"), F.count(F.lit(1)).alias("_t"),
-                                F.sum(vx).alias("t_sx"), F.sum(vy).alias("t_sy"), F.sum(vx * vy).alias("t_sxy"), F.sum(vx * vx).alias("t_sxx"), F.sum(vy * vy).alias("t_syy"))
-    scored = df.join(fit, list(keys)).withColumn("_e", -F.abs(vy - F.col("_a") - F.col("_b") * vx))
     chunked = with_value_chunk(scored.select(*keys, x, y, tie, "_e"), keys, "_e")
     sums = running(chunked, Timeline(tuple(keys), ("_e", tie), F.col("_bin")), {
         "n": ("sum", F.lit(1).cast("long")), "sx": ("sum", vx), "sy": ("sum", vy), "sxy": ("sum", vx * vy), "sxx": ("sum", vx * vx), "syy": ("sum", vy * vy)})
@@ -365,6 +364,30 @@ def improving_removals(df: DataFrame, keys: Sequence[str], x: str, y: str, tie:
     return joined.select(*keys, "initial_r2", F.when(better, F.col("_best.removed")).otherwise(0).alias("removed"), F.when(better, F.col("_best.r2")).otherwise(F.col("initial_r2")).alias("best_r2"))
 
 
+def improving_removals(df: DataFrame, keys: Sequence[str], x: str, y: str, tie: str, *, share: float = 0.10) -> DataFrame:
+    """How many of the largest residuals to drop (up to ``share``) for the best line through the rest, ranked by the full fit."""
+    vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
+    fit = _whole_lines(df, keys, x, y)
+    scored = df.join(fit, list(keys)).withColumn("_e", -F.abs(vy - F.col("_a") - F.col("_b") * vx))
+    return _best_prefix(scored, fit, keys, x, y, tie, share)
+
+
+def improving_removals_by_distance(df: DataFrame, keys: Sequence[str], x: str, y: str, tie: str, *, k: int = 5, share: float = 0.10) -> DataFrame:
+    """How many of the rows that lie farthest from their neighbours on x to drop (up to ``share``) for the best line through the rest.
+
+    A row's distance is the mean to the nearest ``min(k, n - 1)`` rows of its key, itself the first of them; ties go by
+    ``tie``. Rows with a null or NaN in either column are left out.
+    """
+    from .neighbours import neighbour_scores
+
+    rows = df.select(*keys, tie, *[known(F.col(c).cast("double")).alias(c) for c in (x, y)]).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    scores = neighbour_scores(rows, keys, x, k=k).withColumnRenamed("_x", x)
+    fit = _whole_lines(rows, keys, x, y)
+    # -0.0 and 0.0 are one x
+    scored = rows.withColumn(x, F.col(x) + 0.0).join(scores, [*keys, x]).withColumn("_e", -F.col("score"))
+    return _best_prefix(scored, fit, keys, x, y, tie, share)
+
+
 def drop_low_contribution(df: DataFrame, x: str, y: str, *, times: float = 2.0) -> DataFrame:
     """Rows whose share of the fit's R2 is not below mean minus ``times`` deviations, with the refitted line."""
     vx, vy = F.col(x).cast("double"), F.col(y).cast("double")

@@ -218,6 +218,28 @@ def _(t):
     return out.select("flag", F.round("initial_r2", 6).alias("initial_r2"), "removed", F.round("best_r2", 6).alias("best_r2"))
 
 
+@query("distant_removals", "L28", """
+WITH xy AS (SELECT event_type AS flag, value AS x, CAST(json_extract(props, '$.k') AS DOUBLE) AS y, event_id AS id FROM events),
+s AS (SELECT *, list_sort(list_filter([""" + ", ".join(f"x - lag(x, {i}) OVER w, lead(x, {i}) OVER w - x" for i in range(1, 5)) + """], lambda d: d IS NOT NULL)) AS near FROM xy WINDOW w AS (PARTITION BY flag ORDER BY x, id)),
+e AS (SELECT *, -((near[1] + near[2] + near[3] + near[4]) / 5) AS e FROM s),
+f AS (SELECT flag, count(*) AS t, sum(x) AS tx, sum(y) AS ty, sum(x * y) AS txy, sum(x * x) AS txx, sum(y * y) AS tyy FROM xy GROUP BY flag),
+p AS (SELECT flag, row_number() OVER w AS n, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * y) OVER w AS sxy, sum(x * x) OVER w AS sxx, sum(y * y) OVER w AS syy FROM e WINDOW w AS (PARTITION BY flag ORDER BY e, id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT flag, n, ((t - n) * (txy - sxy) - (tx - sx) * (ty - sy)) ** 2 / (((t - n) * (txx - sxx) - (tx - sx) ** 2) * ((t - n) * (tyy - syy) - (ty - sy) ** 2)) AS r2 FROM p JOIN f USING (flag) WHERE n <= floor(t * 0.1)),
+k AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY round(r2, 9) DESC, n) AS rn FROM r), i AS (SELECT flag, (t * txy - tx * ty) ** 2 / ((t * txx - tx ** 2) * (t * tyy - ty ** 2)) AS r0 FROM f)
+SELECT flag, round(r0, 6) AS initial_r2, CASE WHEN r2 > r0 THEN n ELSE 0 END AS removed, round(greatest(r2, r0), 6) AS best_r2 FROM k JOIN i USING (flag) WHERE rn = 1
+""")
+def _(t):
+    out = st.improving_removals_by_distance(_pq(t).withColumn("id", F.col("event_id")), ["flag"], "x", "y", "id")
+    return out.select("flag", F.round("initial_r2", 6).alias("initial_r2"), "removed", F.round("best_r2", 6).alias("best_r2"))
+
+
+@query("neighbour_information", "L15")
+def _(t):
+    from ..operators.neighbours import neighbour_information
+
+    return neighbour_information(_pq(t), ["flag"], "x", "y")
+
+
 @query("low_contribution_refit", "L29", f"WITH {XY}," + """
 f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, var_pop(y) * count(*) AS sst FROM xy), r AS (SELECT xy.*, 1 - (y - (a + b * x)) ** 2 / sst AS r FROM xy, f), m AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM r)
 SELECT count(*) AS kept, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM r, m WHERE r >= m - 2 * s
@@ -298,7 +320,7 @@ PQ = "pq AS (SELECT event_type AS flag, value AS x, CAST(json_extract(props, '$.
 
 
 def _pq(t):
-    return t.events.select(F.col("event_type").alias("flag"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
+    return t.events.select(F.col("event_type").alias("flag"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), "event_id")
 
 
 @query("kendall_tau", "L13 L37", f"WITH {PQ}," + """
