@@ -153,8 +153,9 @@ def first_beyond(v: np.ndarray, r: np.ndarray) -> np.ndarray:
 
     high = order(np.nextafter(v + 2 * r, np.inf))
     low = order(np.array(v))
-    while (high - low > 1).any():
-        middle = low + (high - low) // 2
+    while (low < high - 1).any():
+        # the mean without the difference, which may pass 64 bits
+        middle = (low >> 1) + (high >> 1) + (low & high & 1)
         gap = number(middle) - v
         out = np.where(r > 0, gap >= r, gap > 0)
         high, low = np.where(out, middle, high), np.where(out, low, middle)
