@@ -308,17 +308,53 @@ def test_repeated_chunks_go_but_for_their_first_place(spark):
     text = {i: t or "" for i, t, _ in rows}
     assert all(got[i]["text"] == text[i] for i in (0, 10, 12, 13, 14, 15, 16, 17, 18, None))
     assert got[11]["text"] == "other start" and got[11]["removed_lines"] == 1
-    first = linededup.chunks_of(F.col("text"))
-    chunks = {r["doc_id"]: r["c"] for r in documents(spark, rows).select("doc_id", first.alias("c")).collect() if r["doc_id"] in range(6)}
-    seen = set(chunks[0])
     for i in range(1, 6):
-        assert "\n".join(chunks[i]) == text[i]
-        kept = [c for c in chunks[i] if not (c in seen and "\n" in c)]
-        assert got[i]["text"] == "\n".join(kept) and got[i]["removed_lines"] >= 6
-        seen |= set(chunks[i])
+        assert got[i]["text"] == f"{prose(i, 8)}\n{prose(i + 100, 9)}\n{prose(i + 200, 7)}" and got[i]["removed_lines"] == 14
+        assert got[i]["removed_chars"] == len(block) + 1 and got[i]["removed_chunks"] > 1
+    chunks = documents(spark, rows).select("doc_id", linededup.chunks_of(F.col("text")).alias("c")).filter("doc_id < 6").collect()
+    assert all("\n".join(r["c"]) == text[r["doc_id"]] for r in chunks) and max(len(r["c"]) for r in chunks) > 3
     assert linededup.remove_repeated_chunks(documents(spark, rows).limit(0)).count() == 0
 
 
+def _without_repeats(texts):
+    """What stays of ``texts`` in order, by a loop over all pairs of neighbouring lines and all long lines; every line has five words or more, or stays."""
+    seen, out = set(), []
+    for text in texts:
+        lines, gone = text.split("\n"), set()
+        for i, line in enumerate(lines):
+            runs = [(i, i + 1)] * (i + 1 < len(lines)) + [(i,)] * (line.count(" ") >= 49)
+            for run in runs:
+                held = tuple(lines[j] for j in run)
+                if len(run) == 2 and (sum(x.count(" ") for x in held) < 8 or not all(x.strip() for x in held)):
+                    continue
+                if held in seen:
+                    gone |= set(run)
+                seen.add(held)
+        out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_every_repeated_run_of_two_lines_goes(spark):
+    rng = random.Random(5)
+    pool = [prose(1000 + i, 5 + i % 7) for i in range(60)] + [prose(2000, 70), prose(2001, 51), prose(2002, 49)]
+    own = iter(range(10_000, 90_000))
+    rows = []
+    for doc in range(150):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(pool))
+            lines += [prose(next(own), 6) for _ in range(rng.randrange(3))] + pool[at: at + rng.randrange(1, 6)]
+        rows.append((doc, "\n".join(lines), "a"))
+    rows += [(200, "\n".join([pool[3]] * 5), "a"), (201, f"{pool[4]}\n\n{pool[5]}", "a"), (202, f"yes\n\n{pool[5]}", "a")]
+    rows += [(300, "\n".join(prose(next(own), 7) for _ in range(2500)), "hot")] * 2 + [(301, prose(next(own), 30_000), "a")] * 3
+    rows += [(None, rows[7][1], "a"), (None, f"{rows[8][1]}\n{pool[0]}", "a")]
+    got = linededup.remove_repeated_chunks(documents(spark, rows).coalesce(1)).collect()
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    expected = {i: x for i, x in zip(order, _without_repeats([rows[i][1] for i in order]))}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["removed_lines"]) for r in got) == sorted((rows[i][0] is None, rows[i][0] or 0, *x) for i, x in expected.items())
+    assert sum(r["removed_lines"] for r in got) > 3000
+
+
 # ---- mixing
 
 def _waterfill(sizes, weights):

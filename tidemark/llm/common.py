@@ -29,13 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here and no step runs twice.
 
-    A lost executor costs the running tasks only. The files stay until the folder is emptied.
+    ``codec`` compresses the files otherwise than the session does, for tables that are large. A lost executor costs the running tasks only. The files stay until the folder is emptied.
     """
     path = f"{shared_folder(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,12 @@
-"""Line dedup by content-defined chunks: chunks of lines that repeat anywhere are removed but for their first place.
+"""Line dedup by content-defined chunks: runs of lines that repeat anywhere are removed but for their first place.
 
 A rolling hash over the hashes of neighbouring lines cuts a text into chunks of about three lines. Where it cuts depends
 on the lines around the cut alone, so text put in elsewhere moves no other cut. A line of fifty words or more is a chunk
 of its own. Chunks of two or more lines, and such long lines, are grouped over all texts by their bytes.
+
+The ends of a repeated passage stick to chunks that hold other lines as well, and a short passage may lie between two
+cuts. So what the first round leaves is cut again at every line: the pairs of neighbouring lines that are still there,
+and those across the end of a chunk that went, are grouped the same way.
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_of, with_rows
 
-#: One in so many places between lines is a cut, and words from which a line stands alone.
-SPACING, LONG_WORDS = 3, 50
-_MARK, _CUT = "\x01a", "\x01b"
+#: One in so many places between lines is a cut, words from which a line stands alone, and words of the shortest pair of lines.
+SPACING, LONG_WORDS, PAIR_WORDS = 3, 50, 10
+_MARK, _CUT, _BLANK = "\x01a", "\x01b", " \t\x0b\x0c\r"
+#: A line's name inside its text: its chunk's place times this, plus its number there.
+_PLACE = 1 << 32
 
 
 def chunks_of(text: Column) -> Column:
@@ -36,50 +42,113 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit(_MARK), F.lit("\x01"))
 
 
+def _pairs(lines: Column, name) -> Column:
+    """``name(a, b)`` for all neighbours a, b among ``lines``."""
+    both = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.transform(F.filter(both, lambda p: p["b"].isNotNull()), lambda p: name(p["a"], p["b"]))
+
+
+def _numbered(text: Column) -> Column:
+    """The lines of a text as (id, line)."""
+    own = lambda c, p: F.transform(F.split(c, "\n"), lambda line, i: F.struct((p.cast("long") * _PLACE + i).alias("id"), line.alias("line")))
+    return F.flatten(F.transform(chunks_of(text), own))
+
+
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id, text, removed_chunks, removed_lines, removed_chars``; ``text`` is what stays.
 
-    Of equal chunks, the one in the smallest doc_id (null last), then the first stored row, then the first in the text
-    stays; all others go, within one text too. Blank chunks, and chunks of one short line, always stay. Null text is
-    empty and stays so; rows that repeat lose all their repeated chunks to the first; an empty table gives no rows;
-    other columns are left out. A text that repeats whole becomes what its short lines leave.
+    Of equal chunks, and of equal pairs of neighbouring lines with ten words or more, the one in the smallest doc_id
+    (null last), then the first stored row, then the first in the text stays; all others go, within one text too. The
+    first place of a line always stays. Blank chunks, pairs with a blank line, and lines under fifty words that repeat
+    without a neighbour always stay. Null text is empty and stays so; rows that repeat lose all their repeated lines
+    to the first; an empty table gives no rows; other columns are left out. ``removed_chunks`` counts the chunks that
+    lost a line, ``removed_chars`` what the text is shorter by.
 
-    Chunks meet by two hashes, which travel without their texts. The texts of all that met are then compared as bytes,
-    and the run stops if two of them share both hashes and differ.
+    Chunks and pairs meet by two hashes, which travel without their texts. The texts of all that met are then compared
+    as bytes, and the run stops if two of them share both hashes and differ.
     """
     base = with_rows(docs).select("doc_id", "_file", "_at", text_of().alias("text"))
-    rows = base.select("doc_id", "_file", "_at", F.posexplode(chunks_of(F.col("text"))).alias("place", "chunk"))
-    rows = rows.withColumn("lines", F.length("chunk") - F.length(F.replace("chunk", F.lit("\n"), F.lit(""))) + 1)
-    rows = rows.filter(((F.col("lines") > 1) | _long(F.col("chunk"))) & (F.btrim("chunk", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    chars = F.length("chunk") - (F.length("chunk") - F.length(F.replace("chunk", F.lit(_MARK), F.lit("")))) / 2
-    placed = rows.select("doc_id", "_file", "_at", "place", "lines", chars.cast("long").alias("chars"), *_hashes(F.col("chunk")))
-    placed = stored(placed, "chunks")
-
-    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_file", "_at", "place")
-    repeated = placed.groupBy("h", "check").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")).filter("n > 1")
-    repeated = stored(repeated.select(F.col("h").alias("rh"), F.col("check").alias("rc"), "first"), "repeated")
-    # merge joins: the same plan at every size, and Spark can split a hot chunk's side
-    met = placed.join(repeated.hint("merge"), (F.col("h") == F.col("rh")) & (F.col("check") == F.col("rc")))
-    stays = (F.col("_file") == F.col("first._file")) & (F.col("_at") == F.col("first._at")) & (F.col("place") == F.col("first.place"))
-    lost = lambda c: F.sum(F.when(~F.col("stays"), F.col(c)).otherwise(0))
-    marks = met.withColumn("stays", stays).groupBy(F.col("_file").alias("m_file"), F.col("_at").alias("m_at")).agg(
-        F.collect_list(F.when(~F.col("stays"), F.col("place"))).alias("gone"), F.collect_list("place").alias("met"),
-        F.count(F.when(~F.col("stays"), 1)).alias("chunks"), lost("lines").alias("lines"), lost("chars").alias("chars"))
-    marks = stored(marks, "marks")
+    follows = lambda c: F.concat(F.slice(c, F.lit(2), F.size(c)), F.array(F.lit(None).cast("string")))
+    pieces = base.select("doc_id", "_file", "_at", chunks_of(F.col("text")).alias("chunks")).select(
+        "doc_id", "_file", "_at", F.posexplode(F.zip_with("chunks", follows(F.col("chunks")), lambda c, n: F.struct(
+            c.alias("chunk"), F.concat_ws("\n", c, F.substring_index(n, "\n", 1)).alias("run")))).alias("place", "piece"))
+    pieces = pieces.select("doc_id", "_file", "_at", "place", "piece.chunk", F.split("piece.run", "\n").alias("run"))
+    lines = F.length("chunk") - F.length(F.replace("chunk", F.lit("\n"), F.lit(""))) + 1
+    placed = pieces.select(
+        "doc_id", "_file", "_at", "place", lines.alias("lines"), *_hashes(F.col("chunk")),
+        (((lines > 1) | _long(F.col("chunk"))) & ~_blank(F.col("chunk"))).alias("whole"),
+        _pairs(F.col("run"), lambda a, b: F.when(_wordy(a, b), F.struct(*_hashes(F.concat(a, F.lit("\n"), b))))).alias("pairs"))
+    placed = stored(placed, "chunks", "zstd")
+
+    chunks = placed.filter("whole")
+    met = chunks.join(_repeated(chunks, "place").hint("merge"), (F.col("h") == F.col("rh")) & (F.col("check") == F.col("rc")), "left")
+    fate = ["doc_id", "_file", "_at", "place", "lines", "pairs"]
+    met = met.select(*fate, F.col("first").isNotNull().alias("met"), F.coalesce(~_is(F.col("first"), "place"), F.lit(False)).alias("gone"))
+    left = placed.filter("NOT whole").select(*fate, F.lit(False).alias("met"), F.lit(False).alias("gone"))
+    walked = stored(met.unionByName(left), "first-round", "zstd")
+
+    # of a chunk that went only its last line meets a neighbour that may have stayed
+    pairs = walked.select("doc_id", "_file", "_at", "place", "lines", "gone", F.posexplode("pairs").alias("i", "pair"))
+    pairs = pairs.filter(F.col("pair").isNotNull() & (~F.col("gone") | (F.col("i") == F.col("lines") - 1)))
+    other = F.when(F.col("i") == F.col("lines") - 1, (F.col("place").cast("long") + 1) * _PLACE).otherwise(F.col("place").cast("long") * _PLACE + F.col("i") + 1)
+    pairs = pairs.select("doc_id", "_file", "_at", (F.col("place").cast("long") * _PLACE + F.col("i")).alias("id"), other.alias("other"), "pair.h", "pair.check")
+    twice = pairs.join(_repeated(pairs, "id").hint("merge"), (F.col("h") == F.col("rh")) & (F.col("check") == F.col("rc")))
+
+    none = F.lit(None).cast("long")
+    facts = walked.filter("met").select("_file", "_at", F.col("place").alias("met"), F.when(F.col("gone"), F.col("place")).alias("gone"), none.alias("pair"), none.alias("a"), none.alias("b"))
+    lost = ~_is(F.col("first"), "id")
+    facts = facts.unionByName(twice.select("_file", "_at", none.cast("int").alias("met"), none.cast("int").alias("gone"), F.col("id").alias("pair"),
+                                           F.when(lost, F.col("id")).alias("a"), F.when(lost, F.col("other")).alias("b")))
+    marks = facts.groupBy(F.col("_file").alias("m_file"), F.col("_at").alias("m_at")).agg(
+        *[F.collect_list(c).alias(c) for c in ("met", "gone", "pair")], F.array_union(F.collect_list("a"), F.collect_list("b")).alias("lost"))
+    marks = stored(marks, "marks", "zstd")
 
     out = base.join(marks.hint("merge"), (F.col("_file") == F.col("m_file")) & (F.col("_at") == F.col("m_at")), "left")
-    untouched = F.col("met").isNull()
-    kept = F.filter(chunks_of(F.col("text")), lambda c, i: ~F.array_contains("gone", i))
-    shared = F.filter(chunks_of(F.col("text")), lambda c, i: F.array_contains("met", i))
+    untouched = F.col("met").isNull() | ((F.size("gone") == 0) & (F.size("lost") == 0))
+    place = lambda line: F.shiftright(line["id"], 32).cast("int")
+    kept = F.filter(_numbered(F.col("text")), lambda line: ~F.array_contains("gone", place(line)) & ~F.array_contains("lost", line["id"]))
+    kept = _plain(F.array_join(F.transform(kept, lambda line: line["line"]), "\n"))
+    touched = F.array_distinct(F.concat("gone", F.transform("lost", lambda x: F.shiftright(x, 32).cast("int"))))
+    shared = F.concat(
+        F.filter(chunks_of(F.col("text")), lambda c, i: F.array_contains("met", i)),
+        F.transform(F.filter(_pairs(_numbered(F.col("text")), lambda a, b: F.struct(a["id"].alias("id"), F.concat(a["line"], F.lit("\n"), b["line"]).alias("both"))),
+                             lambda p: F.array_contains("pair", p["id"])), lambda p: p["both"]))
     out = stored(out.select(
-        "doc_id",
-        F.when(untouched | (F.size("gone") == 0), F.col("text")).otherwise(_plain(F.array_join(kept, "\n"))).alias("text"),
-        F.coalesce("chunks", F.lit(0)).cast("long").alias("removed_chunks"),
-        F.coalesce("lines", F.lit(0)).cast("long").alias("removed_lines"),
-        F.coalesce("chars", F.lit(0)).cast("long").alias("removed_chars"),
-        F.when(~untouched, shared).alias("shared")), "cleaned")
+        "doc_id", F.when(untouched, F.col("text")).otherwise(kept).alias("text"),
+        F.when(untouched, 0).otherwise(F.size(touched)).cast("long").alias("removed_chunks"),
+        F.length("text").alias("before"), _lines(F.col("text")).alias("lines"),
+        # a text that went whole has no line left; an empty one has one
+        F.when(untouched, _lines(F.col("text"))).otherwise(F.size(F.filter(
+            _numbered(F.col("text")), lambda line: ~F.array_contains("gone", place(line)) & ~F.array_contains("lost", line["id"])))).alias("stay"),
+        F.when(F.col("met").isNotNull(), shared).alias("shared")), "cleaned", "zstd")
     _compare_bytes(out)
-    return out.drop("shared")
+    return out.select("doc_id", "text", "removed_chunks", (F.col("lines") - F.col("stay")).cast("long").alias("removed_lines"),
+                      (F.col("before") - F.length("text")).cast("long").alias("removed_chars"))
+
+
+def _repeated(rows: DataFrame, place: str) -> DataFrame:
+    """What stands in more than one place, by its hashes (rh, rc), and the first of them."""
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_file", "_at", place)
+    found = rows.groupBy("h", "check").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")).filter("n > 1")
+    return stored(found.select(F.col("h").alias("rh"), F.col("check").alias("rc"), "first"), "repeated", "zstd")
+
+
+def _is(first: Column, place: str) -> Column:
+    return (F.col("_file") == first["_file"]) & (F.col("_at") == first["_at"]) & (F.col(place) == first[place])
+
+
+def _lines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
+def _blank(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANK + "\n")) == ""
+
+
+def _wordy(a: Column, b: Column) -> Column:
+    """Two lines, neither blank, of ten words or more in all, told by their spaces."""
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    return (spaces(a) + spaces(b) >= PAIR_WORDS - 2) & ~_blank(a) & ~_blank(b)
 
 
 def _long(line: Column) -> Column:
