@@ -18,7 +18,7 @@ from tidemark.llm.common import stored, text_of, with_rows
 
 #: One in so many places between lines is a cut, words from which a line stands alone, and words of the shortest pair of lines.
 SPACING, LONG_WORDS, PAIR_WORDS = 3, 50, 10
-_MARK, _CUT, _BLANK = "\x01a", "\x01b", " \t\x0b\x0c\r"
+_MARK, _CUT, _BLANK = "\x01a", "\x01b", " \t\n\x0b\x0c\r"
 #: A line's name inside its text: its chunk's place times this, plus its number there.
 _PLACE = 1 << 32
 
@@ -48,10 +48,15 @@ def _pairs(lines: Column, name) -> Column:
     return F.transform(F.filter(both, lambda p: p["b"].isNotNull()), lambda p: name(p["a"], p["b"]))
 
 
-def _numbered(text: Column) -> Column:
-    """The lines of a text as (id, line)."""
+def _both(a: Column, b: Column) -> Column:
+    """Two lines as one text; null if one of them is blank."""
+    return F.when(~_blank(a) & ~_blank(b), F.concat(a, F.lit("\n"), b))
+
+
+def _numbered(chunks: Column) -> Column:
+    """The lines of a text's chunks as (id, line)."""
     own = lambda c, p: F.transform(F.split(c, "\n"), lambda line, i: F.struct((p.cast("long") * _PLACE + i).alias("id"), line.alias("line")))
-    return F.flatten(F.transform(chunks_of(text), own))
+    return F.flatten(F.transform(chunks, own))
 
 
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -73,11 +78,11 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
         "doc_id", "_file", "_at", F.posexplode(F.zip_with("chunks", follows(F.col("chunks")), lambda c, n: F.struct(
             c.alias("chunk"), F.concat_ws("\n", c, F.substring_index(n, "\n", 1)).alias("run")))).alias("place", "piece"))
     pieces = pieces.select("doc_id", "_file", "_at", "place", "piece.chunk", F.split("piece.run", "\n").alias("run"))
-    lines = F.length("chunk") - F.length(F.replace("chunk", F.lit("\n"), F.lit(""))) + 1
+    lines = F.octet_length("chunk") - F.octet_length(F.replace("chunk", F.lit("\n"), F.lit(""))) + 1
     placed = pieces.select(
         "doc_id", "_file", "_at", "place", lines.alias("lines"), *_hashes(F.col("chunk")),
         (((lines > 1) | _long(F.col("chunk"))) & ~_blank(F.col("chunk"))).alias("whole"),
-        _pairs(F.col("run"), lambda a, b: F.when(_wordy(a, b), F.struct(*_hashes(F.concat(a, F.lit("\n"), b))))).alias("pairs"))
+        F.transform(_pairs(F.col("run"), _both), lambda both: F.when(_spaced(both, PAIR_WORDS - 2), F.struct(*_hashes(both)))).alias("pairs"))
     placed = stored(placed, "chunks", "zstd")
 
     chunks = placed.filter("whole")
@@ -104,26 +109,26 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     marks = stored(marks, "marks", "zstd")
 
     out = base.join(marks.hint("merge"), (F.col("_file") == F.col("m_file")) & (F.col("_at") == F.col("m_at")), "left")
-    untouched = F.col("met").isNull() | ((F.size("gone") == 0) & (F.size("lost") == 0))
+    # a column that several others read is worked out once, and only where something met
+    found = F.col("met").isNotNull()
+    out = out.withColumn("chunks", F.when(found, chunks_of(F.col("text"))))
+    out = out.withColumn("numbered", F.when((F.size("pair") > 0) | (F.size("gone") > 0), _numbered(F.col("chunks"))))
     place = lambda line: F.shiftright(line["id"], 32).cast("int")
-    kept = F.filter(_numbered(F.col("text")), lambda line: ~F.array_contains("gone", place(line)) & ~F.array_contains("lost", line["id"]))
-    kept = _plain(F.array_join(F.transform(kept, lambda line: line["line"]), "\n"))
+    stays = F.filter("numbered", lambda line: ~F.array_contains("gone", place(line)) & ~F.array_contains("lost", line["id"]))
+    out = out.withColumn("stays", F.when((F.size("gone") > 0) | (F.size("lost") > 0), stays))
+    same = F.col("stays").isNull()
     touched = F.array_distinct(F.concat("gone", F.transform("lost", lambda x: F.shiftright(x, 32).cast("int"))))
-    shared = F.concat(
-        F.filter(chunks_of(F.col("text")), lambda c, i: F.array_contains("met", i)),
-        F.transform(F.filter(_pairs(_numbered(F.col("text")), lambda a, b: F.struct(a["id"].alias("id"), F.concat(a["line"], F.lit("\n"), b["line"]).alias("both"))),
-                             lambda p: F.array_contains("pair", p["id"])), lambda p: p["both"]))
+    pairs = F.filter(_pairs(F.col("numbered"), lambda a, b: F.struct(a["id"].alias("id"), a["line"].alias("a"), b["line"].alias("b"))), lambda p: F.array_contains("pair", p["id"]))
+    shared = F.concat(F.filter("chunks", lambda c, i: F.array_contains("met", i)),
+                      F.when(F.size("pair") > 0, F.transform(pairs, lambda p: _both(p["a"], p["b"]))).otherwise(F.array().cast("array<string>")))
     out = stored(out.select(
-        "doc_id", F.when(untouched, F.col("text")).otherwise(kept).alias("text"),
-        F.when(untouched, 0).otherwise(F.size(touched)).cast("long").alias("removed_chunks"),
-        F.length("text").alias("before"), _lines(F.col("text")).alias("lines"),
-        # a text that went whole has no line left; an empty one has one
-        F.when(untouched, _lines(F.col("text"))).otherwise(F.size(F.filter(
-            _numbered(F.col("text")), lambda line: ~F.array_contains("gone", place(line)) & ~F.array_contains("lost", line["id"])))).alias("stay"),
-        F.when(F.col("met").isNotNull(), shared).alias("shared")), "cleaned", "zstd")
+        "doc_id", F.when(same, F.col("text")).otherwise(_plain(F.array_join(F.transform("stays", lambda line: line["line"]), "\n"))).alias("text"),
+        F.when(same, 0).otherwise(F.size(touched)).cast("long").alias("removed_chunks"),
+        F.when(same, 0).otherwise(F.size("numbered") - F.size("stays")).cast("long").alias("removed_lines"),
+        F.when(~same, F.length("text")).alias("before"), F.when(found, shared).alias("shared")), "cleaned", "zstd")
     _compare_bytes(out)
-    return out.select("doc_id", "text", "removed_chunks", (F.col("lines") - F.col("stay")).cast("long").alias("removed_lines"),
-                      (F.col("before") - F.length("text")).cast("long").alias("removed_chars"))
+    return out.select("doc_id", "text", "removed_chunks", "removed_lines",
+                      F.coalesce(F.col("before") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars"))
 
 
 def _repeated(rows: DataFrame, place: str) -> DataFrame:
@@ -137,27 +142,22 @@ def _is(first: Column, place: str) -> Column:
     return (F.col("_file") == first["_file"]) & (F.col("_at") == first["_at"]) & (F.col(place) == first[place])
 
 
-def _lines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-
-
 def _blank(text: Column) -> Column:
-    return F.btrim(text, F.lit(_BLANK + "\n")) == ""
+    return F.octet_length(F.ltrim(text, F.lit(_BLANK))) == 0
 
 
-def _wordy(a: Column, b: Column) -> Column:
-    """Two lines, neither blank, of ten words or more in all, told by their spaces."""
-    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    return (spaces(a) + spaces(b) >= PAIR_WORDS - 2) & ~_blank(a) & ~_blank(b)
+def _spaced(text: Column, spaces: int) -> Column:
+    """Whether ``text`` has so many spaces; reads no further than the last of them."""
+    return F.octet_length(F.substring_index(text, " ", spaces)) < F.octet_length(text)
 
 
 def _long(line: Column) -> Column:
     """Fifty words or more, told by their spaces."""
-    return (F.octet_length(line) >= 2 * LONG_WORDS - 1) & (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1)
+    return (F.octet_length(line) >= 2 * LONG_WORDS - 1) & _spaced(line, LONG_WORDS - 1)
 
 
 def _hashes(chunk: Column) -> list[Column]:
-    return [F.xxhash64(chunk).alias("h"), F.xxhash64(F.length(chunk), F.lit("chunk"), chunk).alias("check")]
+    return [F.xxhash64(chunk).alias("h"), F.xxhash64(F.octet_length(chunk), F.lit("chunk"), chunk).alias("check")]
 
 
 def _compare_bytes(cleaned: DataFrame) -> None:
