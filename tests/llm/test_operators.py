@@ -290,6 +290,8 @@ def test_quality_separates_junk_it_was_never_shown_as_bad(spark):
     assert len(got) == len(rows) and got["score"].between(0, 1).all()
     known = got[(got["doc_id"] < 400) & got["held_out"]]
     assert ((known["doc_id"] % 6 > 0) == (known["predicted"] == 1)).mean() > 0.97
+    own = documents(spark, rows).withColumn("quality_score", F.lit(-2.0)).withColumn("a.b", F.lit("x"))
+    assert quality.keep_good(own, labels).filter("quality_score = -2 AND `a.b` = 'x'").count() == got["predicted"].sum()
     kept = quality.keep_good(documents(spark, rows), labels)
     assert kept.columns == documents(spark, rows).columns and kept.count() == got["predicted"].sum()
     assert (quality.quality_scores(documents(spark, rows), labels.limit(0)).toPandas()["score"] == 0.5).all()
@@ -563,3 +565,11 @@ def test_dedup_of_one_side_only(spark):
         assert got["kept"].sum() == 2 and sorted(got["keep_id"]) == [1, 1, 3]
     assert exactdedup.drop_copies(documents(spark, rows)).count() == 2
     assert exactdedup.dedup_against_snapshot(documents(spark, rows).limit(0), F.lit(True)).count() == 0
+
+
+def test_a_worker_remembers_for_one_operator():
+    from tidemark.llm.common import remembered
+
+    one = remembered("one", dict)
+    assert remembered("one", list) is one
+    assert remembered("two", list) == [] and remembered("one", dict) is not one

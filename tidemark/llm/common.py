@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,20 @@ def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_REMEMBERED: dict[str, Any] = {}
+
+
+def remembered(name: str, make: Callable[[], Any]) -> Any:
+    """In a Python worker: what ``make`` returned for ``name``, kept from task to task.
+
+    A worker serves many operators; it remembers for one at a time, and taking another name forgets what was held.
+    """
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
 def as_scan(docs: DataFrame) -> DataFrame:
     """``docs`` if it is a plain scan of files, else ``docs`` stored and scanned."""
     try:

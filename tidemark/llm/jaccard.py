@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_scan, stored, text_of, with_rows
+from tidemark.llm.common import as_scan, remembered, stored, text_of, with_rows
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Levels of every path and of the longest; members from which a bucket may be split further, and from which it is dealt as tiles.
@@ -89,7 +89,7 @@ def tokens_of(shingles: np.ndarray, first: int = 0, end: int = RUNS) -> np.ndarr
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles = Shingles()
+    shingles = remembered("shingles", Shingles)
     for pdf in batches:
         sets = [shingles.of(t) for t in pdf["text"]]
         digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
@@ -102,7 +102,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _more_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles = Shingles()
+    shingles = remembered("shingles", Shingles)
     for pdf in batches:
         yield pd.DataFrame({"rid": pdf["rid"], "later": [tokens_of(shingles.of(t), RUNS, MOST_RUNS).tobytes() for t in pdf["text"]]})
 
@@ -243,7 +243,7 @@ def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles = Shingles()
+    shingles = remembered("shingles", Shingles)
     kind = {"rid": "int64", "other": "Int64", "links": "int64"}
     kept = []
     for group in _buckets(batches):

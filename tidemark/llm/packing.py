@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_of
+from tidemark.llm.common import remembered, stored, text_of
 
 CAPACITY, SHORT = 4096, 64
 _PIECES = "doc_id long, start long, length long, doc_tokens long, class int, nth long, part int, ids binary"
@@ -63,14 +63,9 @@ class WordIds(dict):
         return b"".join([self[run] for run in runs])
 
 
-_KNOWN: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """The worker's own; it lives as long as the worker."""
-    if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
-    return _KNOWN[path]
+    """The worker's own; it lives until the worker serves another operator."""
+    return remembered(f"word ids {path}", lambda: WordIds(path))
 
 
 def cut_sizes(tokens: int, capacity: int = CAPACITY, short: int = SHORT) -> list[tuple[int, int]]:

@@ -11,6 +11,7 @@ positives, is least where only positives are left.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, text_of
+from tidemark.llm.common import held_out, remembered, text_of
 
 #: Most positives and most unlabelled texts that a fit reads; scores always cover every row.
 FIT_ROWS = 12_000
@@ -146,16 +147,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, fit_rows:
     return fit(sample(1), sample(0))
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``quality_score`` between 0 and 1; every column of ``docs`` stays, null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_quality(docs: DataFrame, model: QualityModel, column: str = "quality_score") -> DataFrame:
+    """``docs`` with ``column`` between 0 and 1; every other column of ``docs`` stays, null text counts as empty."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), f"quality {uuid.uuid4().hex}"
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = remembered(name, lambda: shared.value)
         for text in texts:
-            yield pd.Series(shared.value.scores(_rows(text.tolist())))
+            yield pd.Series(own.scores(_rows(text.tolist())))
 
-    return docs.withColumn("quality_score", score(text_of()))
+    return docs.withColumn(column, score(text_of()))
 
 
 def learnable() -> Column:
@@ -176,7 +178,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns."""
-    model = fit_quality(docs, labels, learnable())
-    scored = score_quality(docs.select(*docs.columns), model)
-    return scored.filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that the classifier accepts, with their columns, whatever these are called.
+
+    Null and empty texts are judged as texts without words; of rows that repeat all go or stay.
+    """
+    model, column = fit_quality(docs, labels, learnable()), f"quality_{uuid.uuid4().hex}"
+    return score_quality(docs, model, column).filter(F.col(column) >= threshold).drop(column)

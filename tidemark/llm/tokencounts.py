@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import remembered, text_of
 
 #: How the model writes a space; here both are spaces.
 _BAR, SPACE = "▁", " "
@@ -227,15 +227,9 @@ class PrefixCounter:
         return bytes([both & 255]) + out[2:], self.wide
 
 
-_KNOWN: dict[str, PrefixCounter] = {}
-
-
 def counter_of(path: str) -> PrefixCounter:
-    """The worker's own, with what it remembers of earlier tasks; another model takes its place."""
-    if path not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[path] = PrefixCounter(Pieces(path))
-    return _KNOWN[path]
+    """The worker's own, with what it remembers of earlier tasks; another model or operator takes its place."""
+    return remembered(f"prefix counts {path}", lambda: PrefixCounter(Pieces(path)))
 
 
 def counts_at_prefixes(steps: bytes, wide) -> np.ndarray:
