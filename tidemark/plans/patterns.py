@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mining as mi
 from .registry import query
+from .resampling import SIGNAL, signal, signal_line
 from .resampling import DAY_US, HOUR_US
 
 MIN = 60_000_000
@@ -213,3 +214,18 @@ SELECT 'l_quantity' AS "column", min(l_quantity) AS low, max(l_quantity) AS high
 """)
 def _(t):
     return mi.widest_intervals(t.lineitem, ["l_quantity", "l_tax"], 0.1)
+
+
+MOTIF_WINDOWS = f"""WITH {SIGNAL},
+w AS (SELECT rec, sample_no AS pos, list(value) OVER (PARTITION BY rec ORDER BY sample_no ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM sg),
+z AS (SELECT rec, pos, list_transform(v, lambda x: (x - list_avg(v)) / list_aggregate(v, 'stddev_pop')) AS z FROM w WHERE len(v) = 16),
+p AS (SELECT a.rec, a.pos, min(struct_pack(distance := round(list_distance(a.z, b.z), 9), other := b.pos)) AS b FROM z a JOIN z b ON a.rec = b.rec AND abs(a.pos - b.pos) > 4 GROUP BY a.rec, a.pos),
+r AS (SELECT rec, pos, b, row_number() OVER (PARTITION BY rec ORDER BY b.distance, pos) AS rank FROM p)
+"""
+
+
+@query("motifs", "K13", MOTIF_WINDOWS + "SELECT rec, rank, pos AS \"at\", b.other AS other, round(b.distance, 6) AS distance FROM r WHERE rank <= 3")
+def _(t):
+    from ..operators.motifs import motifs
+
+    return motifs(signal(t), signal_line(), "value", 16, 3).select("rec", "rank", "at", "other", F.round("distance", 6).alias("distance"))
