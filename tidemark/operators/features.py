@@ -136,9 +136,12 @@ def _power(psd: Column, rate: float, n: Column, lo: float, hi: float) -> Column:
     return F.aggregate(F.slice(psd, first + 1, F.greatest(stop - first, F.lit(0))), F.lit(0.0), lambda a, v: a + v)
 
 
-def band_features(df: DataFrame, psd: str, samples: str, rate: float, scale: float = 1.0) -> DataFrame:
-    """Absolute and relative band powers, cumulated bands, centroid, ratios and broad-band power from a power array."""
-    p, n = F.col(psd), F.size(samples)
+def band_features(df: DataFrame, psd: str, samples: str, rate: float, scale: float = 1.0, *, points: int | None = None) -> DataFrame:
+    """Absolute and relative band powers, cumulated bands, centroid, ratios and broad-band power from a power array.
+
+    ``points`` is the number of samples the spectrum was taken over, where that isn't the whole epoch.
+    """
+    p, n = F.col(psd), F.lit(points) if points else F.size(samples)
     df = df.withColumns({f"abs_{name}": _power(p, rate, n, lo, hi) * scale for name, lo, hi in BANDS})
     total = sum((F.col(f"abs_{name}") for name, _, _ in BANDS), F.lit(0.0))
     df = df.withColumn("_total", total).withColumns({f"rel_{name}": F.try_divide(F.col(f"abs_{name}"), F.col("_total")) for name, _, _ in BANDS})

@@ -115,7 +115,7 @@ def _jobs(keys: Sequence[str], size: int, k: int, apart: int):
             for c, values in zip(("at", "other", "distance"), best):
                 out[c] += values.tolist()
             out["pairs"] += [best[3]] + [0] * (n - 1)
-        return pd.DataFrame(out, columns=names)
+        return pd.DataFrame({c: pd.Series(out[c], dtype=object if c in keys else None) for c in names})
 
     return run
 

@@ -158,6 +158,25 @@ USELESS_DAY_KEYS: tuple[tuple[tuple[str, str], ...], ...] = (
     (("prefix", "night:yasaExtended:Stability:Aggregated:Deep"),),
     (("exact", "night:yasa:adjusted:debug:discardedMicrowakingsCount"),),
 )
+# fixed values: sources of day keys; admitting rules, then rejecting ones, a rule being one test or several that must all hold
+DAY_SOURCES: dict[str, tuple[tuple[tuple[tuple[str, str], ...], ...], tuple[tuple[tuple[str, str], ...], ...]]] = {
+    "days": (((("prefix", "sunrise:"),), (("prefix", "date:"),), (("exact", "weather:pressureAfternoon"),)), ()),
+    "physical": (((("prefix", "hr:"),), (("prefix", "hrv:"),), (("prefix", "o2:"),), (("prefix", "movement:"),), (("prefix", "diastolic:"),), (("prefix", "systolic:"),),
+                  (("prefix", "glucose:"),), (("prefix", "circadian:combined:"),), (("prefix", "coreBodyTemp:"),)), ()),
+    "yasa": (((("prefix", "night:"), ("part", "yasa")),), ((("part", "finalWakeModel"),), (("part", "-M1:"),))),
+    "literally_all": (((("prefix", ""),),), ()),
+}
+# fixed values: day keys that no source admits
+DENIED_DAY_KEYS: tuple[tuple[tuple[str, str], ...], ...] = (
+    (("exact", "night:yasaExtended:Stability:Aggregated:De ep"),),
+    (("suffix", "_s"),),
+    (("part", "_s:"),),
+    (("part", "Prediction"), ("part", "Error")),
+    (("exact", "night:yasaExtended:Statistics:SE"),),
+    (("exact", "night:yasaExtended:Statistics:TIB"),),
+    (("prefix", "night:yasaExtended:Statistics:Lat_"),),
+    (("part", "discardedMicrowakingsCount"),),
+)
 # fixed values: day keys by how far they are under the person's control
 CONTROLLED_DAY_KEYS: dict[str, tuple[tuple[str, str], ...]] = {
     "fully": (("prefix", "drugsAndSupplements"), ("exact", "night:aggregated:gotIntoBedTimeSSM"), ("prefix", "exercise"), ("prefix", "sunExposure"),
@@ -233,15 +252,57 @@ def chosen_columns(columns: Sequence[str], sources: Sequence[str], *, real_time:
     return [c for c in columns if any(admitted(c, s) for s in sources) and not (real_time and ("_c7" in c or "_p2" in c))]
 
 
+def _meets(key: Column, rules: Sequence[Sequence[tuple[str, str]]]) -> Column:
+    """Whether all tests of any rule hold."""
+    hit = F.lit(False)
+    for tests in rules:
+        every = F.lit(True)
+        for one in tests:
+            every = every & key_passes(key, one)
+        hit = hit | every
+    return hit
+
+
 def useful_day_key(key: Column) -> Column:
     """Whether a day key is worth keeping."""
-    useless = F.lit(False)
-    for rules in USELESS_DAY_KEYS:
-        every = F.lit(True)
-        for r in rules:
-            every = every & key_passes(key, r)
-        useless = useless | every
-    return ~useless
+    return ~_meets(key, USELESS_DAY_KEYS)
+
+
+def admitted_day_key(key: Column, sources: Sequence[str], unwanted: Sequence[str] = ()) -> Column:
+    """Whether any of the sources admits a day key and none of the unwanted ones does.
+
+    Sources are those of ``DAY_SOURCES`` and, with a colon at the end, prefixes; an unknown one admits nothing.
+    """
+    def any_of(names: Sequence[str]) -> Column:
+        hit = F.lit(False)
+        for name in names:
+            allow, deny = DAY_SOURCES.get(name, ((), ()))
+            hit = hit | (_meets(key, allow) & ~_meets(key, deny))
+            if name.endswith(":"):
+                hit = hit | key.startswith(name)
+        return hit
+
+    return any_of(sources) & ~any_of(unwanted) & ~_meets(key, DENIED_DAY_KEYS)
+
+
+def day_feature_columns(df: DataFrame, target: str, sources: Sequence[str], unwanted: Sequence[str] = ()) -> DataFrame:
+    """Number and flag columns that are admitted, and the target, in order of name.
+
+    The two sources ``curated_night`` and ``under_my_control`` stand alone, as given first: they keep their own order.
+    """
+    usable = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    if "curated_night" in sources:
+        curated = best_night_keys()
+        return df.select(*[_q(c) for c in [*curated, *([] if target in curated else [target])] if c in usable])
+
+    def judged(rule: Callable[[Column], Column]) -> list[str]:
+        names = local_table(df.sparkSession, [(c,) for c in usable], "name string")
+        return [r["name"] for r in names.filter((F.col("name") == target) | rule(F.col("name"))).collect()]
+
+    if "under_my_control" in sources:
+        chosen = set(judged(controlled_day_key))
+        return df.select(*[_q(c) for c in usable if c in chosen])
+    return df.select(*[_q(c) for c in sorted(judged(lambda name: admitted_day_key(name, sources, unwanted)))])
 
 
 def controlled_day_key(key: Column) -> Column:

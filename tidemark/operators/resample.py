@@ -197,25 +197,27 @@ def _shifted(value: str, k: int, w) -> Column:
 
 
 def convolve(df: DataFrame, line: Timeline, value: str, weights: Sequence[float], name: str) -> DataFrame:
-    """Weighted sum over the neighbours of each row; beyond the ends the end value repeats."""
-    h = len(weights) // 2
+    """Weighted sum over the neighbours of each row; beyond the ends the end value repeats.
+
+    An even number of weights reaches one row further ahead than back.
+    """
+    before, after = (len(weights) - 1) // 2, len(weights) // 2
 
     def make(w) -> Column:
-        first = F.first(value).over(w.rowsBetween(-h, h))
-        last = F.last(value).over(w.rowsBetween(-h, h))
+        first = F.first(value).over(w.rowsBetween(-before, after))
+        last = F.last(value).over(w.rowsBetween(-before, after))
         terms = []
-        for k, weight in zip(range(-h, h + 1), weights):
+        for k, weight in zip(range(-before, after + 1), weights):
             x = _shifted(value, k, w)
             terms.append(F.coalesce(x, first if k < 0 else last) * F.lit(float(weight)))
         return reduce(lambda p, q: p + q, terms)
 
-    return framed(df, line, {name: make}, before=h, after=h)
+    return framed(df, line, {name: make}, before=before, after=after)
 
 
 def savgol_weights(points: int, order: int) -> list[float]:
-    """Least-squares polynomial smoothing weights for an odd number of points."""
-    h = points // 2
-    basis = np.vander(np.arange(-h, h + 1), order + 1, increasing=True)
+    """Least-squares polynomial smoothing weights; an even number of points gives the value half a step after the row."""
+    basis = np.vander(np.arange(points) - (points - 1) / 2, order + 1, increasing=True)
     return [float(x) for x in np.linalg.pinv(basis)[0]]
 
 

@@ -337,3 +337,43 @@ def _(t):
     s = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.bool_or((e == "purchase") & (F.hour("ts") >= 18)).alias("shower"), F.bool_or(e == "signup").alias("lamp"), F.sum("value").alias("light"), F.bool_or(e == "view").alias("has_lep"))
     return s.filter("NOT shower AND NOT lamp AND light < 30 AND has_lep").select("user_id", "day", F.round("light", 6).alias("light"))
+
+
+# names of every kind that the rules tell apart
+SOURCE_KEYS = ["sunrise:mins", "date:month", "weather:pressureAfternoon", "weather:pressureMorning", "hr:AsleepToAwake:mean", "hrv:mean", "o2:mean", "movement:mean", "glucose:mean", "circadian:combined:low",
+               "circadian:other", "coreBodyTemp:mean", "night:yasa:adjusted:wakeTimeSSM", "night:yasa:finalWakeModel:x", "night:yasaExtended:C3-M1:iqr", "night:yasaExtended:Stability:Aggregated:De ep",
+               "night:yasaExtended:N3:iqr_s", "hr:iqr_s:mean", "date:sleepPredictionError", "night:yasaExtended:Statistics:SE", "night:yasaExtended:Statistics:Lat_N1", "night:yasa:discardedMicrowakingsCount",
+               "food:sugar", "foodless"]
+SOURCES = ["days", "physical", "yasa", "food:", "literally_all", "unknown"]
+_KEYED = "k AS (SELECT event_id, [" + ", ".join(f"'{k}'" for k in SOURCE_KEYS) + f"][event_id % {len(SOURCE_KEYS)} + 1] AS key FROM events)"
+_DENIED = """(key = 'night:yasaExtended:Stability:Aggregated:De ep' OR suffix(key, '_s') OR contains(key, '_s:') OR contains(key, 'Prediction') AND contains(key, 'Error')
+  OR key = 'night:yasaExtended:Statistics:SE' OR key = 'night:yasaExtended:Statistics:TIB' OR starts_with(key, 'night:yasaExtended:Statistics:Lat_') OR contains(key, 'discardedMicrowakingsCount'))"""
+_DAYS = "(starts_with(key, 'sunrise:') OR starts_with(key, 'date:') OR key = 'weather:pressureAfternoon')"
+_PHYSICAL = "regexp_matches(key, '^(hr|hrv|o2|movement|diastolic|systolic|glucose|circadian:combined|coreBodyTemp):')"
+_YASA = "(starts_with(key, 'night:') AND contains(key, 'yasa') AND NOT contains(key, 'finalWakeModel') AND NOT contains(key, '-M1:'))"
+
+
+def _source_keys(t):
+    return t.events.select("event_id", F.element_at(F.array(*map(F.lit, SOURCE_KEYS)), (F.col("event_id") % len(SOURCE_KEYS) + 1).cast("int")).alias("key"))
+
+
+@query("day_keys_by_source", "H07", f"""WITH {_KEYED}
+SELECT event_id, key, source FROM k, (VALUES ('days'), ('physical'), ('yasa'), ('food:'), ('literally_all')) s(source)
+WHERE NOT {_DENIED} AND CASE source WHEN 'days' THEN {_DAYS} WHEN 'physical' THEN {_PHYSICAL} WHEN 'yasa' THEN {_YASA} WHEN 'food:' THEN starts_with(key, 'food:') ELSE true END
+""")
+def _(t):
+    keys = _source_keys(t)
+    named = F.array_compact(F.array(*[F.when(qu.admitted_day_key(F.col("key"), [s]), F.lit(s)) for s in SOURCES]))
+    return keys.select("event_id", "key", F.explode(named).alias("source"))
+
+
+@query("day_keys_without_unwanted", "H07", f"WITH {_KEYED} SELECT event_id, key FROM k WHERE NOT {_DENIED} AND ({_DAYS} OR {_YASA} OR {_PHYSICAL}) AND NOT ({_DAYS} OR starts_with(key, 'circadian:'))")
+def _(t):
+    return _source_keys(t).filter(qu.admitted_day_key(F.col("key"), ["days", "yasa", "physical"], ["days", "circadian:"]))
+
+
+@query("day_feature_columns", "H07 H09", """SELECT CAST(event_id AS BIGINT) AS "hr:mean", value AS "night:yasa:amount", value AS "zz:target" FROM events""")
+def _(t):
+    wide = t.events.select(F.col("value").alias("zz:target"), F.col("event_type").alias("hr:text"), F.col("value").alias("night:yasa:amount"), F.col("value").alias("night:yasa:iqr_s"),
+                           F.col("event_id").alias("hr:mean"), F.col("event_id").alias("date:day"), F.col("event_id").alias("other"))
+    return qu.day_feature_columns(wide, "zz:target", ["physical", "yasa", "date:"], ["days"])

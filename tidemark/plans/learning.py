@@ -142,6 +142,20 @@ def _(t):
     return cluster_lines(mo.clusters_2d(rows, "l_quantity", "l_extendedprice", 3), ["cluster"], "l_quantity", "l_extendedprice")
 
 
+@query("ward_clusters_2d", "L30")
+def _(t):
+    from ..operators.ward import cluster_shapes, ward_clusters
+
+    return cluster_shapes(ward_clusters(t.lineitem.select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", 3), "l_quantity", "l_extendedprice")
+
+
+@query("bin_count_choices", "L03")
+def _(t):
+    from ..operators.bincounts import bin_count_choices
+
+    return bin_count_choices(t.events, ["event_id"], "value")
+
+
 @query("cluster_count_by_bic", "L31")
 def _(t):
     return mo.choose_k_by_bic(t.lineitem, ["l_quantity", "l_extendedprice"], 2, 6)

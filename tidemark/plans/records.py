@@ -91,7 +91,7 @@ UNION ALL SELECT event_id, 'list_0', event_type FROM events UNION ALL SELECT eve
 def _(t):
     doc = F.concat(F.lit('{"props": '), F.col("props"), F.lit(', "who": {"id": '), F.col("user_id").cast("string"), F.lit('}, "list": ["'), F.col("event_type"),
                    F.lit('", {"deep": '), (F.col("event_id") % 7).cast("string"), F.lit("}]}"))
-    return tb.flatten_documents(t.events.select("event_id", doc.alias("doc")), ["event_id"], "doc", depth=4)
+    return tb.flatten_documents(t.events.select("event_id", doc.alias("doc")), ["event_id"], "doc")
 
 
 @query("reviews_wide", "A09", """

@@ -185,14 +185,14 @@ def _(t):
 
 
 def _conv_sql(weights):
-    h = len(weights) // 2
+    before, after = (len(weights) - 1) // 2, len(weights) // 2
     terms = []
-    for k, w in zip(range(-h, h + 1), weights):
+    for k, w in zip(range(-before, after + 1), weights):
         fn = f"lag(value, {-k}) OVER o" if k < 0 else f"lead(value, {k}) OVER o" if k else "value"
         edge = "first_value(value) OVER w" if k < 0 else "last_value(value) OVER w"
         terms.append(f"coalesce({fn}, {edge}) * {w!r}")
     return (f"WITH {SIGNAL} SELECT rec, sample_no, round({' + '.join(terms)}, 6) AS smooth FROM sg WINDOW o AS (PARTITION BY rec ORDER BY sample_no), "
-            f"w AS (PARTITION BY rec ORDER BY sample_no ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)")
+            f"w AS (PARTITION BY rec ORDER BY sample_no ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)")
 
 
 @query("savgol_smooth", "C14", _conv_sql(rs.savgol_weights(11, 2)))
@@ -200,6 +200,11 @@ def _(t):
     return rs.convolve(signal(t), signal_line(), "value", rs.savgol_weights(11, 2), "smooth").select("rec", "sample_no", F.round("smooth", 6).alias("smooth"))
 
 
+@query("savgol_smooth_even", "C14", _conv_sql(rs.savgol_weights(20, 2)))
+def _(t):
+    return rs.convolve(signal(t), signal_line(), "value", rs.savgol_weights(20, 2), "smooth").select("rec", "sample_no", F.round("smooth", 6).alias("smooth"))
+
+
 @query("gaussian_smooth", "C15", _conv_sql(rs.gaussian_weights(1.0)))
 def _(t):
     return rs.convolve(signal(t), signal_line(), "value", rs.gaussian_weights(1.0), "smooth").select("rec", "sample_no", F.round("smooth", 6).alias("smooth"))

@@ -132,3 +132,27 @@ def _(t):
     rows = t.events.select("user_id", F.col("event_type").alias("channel"), F.col("value").alias("amplitude"), F.get_json_object("props", "$.k").cast("double").alias("duration"))
     out = fe.waveform_summaries(rows, ["user_id"], "channel", ["amplitude", "duration"])
     return out.select("user_id", "channel", F.round("amplitude", 6).alias("amplitude"), F.round("duration", 6).alias("duration"))
+
+
+@query("multitaper_bands", "D12 D13")
+def _(t):
+    from ..operators.tapers import multitaper
+
+    epochs_ = fe.epoch_arrays(_epoch_signal(t), ["rec", "epoch"], "sample_no", "value").withColumn("psd", multitaper(RATE)("samples"))
+    return fe.band_features(epochs_, "psd", "samples", RATE).drop("psd", "samples")
+
+
+WELCH = f"""{SIGNAL},
+s0 AS (SELECT rec, sample_no // 64 AS epoch, sample_no % 64 AS i, value FROM sg), g AS (SELECT rec, epoch, part, i - part * 16 AS j, value FROM s0, range(0, 3) p(part) WHERE i >= part * 16 AND i < part * 16 + 32),
+h AS (SELECT rec, epoch, part, j, (value - avg(value) OVER (PARTITION BY rec, epoch, part)) * (0.54 - 0.46 * cos(2 * pi() * j / 32)) AS x FROM g),
+f AS (SELECT rec, epoch, part, k, sum(x * cos(2 * pi() * k * j / 32)) AS re, sum(x * sin(2 * pi() * k * j / 32)) AS im FROM h, range(0, 17) r(k) GROUP BY ALL),
+u AS (SELECT sum((0.54 - 0.46 * cos(2 * pi() * j / 32)) ** 2) AS energy FROM range(0, 32) r(j))
+"""
+
+
+@query("median_spectrum", "D12", f"WITH {WELCH} SELECT rec, epoch, CAST(k AS INTEGER) AS k, round(median((re * re + im * im) * CASE WHEN k BETWEEN 1 AND 15 THEN 2 ELSE 1 END) / (64 * any_value(energy)) / (1 + 1 / 3 - 1 / 2), 3) AS p FROM f, u GROUP BY rec, epoch, k")
+def _(t):
+    from ..operators.tapers import welch_median
+
+    spectra = fe.epoch_arrays(_epoch_signal(t), ["rec", "epoch"], "sample_no", "value").withColumn("psd", welch_median(RATE, 0.5)("samples"))
+    return spectra.select("rec", "epoch", F.posexplode("psd").alias("k", "p")).withColumn("p", F.round("p", 3))
