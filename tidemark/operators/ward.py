@@ -65,9 +65,8 @@ def ward_clusters(df: DataFrame, x: str, y: str, k: int, *, side: int = 24) -> D
         return rows.drop("_x", "_y").withColumns({"cluster": F.lit(None).cast("int"), "nearness": F.lit(None).cast("array<double>")})
 
     def cell(value: str, lo: float, hi: float) -> Column:
-        if lo == hi:
-            return F.when(F.col(value).isNotNull(), 0)
-        return F.least(F.floor((F.col(value) - lo) * (side / (hi - lo))), F.lit(side - 1)).cast("int")
+        at = F.lit(0) if lo == hi else F.least(F.floor((F.col(value) - lo) * (side / (hi - lo))), F.lit(side - 1))
+        return F.when(F.col(value).isNotNull(), at.cast("int"))
 
     rows = rows.withColumns({"_i": cell("_x", low[0], low[1]), "_j": cell("_y", low[2], low[3])})
     sums = rows.filter("_x IS NOT NULL").groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_x") - low[0]).alias("x"), F.sum(F.col("_y") - low[2]).alias("y"))
