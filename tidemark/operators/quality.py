@@ -213,8 +213,9 @@ def stage_day_keys(stage: str) -> tuple[tuple[str, str], ...]:
     amount, stability, waking = STAGE_WORDS[stage]
     keys = [(f"night:yasa:adjusted:{amount}SleepSecs", "Amount")] if amount else []
     keys.append((f"night:yasaExtended:Stability:Aggregated:{stability}", "Stability"))
-    keys += [(f"night:yasaExtended:{stage}:{m}:mean", title) for m, title in STAGE_MEASURES]
-    return tuple(keys + ([(f"night:aggregated:microwakingsWithin{waking}PerHour", "Microwakings")] if waking else []))
+    measures = [(f"night:yasaExtended:{stage}:{m}:mean", title) for m, title in STAGE_MEASURES]
+    waking_keys = [(f"night:aggregated:microwakingsWithin{waking}PerHour", "Microwakings")] if waking else []
+    return tuple(keys + measures[:3] + waking_keys + measures[3:])
 
 
 def best_night_keys() -> list[str]:

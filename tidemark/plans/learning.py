@@ -180,3 +180,18 @@ def _(t):
 def _(t):
     rows = _features(t).withColumns({"evening": (F.col("hour") >= 18).cast("double"), "evening_k": F.when(F.col("hour") >= 18, F.col("k")).otherwise(0.0)})
     return mo.compare_formulas(rows, "value", {"plain": ["hour", "k"], "flags": ["evening", "k", "evening_k"]})
+
+
+@query("formulas_with_products", "L38", """
+WITH m AS (SELECT avg(value) FILTER (NOT e AND NOT o) AS m00, avg(value) FILTER (e AND NOT o) AS m10, avg(value) FILTER (NOT e AND o) AS m01, avg(value) FILTER (e AND o) AS m11, count(value) AS n,
+  avg(value) AS m FROM (SELECT value, hour(ts) >= 18 AS e, user_id % 2 = 1 AS o FROM events))
+SELECT 'flat' AS model, '1' AS term, round(m, 6) AS coefficient, CAST(n AS BIGINT) AS n FROM m UNION ALL SELECT 'products', '1', round(m00, 6), n FROM m UNION ALL SELECT 'products', 'evening', round(m10 - m00, 6), n FROM m
+UNION ALL SELECT 'products', 'odd', round(m01 - m00, 6), n FROM m UNION ALL SELECT 'products', 'evening_and_odd', round(m11 - m10 - m01 + m00, 6), n FROM m
+""")
+def _(t):
+    from ..operators.formulas import linear_formulas, with_products
+
+    rows = with_products(t.events.select("value", (F.hour("ts") >= 18).alias("evening"), (F.col("user_id") % 2 == 1).alias("odd")), ["evening", "odd"])
+    rows = rows.withColumns({c: F.col(c).cast("int") for c in ("evening", "odd")})
+    out = linear_formulas(rows, "value", {"flat": [], "products": ["evening", "odd", "evening_and_odd"]})
+    return out.select("model", "term", F.round("coefficient", 6).alias("coefficient"), "n")
