@@ -26,6 +26,23 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+#: A key's rows are dealt to so many parts when they meet the one row of their key.
+PARTS = 32
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``per_key``, which has one short row per key.
+
+    A join on the keys alone would gather a hot key, and an aggregate by the keys would then read it in one task. Rows
+    are dealt to parts by their content and ``per_key`` is repeated for each part.
+    """
+    if not keys:
+        return rows.join(per_key, [], how)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(PARTS)).cast("int"))
+    every = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(every, [*keys, "_part"], how).drop("_part")
+
+
 def value_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = None) -> DataFrame:
     """Per key, ascending cut points that split the values into about equal shares (a mergeable sketch)."""
     count = bins_for(df, bins)
@@ -103,7 +120,8 @@ def _column(p: float) -> str:
 def _picked(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], method: str, bins: int | None) -> DataFrame:
     """Copies are counted first; then only the chunks that hold a wanted rank are ordered, each on its own."""
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
-    chunked = with_value_chunk(counted, keys, value, bins)
+    # both readers share this shuffle; without it they would follow the join before, which gathers a key
+    chunked = with_value_chunk(counted, keys, value, bins).repartition(*keys, "_bin")
     per_bin = chunked.groupBy(*keys, "_bin").agg(F.sum("_k").alias("_c"))
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_bin.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.values import known
-from .quantiles import exact_quantiles, value_ranks, with_value_chunk
+from .quantiles import exact_quantiles, join_per_key, value_ranks, with_value_chunk
 from .timeline import Timeline, running
 
 MIN_GROUP = 5
@@ -33,7 +33,7 @@ def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, k: int, name:
     edges = quantile_edges(df, keys, value, k)
     v = F.col(value)
     below = F.size(F.filter("edges", lambda e: e < v))
-    return df.join(edges, list(keys), "left").withColumn(name, F.when(v.isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("edges")
+    return join_per_key(df, edges, keys, "left").withColumn(name, F.when(v.isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("edges")
 
 
 def fallback_bin_count(n: int) -> int:
@@ -135,14 +135,15 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     ranked = cells.join(rx, [*keys, x]).join(ry, [*keys, y])
     w = F.col("_w")
 
-    def corr(a: Column, b: Column, ma: Column, mb: Column) -> Column:
-        return F.try_divide(F.sum(w * (a - ma) * (b - mb)), F.sqrt(F.sum(w * (a - ma) * (a - ma)) * F.sum(w * (b - mb) * (b - mb))))
-
     means = ranked.groupBy(*keys).agg(F.sum(w).alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m{i}") for i, c in enumerate((x, y, "_rx", "_ry"))])
-    centred = ranked.join(means, list(keys))
-    return centred.groupBy(*keys).agg(
-        F.max("n").alias("n"), corr(F.col(x), F.col(y), F.col("_m0"), F.col("_m1")).alias("pearson"),
-        corr(F.col("_rx"), F.col("_ry"), F.col("_m2"), F.col("_m3")).alias("spearman"))
+    dx, dy, drx, dry = (F.col(c) - F.col(f"_m{i}") for i, c in enumerate((x, y, "_rx", "_ry")))
+    products = {"_xy": dx * dy, "_xx": dx * dx, "_yy": dy * dy, "_rxy": drx * dry, "_rxx": drx * drx, "_ryy": dry * dry}
+    sums = join_per_key(ranked, means, keys).groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(w * p).alias(name) for name, p in products.items()])
+
+    def corr(ab: str, aa: str, bb: str) -> Column:
+        return F.try_divide(F.col(ab), F.sqrt(F.col(aa) * F.col(bb)))
+
+    return sums.select(*keys, "n", corr("_xy", "_xx", "_yy").alias("pearson"), corr("_rxy", "_rxx", "_ryy").alias("spearman"))
 
 
 def correlation_p(r: Column, n: Column) -> Column:
@@ -355,7 +356,7 @@ def _best_prefix(scored: DataFrame, fit: DataFrame, keys: Sequence[str], x: str,
     chunked = with_value_chunk(scored.select(*keys, x, y, tie, "_e"), keys, "_e")
     sums = running(chunked, Timeline(tuple(keys), ("_e", tie), F.col("_bin")), {
         "n": ("sum", F.lit(1).cast("long")), "sx": ("sum", vx), "sy": ("sum", vy), "sxy": ("sum", vx * vy), "sxx": ("sum", vx * vx), "syy": ("sum", vy * vy)})
-    rest = sums.join(fit, list(keys)).filter(F.col("n") <= F.floor(F.col("_t") * share))
+    rest = join_per_key(sums, fit, keys).filter(F.col("n") <= F.floor(F.col("_t") * share))
     r2 = _r_squared((F.col("_t") - F.col("n")).cast("double"), *[F.col(f"t_{c}") - F.col(c) for c in LINE_SUMS[1:]])
     best = rest.withColumn("r2", r2).groupBy(*keys).agg(F.max_by(F.struct(F.col("n").alias("removed"), "r2"), F.struct(F.round("r2", 9), -F.col("n"))).alias("_best"))
     start = fit.withColumn("initial_r2", _r_squared(F.col("_t").cast("double"), *[F.col(f"t_{c}") for c in LINE_SUMS[1:]]))
@@ -368,7 +369,7 @@ def improving_removals(df: DataFrame, keys: Sequence[str], x: str, y: str, tie:
     """How many of the largest residuals to drop (up to ``share``) for the best line through the rest, ranked by the full fit."""
     vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
     fit = _whole_lines(df, keys, x, y)
-    scored = df.join(fit, list(keys)).withColumn("_e", -F.abs(vy - F.col("_a") - F.col("_b") * vx))
+    scored = join_per_key(df, fit, keys).withColumn("_e", -F.abs(vy - F.col("_a") - F.col("_b") * vx))
     return _best_prefix(scored, fit, keys, x, y, tie, share)
 
 
