@@ -132,6 +132,14 @@ class _Buttons(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _PRESSES)
         self.last = handle.getValueState("last", _LAST)
 
+    def _due(self, press) -> int:
+        return (press[2] + self.within) // 1000 + 1
+
+    def _wake(self, waiting) -> None:
+        """One timer, for the press that is due first; it sets the next. A timer per press would read the whole list for each."""
+        if waiting:
+            self.handle.registerTimer(min(map(self._due, waiting)))
+
     def _rows(self, key, rows) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *r) for r in rows], columns=[f.name for f in BUTTON_SCHEMA]).astype({"since": "Int64"})
 
@@ -153,18 +161,19 @@ class _Buttons(StatefulProcessor):
         out += [(*p, None) for p in waiting if p[2] + self.within <= watermark]
         waiting = [p for p in waiting if p[2] + self.within > watermark]
         self.waiting.put(waiting) if waiting else self.waiting.clear()
-        for p in waiting:
-            self.handle.registerTimer((p[2] + self.within) // 1000 + 1)
+        self._wake(waiting)
         self.last.update((last,))
         if out:
             yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # all that the watermark has passed, not only the press that this timer is for
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         waiting = [tuple(p) for p in self.waiting.get()] if self.waiting.exists() else []
-        out = [(*p, None) for p in waiting if p[2] + self.within <= due]
-        rest = [p for p in waiting if p[2] + self.within > due]
+        out = [(*p, None) for p in waiting if self._due(p) <= due]
+        rest = [p for p in waiting if self._due(p) > due]
         self.waiting.put(rest) if rest else self.waiting.clear()
+        self._wake(rest)
         if out:
             yield self._rows(key, out)
 
