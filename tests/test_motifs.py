@@ -60,6 +60,15 @@ def test_smooth_series_compares_few_pairs(spark):
     assert got["compared"].iloc[0] < n * (n - 1) / 2 / 4
 
 
+def test_a_short_series_meets_once(spark):
+    noise = np.random.default_rng(5).normal(size=300)
+    got = found(spark, {"noise": noise}, 12, 3)
+    want, windows = brute(noise, 12, 3)
+    assert [(r.at, r.other) for r in got.itertuples()] == [(a, o) for a, o, _ in want]
+    # all pairs that start more than a quarter of a window apart, each once
+    assert set(got["compared"]) == {sum(windows - apart for apart in range(4, windows))}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "rec string, i long, v double")
     assert mf.motifs(empty, line(), "v", 8).count() == 0

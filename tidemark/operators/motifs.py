@@ -4,7 +4,8 @@ A window is scaled to mean 0 and deviation 1 (one that never changes becomes zer
 times the root of their lengths, are its summary; two windows are never closer than their summaries. Windows of alike
 summaries are compared first, which bounds the k-th least distance. Summaries then fall into cells as wide as that
 bound, so only windows in the same or a touching cell can be closer, and only those are compared. A full cell is dealt
-as tiles, so that a task holds ``2 * TILE`` windows at most.
+as tiles, so that a job holds ``2 * TILE`` windows at most. A key of so many windows is one job, and done with the
+first round.
 """
 
 from __future__ import annotations
@@ -179,20 +180,22 @@ def motifs(df: DataFrame, line: Timeline, value: str, size: int, k: int = 3) ->
     # A key with more windows is told apart by more parts.
     count = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("windows")).checkpoint()
     total = count.agg(F.sum("windows")).first()[0] or 0
+    small = F.col("n.windows") <= 2 * TILE
     letters = [F.when(F.col("s")[i] < -0.7, "a").when(F.col("s")[i] < 0, "b").when(F.col("s")[i] < 0.7, "c").otherwise("d") for i in range(PARTS)]
-    banded = rows.alias("l").join(count.alias("n"), same("n")).select("l.*", F.greatest(F.ceil(F.log("n.windows") / F.log(F.lit(4.0)) - F.log(F.lit(TILE)) / F.log(F.lit(4.0))), F.lit(0)).cast("int").alias("_l"))
+    banded = rows.alias("l").join(count.alias("n"), same("n")).select("l.*", small.alias("_small"), F.when(small, 0).otherwise(F.greatest(F.ceil(F.log("n.windows") / F.log(F.lit(4.0)) - F.log(F.lit(TILE)) / F.log(F.lit(4.0))), F.lit(0))).cast("int").alias("_l"))
     banded = banded.withColumn("band", F.concat(F.lit("b"), *[F.when(F.col("_l") > i, letters[i]).otherwise("") for i in range(PARTS)]))
     sizes = banded.groupBy(*named, "band").agg(F.count(F.lit(1)).alias("_n"))
-    slot = F.pmod(F.xxhash64("l.at"), F.ceil(F.col("n._n") / TILE))
+    slot = F.pmod(F.xxhash64("l.at"), F.when(F.col("l._small"), 1).otherwise(F.ceil(F.col("n._n") / TILE)))
     dealt = banded.alias("l").join(sizes.alias("n"), same("n") & (F.col("l.band") == F.col("n.band"))).select(
         *[f"l.{c}" for c in named], "l.at", "l.z", F.lit(0).alias("side"), F.concat_ws("/", "l.band", slot).alias("job"))
     first = done(dealt, total)
     best = _first(first, named, k)
     bound = best.groupBy(*named).agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("_u"))
 
-    # round 2: cells as wide as the bound; without one (fewer than k partners known) everything is one cell
+    # round 2, for the keys whose windows did not all meet: cells as wide as the bound; without one (fewer than k partners known) everything is one cell
     reach = F.greatest(F.col("_u") * (1 + 1e-9) + 10.0 ** -PLACES, F.lit(LEAST))
-    wide = rows.alias("l").join(bound.alias("u"), same("u"), "left").select("l.*", F.coalesce(reach, F.lit(1e9)).alias("_width"))
+    left = rows.alias("l").join(count.alias("n").filter(~small), same("n"), "left_semi")
+    wide = left.alias("l").join(bound.alias("u"), same("u"), "left").select("l.*", F.coalesce(reach, F.lit(1e9)).alias("_width"))
     cells = F.when(F.col("_width") < 1e9, _cells("s", "_width")).otherwise(F.array(F.lit("all")))
     placed = wide.select(*named, "at", "z", F.posexplode(cells).alias("side", "cell")).withColumn("side", F.least("side", F.lit(1)))
     # who meets whom is decided on counts; tiles of a side are dealt by position
