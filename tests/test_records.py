@@ -110,6 +110,17 @@ def test_sweep_counts_every_pair_without_listing_them(spark):
     assert got == {p: (len(g), round(np.mean(g), 6), round(np.std(g), 5), round(min(g), 6)) for p, g in want.items()}
 
 
+def test_sweep_sends_a_first_event_once_per_range(spark, monkeypatch):
+    sent, walk = [], mi.running
+    monkeypatch.setattr(mi, "running", lambda rows, *a, **b: sent.append(rows) or walk(rows, *a, **b))
+    df = spark.createDataFrame([(0, t * 60_000_000, t, "abcd"[t % 4]) for t in range(12)], "k long, t long, i long, e string")
+    pairs = mi.kind_pairs(df, ["k"], "e", 60_000_000, 300_000_000, same=True)
+    assert mi.sweep_pairs(df, ["k"], "t", "e", "i", pairs, chunk=500_000_000).agg(F.sum("n")).first()[0] == 11 + 10 + 9 + 8 + 7
+    # in and out once per event, and one question to each kind of firsts
+    assert sent[0].count() == 12 * (2 + 4)
+    assert not [c for c in sent[0].schema.fields if "decimal" in c.dataType.simpleString()]
+
+
 def test_tail_probabilities_against_tables(spark):
     df = spark.createDataFrame([(2.228, 10.0, 4.96, 1.0, 10.0, 1.959964, 9.48773)], "t double, df double, f double, a double, b double, z double, c double")
     r = df.select(sp.t_two_sided("t", "df"), sp.f_tail("f", "a", "b"), sp.normal_two_sided("z"), sp.chi2_even_tail(F.col("c"), F.lit(2)), sp.normal_quantile(F.lit(0.975))).first()

@@ -3,7 +3,8 @@
 Pair statistics never list pairs.  ``sweep_pairs`` walks time once: a first
 event becomes active after the shortest allowed gap and retires after the
 longest, and every second event reads the running count, sum and sum of squares
-of the active ones.  Work is linear in events times vocabulary.
+of the active ones.  Second events of all kinds walk beside one line of firsts.
+Work is linear in events times vocabulary.
 """
 
 from __future__ import annotations
@@ -38,28 +39,31 @@ def sweep_pairs(df: DataFrame, keys: Sequence[str], at: str, kind: str, order: s
     """
     per = [c for c in keys if c in pairs.columns]
     k, t = F.col(kind), F.col(at)
-    ids = [*keys, "first", "second", "part"]
-    a = df.select(*keys, t.alias(at), k.alias("first"), order).join(pairs, [*per, "first"])
+    # a first event enters and leaves once per gap range, whichever kinds come second; those with the same range share a line
+    ids = [*keys, "first", "part", "lo", "hi"]
+    ranges = pairs.select(*per, "first", "part", "lo", "hi").distinct()
+    a = df.select(*keys, t.alias(at), k.alias("first"), order).join(ranges, [*per, "first"])
     b = df.select(*keys, t.alias(at), k.alias("second"), order).join(pairs, [*per, "second"])
     first = a.select(*ids, order, F.inline(F.array(
-        F.struct((t + F.col("lo")).alias("_t"), F.lit(0).alias("_phase"), t.alias("_a")),
-        F.struct((t + F.col("hi")).alias("_t"), F.lit(2).alias("_phase"), t.alias("_a")))))
-    second = b.select(*ids, order, t.alias("_t"), F.lit(1).alias("_phase"), F.lit(None).cast("long").alias("_a"))
+        F.struct((t + F.col("lo")).alias("_t"), F.lit(0).alias("_phase")),
+        F.struct((t + F.col("hi")).alias("_t"), F.lit(2).alias("_phase")))), F.lit(None).cast(df.schema[kind].dataType).alias("second"))
+    second = b.select(*ids, order, t.alias("_t"), F.lit(1).alias("_phase"), "second")
     rows = first.unionByName(second)
     line = Timeline(tuple(ids), ("_t", "_phase", order), F.floor(F.col("_t") / F.lit(chunk)))
     sign = F.when(F.col("_phase") == 0, 1).when(F.col("_phase") == 2, -1).otherwise(0)
-    x = F.coalesce(F.col("_a"), F.lit(0)).cast(WIDE)
+    start = F.col("_t") - F.when(F.col("_phase") == 0, F.col("lo")).otherwise(F.col("hi"))
+    x = F.when(F.col("_phase") == 1, F.lit(0)).otherwise(start).cast(WIDE)
     walked = running(rows, line, {
         "n": ("sum", sign.cast("long")),
         "_s": ("sum", (x * sign).cast(WIDE)),
         "_ss": ("sum", (x * x * sign).cast(WIDE)),
-        "_last": ("max", F.when(F.col("_phase") == 0, F.col("_a"))),
-    })
+        "_last": ("max", F.when(F.col("_phase") == 0, start)),
+    }, late=True)
     now = F.col("_t").cast(WIDE)
     n = F.col("n").cast(WIDE)
     hits = walked.filter((F.col("_phase") == 1) & (F.col("n") > 0))
     return hits.select(
-        *ids, F.col("_t").alias(at), order, "n",
+        *keys, "first", "second", "part", F.col("_t").alias(at), order, "n",
         (n * now - F.col("_s")).cast("double").alias("total"),
         (n * now * now - 2 * now * F.col("_s") + F.col("_ss")).cast("double").alias("squares"),
         (F.col("_t") - F.col("_last")).alias("nearest"),

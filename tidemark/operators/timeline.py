@@ -118,16 +118,19 @@ def running(
     *,
     reverse: bool = False,
     drop: Sequence[str] = (),
+    late: bool = False,
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min``/``last`` columns over each whole series up to the current row.
 
     ``last`` is the latest non-null value (forward fill); with ``reverse`` the
     series is walked backwards, so ``last`` becomes the next non-null value.
-    ``drop`` names columns only the expressions need.
+    ``drop`` names columns only the expressions need; ``late`` works the expressions
+    out behind the shuffle, for those wider than what they read.
     """
     values = {name: f"_v_{i}" for i, name in enumerate(exprs)}
     kept = [f"`{c}`" for c in df.columns if c not in drop]
-    base = _shared(df.select(*kept, *[col.alias(values[name]) for name, (_, col) in exprs.items()]), line)
+    found = [col.alias(values[name]) for name, (_, col) in exprs.items()]
+    base = _shared(df.select(*kept), line).select("*", *found) if late else _shared(df.select(*kept, *found), line)
     at = _pack(list(line.order))
     totals = []
     for name, (kind, _) in exprs.items():
@@ -137,7 +140,7 @@ def running(
             totals.append(pick(v, F.when(v.isNotNull(), at)).alias(values[name]))
         else:
             totals.append(_RUNNING[kind][0](v).alias(values[name]))
-    summary = base.groupBy(*line.keys, CHUNK).agg(*totals, _whole(base.columns)).filter(F.col("_whole").isNotNull())
+    summary = base.groupBy(*line.keys, CHUNK).agg(*totals, _whole([c for c in base.columns if not late or c not in values.values()])).filter(F.col("_whole").isNotNull())
     chunk_order = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
     earlier = Window.partitionBy(*line.keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
 
