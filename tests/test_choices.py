@@ -61,6 +61,26 @@ def test_bin_counts_of_three_heaps(spark):
     assert np.isclose(three["bic"], -2 * like + 8 * np.log(len(v)), rtol=1e-4)
 
 
+def test_a_round_counts_a_point_once(spark, monkeypatch):
+    met, plain = [], F.broadcast
+    monkeypatch.setattr(bc.F, "broadcast", lambda t: met.append(t) or plain(t))
+    x = np.random.default_rng(2).uniform(0, 1, 200) ** 2
+    points = spark.createDataFrame([(s, float(v)) for s in (0, 1) for v in (x if s else x ** 2)], "s int, x double")
+    got = bc._lloyd(points, 2, [2, 3, 4], 40)
+    assert met[0].count() == 2  # one row of cuts per set, not one per set and k
+    for (s, k), parts in got.items():
+        v = x if s else x ** 2
+        centres = (np.arange(k) + 0.5) / k
+        for _ in range(40):
+            label = np.searchsorted((centres[1:] + centres[:-1]) / 2, v)
+            moved = np.array([v[label == c].mean() if (label == c).any() else centres[c] for c in range(k)])
+            if np.abs(moved - centres).max() <= 1e-5:
+                break
+            centres = moved
+        assert [p[0] for p in parts] == [(label == c).sum() for c in range(k)]
+        assert np.allclose([p[1:] for p in parts], [((v[label == c]).sum(), (v[label == c] ** 2).sum()) for c in range(k)])
+
+
 def _elbow(got):
     s = got[got["method"] == "elbow"].sort_values("k")["score"].to_list()
     return 2 + int(np.argmax(np.diff(np.diff(s))))
