@@ -1,76 +1,109 @@
 """Two-dimensional clusters of every column pair at once, and rank correlations inside them.
 
 Each pair of columns is a small clustering of its own. All of them take their steps together: a round of Lloyd's
-iteration is one aggregate over all pairs (assign every distinct point to its nearest centre, sum per centre), and
-only the centres, a few rows per pair, pass from round to round.
+iteration is one job over the packed points of all pairs (assign every distinct point to its nearest centre, sum per
+centre), and only the centres, a few numbers per pair, pass from round to round.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.local import local_table
 from ..functions.values import known
-from ..session import ensure_checkpoint_dir
+from .blocks import packed, totals
 from .stats import MIN_GROUP, correlation_p, spearman
 
 #: x columns with so few distinct values or fewer are not clustered.
 FEW_VALUES = 5
 
 
-def _seeds(cells: DataFrame, by: Sequence[str], x: str, y: str, k: int) -> DataFrame:
-    """``k`` centres per pair, evenly spread over 1.5 deviations to both sides along the main axis of its points."""
-    w, vx, vy = F.col("w"), F.col(x), F.col(y)
-    m = cells.groupBy(*by).agg(F.sum(w).alias("n"), *[F.sum(w * e).alias(c) for c, e in (("sx", vx), ("sy", vy), ("sxx", vx * vx), ("sxy", vx * vy), ("syy", vy * vy))])
-    mx, my = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
-    m = m.withColumns({"mx": mx, "my": my, "a": F.col("sxx") / F.col("n") - mx * mx, "b": F.col("sxy") / F.col("n") - mx * my, "c": F.col("syy") / F.col("n") - my * my})
-    turn = F.atan2(2 * F.col("b"), F.col("a") - F.col("c")) / 2
-    largest = (F.col("a") + F.col("c") + F.sqrt((F.col("a") - F.col("c")) * (F.col("a") - F.col("c")) + 4 * F.col("b") * F.col("b"))) / 2
-    m = m.withColumns({"turn": turn, "spread": F.sqrt(F.greatest(largest, F.lit(0.0)))})
-    at = [1.5 * (2 * i + 1 - k) / k for i in range(k)]
-    centres = F.array(*[F.struct((F.col("mx") + t * F.col("spread") * F.cos("turn")).alias("cx"), (F.col("my") + t * F.col("spread") * F.sin("turn")).alias("cy")) for t in at])
-    return m.select(*by, "spread", centres.alias("centres"), F.lit(0.0).alias("moved"))
+def _first_look(few: int):
+    """Per pair its sums of 1, x, y, xx, xy and yy, and its least distinct x, one more than ``few`` at most."""
+    def part(key, data):
+        x, y, w = data
+        return {key: (np.array([(w * v).sum() for v in (np.ones_like(x), x, y, x * x, x * y, y * y)]), np.unique(x)[: few + 1])}
 
+    def add(a, b):
+        return a[0] + b[0], np.unique(np.concatenate([a[1], b[1]]))[: few + 1]
 
-def nearest_centre(x: str, y: str) -> Column:
-    """Number of the nearest of ``centres``, the first of equals."""
-    away = F.transform("centres", lambda c, i: F.struct(((F.col(x) - c["cx"]) * (F.col(x) - c["cx"]) + (F.col(y) - c["cy"]) * (F.col(y) - c["cy"])).alias("d"), i.alias("i")))
-    return F.array_min(away)["i"]
+    return part, add
 
 
-def pair_centres(pairs: DataFrame, by: Sequence[str], x: str, y: str, k: int = 3, *, rounds: int = 100, still: float = 1e-9) -> DataFrame:
+def _seeds(sums: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """``k`` centres, evenly spread over 1.5 deviations to both sides along the main axis of a pair's points, and this deviation."""
+    n, sx, sy, sxx, sxy, syy = sums
+    mx, my = sx / n, sy / n
+    a, b, c = sxx / n - mx * mx, sxy / n - mx * my, syy / n - my * my
+    turn = math.atan2(2 * b, a - c) / 2
+    spread = math.sqrt(max((a + c + math.sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 0.0))
+    at = np.array([1.5 * (2 * i + 1 - k) / k for i in range(k)])
+    return np.stack([mx + at * spread * math.cos(turn), my + at * spread * math.sin(turn)], 1), spread
+
+
+def _assigned(centres: dict):
+    """Per pair and centre the sums of 1, x and y over the points nearest to it, the first of equals."""
+    def part(key, data):
+        if key not in centres:
+            return {}
+        x, y, w = data
+        cx, cy = centres[key].T[:, :, None]
+        at = ((x - cx) * (x - cx) + (y - cy) * (y - cy)).argmin(0)
+        return {key: np.stack([np.bincount(at, weights=v, minlength=len(cx)) for v in (w, w * x, w * y)])}
+
+    return part
+
+
+def nearest_centre(x: str, y: str, k: int) -> Column:
+    """Number of the nearest of ``k`` ``centres``, the first of equals."""
+    gaps = [(F.col(x) - F.col("centres")[i]["cx"], F.col(y) - F.col("centres")[i]["cy"]) for i in range(k)]
+    away = F.array(*[a * a + b * b for a, b in gaps])
+    return (F.array_position(away, F.array_min(away)) - 1).cast("int")
+
+
+def pair_centres(pairs: DataFrame, by: Sequence[str], x: str, y: str, k: int = 3, *, rounds: int = 100, still: float = 1e-9, few: int = 0) -> DataFrame:
     """``centres`` (array of cx, cy) per pair after Lloyd's iteration on its distinct points, weighted by their copies.
 
     It ends when no centre moved by more than ``still`` of its pair's deviation, or after ``rounds``; a centre that
-    loses all points stays where it is. Both columns must be known.
+    loses all points stays where it is. Pairs with ``few`` distinct x or fewer have none. Both columns must be known;
+    ``by`` are texts or numbers.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
-    cells = pairs.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w")).checkpoint()
-    centres = _seeds(cells, by, x, y, k).checkpoint()
-    for _ in range(rounds):
-        sums = cells.join(centres, list(by)).withColumn("_at", nearest_centre(x, y)).groupBy(*by, "_at").agg(
-            F.sum("w").alias("n"), F.sum(F.col("w") * F.col(x)).alias("sx"), F.sum(F.col("w") * F.col(y)).alias("sy"))
-        found = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_at", F.struct((F.col("sx") / F.col("n")).alias("cx"), (F.col("sy") / F.col("n")).alias("cy"))))).alias("_new"))
-        moved = centres.join(found, list(by)).withColumn("_next", F.transform("centres", lambda c, i: F.coalesce(F.col("_new")[i], c)))
-        gaps = F.zip_with("centres", "_next", lambda a, b: F.greatest(F.abs(a["cx"] - b["cx"]), F.abs(a["cy"] - b["cy"])))
-        # kept for the moment of the checkpoint, which would otherwise work it out twice
-        step = moved.select(*by, "spread", F.col("_next").alias("centres"), F.coalesce(F.try_divide(F.array_max(gaps), F.col("spread")), F.lit(0.0)).alias("moved")).persist()
-        centres = step.checkpoint()
-        step.unpersist()
-        # one number per round
-        if (centres.agg(F.max("moved").alias("m")).first()["m"] or 0.0) <= still:
-            break
-    return centres.select(*by, "centres")
+    by = list(by)
+    cells = pairs.groupBy(*by, x, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    blocks = packed(cells, [x, y, "w"], by).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        look = totals(blocks, *_first_look(few))
+        start = {key: _seeds(sums, k) for key, (sums, seen) in look.items() if len(seen) > few}
+        centres, spreads = {key: c for key, (c, _) in start.items()}, {key: s for key, (_, s) in start.items()}
+        for _ in range(rounds if centres else 0):
+            moved = 0.0
+            for key, (n, sx, sy) in totals(blocks, _assigned(centres)).items():
+                held = n > 0
+                new = np.where(held[:, None], np.stack([sx, sy], 1) / np.where(held, n, 1.0)[:, None], centres[key])
+                if spreads[key] > 0:
+                    moved = max(moved, float(np.abs(new - centres[key]).max()) / spreads[key])
+                centres[key] = new
+            if moved <= still:
+                break
+    finally:
+        blocks.unpersist()
+    kinds = [{"bigint": "long"}.get(kind, kind) for kind in (cells.schema[c].dataType.simpleString() for c in by)]
+    shape = [*[f"{c} {kind}" for c, kind in zip(by, kinds)], *[f"_{a}{i} double" for i in range(k) for a in ("cx", "cy")]]
+    table = local_table(pairs.sparkSession, [(*key, *map(float, c.ravel())) for key, c in centres.items()], ", ".join(shape))
+    return table.select(*by, F.array(*[F.struct(F.col(f"_cx{i}").alias("cx"), F.col(f"_cy{i}").alias("cy")) for i in range(k)]).alias("centres"))
 
 
 def cluster_ranks(pairs: DataFrame, by: Sequence[str], x: str, y: str, k: int = 3, *, few: int = FEW_VALUES) -> DataFrame:
     """Per pair and cluster: rows, Spearman and its p; pairs with ``few`` distinct x or fewer have no clusters."""
     rows = pairs.withColumns({c: known(F.col(c).cast("double")) for c in (x, y)}).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    varied = rows.select(*by, x).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_v")).filter(F.col("_v") > few).drop("_v")
-    rows = rows.join(varied, list(by), "left_semi")
-    labelled = rows.join(pair_centres(rows, by, x, y, k), list(by)).withColumn("cluster", nearest_centre(x, y)).drop("centres")
+    centres = pair_centres(rows, by, x, y, k, few=few)
+    labelled = rows.join(centres, list(by)).withColumn("cluster", nearest_centre(x, y, k)).drop("centres")
     ranks = spearman(labelled, [*by, "cluster"], x, y)
     return ranks.select(*by, "cluster", "n", "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("p"))
 

@@ -73,14 +73,18 @@ def with_value_chunk(df: DataFrame, keys: Sequence[str], value: str, bins: int |
     return out.drop("_edges", "_coarse", "_stretch")
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *, bins: int | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, *, bins: int | None = None, copies: str | None = None) -> DataFrame:
     """One row per key and distinct value: ``n`` copies, ``rank_min``, ``rank_avg`` (ties averaged), ``rank_max``.
 
     Copies are counted before anything is ordered, so ties cost one row; the
-    distinct values are ranked chunk by chunk.
+    distinct values are ranked chunk by chunk. Where ``copies`` is named, a row of ``df`` has a known double and stands for
+    so many rows; nothing is filtered then, so that the plan up to ``df`` stays one that others may share.
     """
-    df = df.withColumn(value, known(F.col(value).cast("double")))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    if copies:
+        counts = df.groupBy(*keys, value).agg(F.sum(copies).alias("n"))
+    else:
+        df = df.withColumn(value, known(F.col(value).cast("double")))
+        counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     chunked = with_value_chunk(counts, keys, value, bins)
     line = Timeline(tuple(keys), (value,), F.col("_bin"))
     ranked = running(chunked, line, {"rank_max": ("sum", F.col("n"))}).drop("_bin")

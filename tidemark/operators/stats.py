@@ -6,7 +6,9 @@ chunks (see ``quantiles``), never through one global window.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,19 +128,24 @@ def group_test(df: DataFrame, keys: Sequence[str], group: str, value: str) -> Da
 # ---- correlations
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Pearson and Spearman per key: equal pairs are counted first, ranks average ties; NaN counts as missing."""
+    """Pearson and Spearman per key: equal pairs are counted first, ranks average ties; NaN counts as missing.
+
+    All else follows from these counts, so ``df`` is read once. Values and ranks are centred before they meet the pairs.
+    """
     df = df.withColumns({c: known(F.col(c).cast("double")) for c in (x, y)})
-    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = value_ranks(rows.select(*keys, x), keys, x).select(*keys, x, F.col("rank_avg").alias("_rx"))
-    ry = value_ranks(rows.select(*keys, y), keys, y).select(*keys, y, F.col("rank_avg").alias("_ry"))
-    ranked = cells.join(rx, [*keys, x]).join(ry, [*keys, y])
+    # what the joins below imply is asked here, so that all readers of the counts have one plan and share its shuffle
+    present = reduce(operator.and_, [F.col(c).isNotNull() for c in (*keys, x, y)])
+    ranked = cells = df.filter(present).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
+    for c, away in ((x, "x"), (y, "y")):
+        ranks = value_ranks(cells.select(*keys, c, "_w"), keys, c, copies="_w").select(*keys, c, "n", "rank_avg")
+        n = F.col("n")
+        means = ranks.groupBy(*keys).agg((F.sum(n * F.col(c)) / F.sum(n)).alias("_m"), ((F.sum(n) + 1) / 2).alias("_mr"))
+        centred = join_per_key(ranks, means, keys).select(*keys, c, (F.col(c) - F.col("_m")).alias(f"_d{away}"), (F.col("rank_avg") - F.col("_mr")).alias(f"_r{away}"))
+        ranked = ranked.join(centred, [*keys, c])
     w = F.col("_w")
-
-    means = ranked.groupBy(*keys).agg(F.sum(w).alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"_m{i}") for i, c in enumerate((x, y, "_rx", "_ry"))])
-    dx, dy, drx, dry = (F.col(c) - F.col(f"_m{i}") for i, c in enumerate((x, y, "_rx", "_ry")))
+    dx, dy, drx, dry = (F.col(c) for c in ("_dx", "_dy", "_rx", "_ry"))
     products = {"_xy": dx * dy, "_xx": dx * dx, "_yy": dy * dy, "_rxy": drx * dry, "_rxx": drx * drx, "_ryy": dry * dry}
-    sums = join_per_key(ranked, means, keys).groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(w * p).alias(name) for name, p in products.items()])
+    sums = ranked.groupBy(*keys).agg(F.sum(w).alias("n"), *[F.sum(w * p).alias(name) for name, p in products.items()])
 
     def corr(ab: str, aa: str, bb: str) -> Column:
         return F.try_divide(F.col(ab), F.sqrt(F.col(aa) * F.col(bb)))
