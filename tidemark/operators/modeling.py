@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.local import local_table
+from . import fits
 from .quality import clean_target, drop_infinite
 from .stats import effect_sizes
 
@@ -174,14 +175,14 @@ def _by_mean(df: DataFrame, label: str, value: str, name: str) -> DataFrame:
 
 def cluster_bins(df: DataFrame, value: str, k: int, method: str = "kmeans", target: str | None = None) -> DataFrame:
     """Bins of one column by K-means, mixture or a tree on the target, numbered by ascending mean."""
-    rows = _vector(df, [value])
     if method == "tree":
+        rows = _vector(df, [value])
         depth = max(1, math.ceil(math.log2(k)))
         out = DecisionTreeRegressor(labelCol=target, featuresCol="features", maxDepth=depth, seed=SEED).fit(rows).transform(rows)
         return _by_mean(out.withColumn("_l", F.round("prediction", 9)), "_l", value, "bin").drop("features", "_l", "prediction")
-    model = KMeans(k=k, seed=SEED) if method == "kmeans" else GaussianMixture(k=k, seed=SEED)
-    out = model.fit(rows).transform(rows)
-    return _by_mean(out, "prediction", value, "bin").drop("features", "prediction", "probability")
+    with fits.points(df, [value]) as p:
+        label = fits.nearest(p, fits.k_means(p, [k], SEED)[k][0]) if method == "kmeans" else fits.likeliest(p, fits.mixture(p, k, SEED))
+        return _by_mean(p.rows.withColumn("_l", label), "_l", value, "bin").drop(*p.names, "_l")
 
 
 def choose_bin_count(df: DataFrame, value: str, largest: int = 6) -> DataFrame:
@@ -191,22 +192,32 @@ def choose_bin_count(df: DataFrame, value: str, largest: int = 6) -> DataFrame:
     return local_table(df.sparkSession, [(k, float(judge.evaluate(KMeans(k=k, seed=SEED).fit(rows).transform(rows)))) for k in range(2, largest + 1)], "k int, silhouette double")
 
 
-def clusters_2d(df: DataFrame, x: str, y: str, k: int, method: str = "mixture") -> DataFrame:
-    """Two-dimensional clusters (mixture or bisecting K-means), numbered left to right."""
+def _mixture_2d(p: fits.Points, x: str, k: int) -> DataFrame:
+    labelled = p.rows.withColumn("_l", fits.likeliest(p, fits.mixture(p, k, SEED)))
+    return _by_mean(labelled, "_l", x, "cluster").drop(*p.names, "_l")
+
+
+def clusters_2d(df: DataFrame, x: str, y: str, k: int, method: str = "mixture", *, points: fits.Points | None = None) -> DataFrame:
+    """Two-dimensional clusters (mixture or bisecting K-means), numbered left to right.
+
+    ``points``: those of x and y, standardised, which several mixtures of the same rows may share.
+    """
+    if method == "mixture":
+        if points:
+            return _mixture_2d(points, x, k)
+        with fits.points(df, [x, y], standardise=True) as p:
+            return _mixture_2d(p, x, k)
     rows = _vector(df, [x, y], standardise=True)
-    model = GaussianMixture(k=k, seed=SEED) if method == "mixture" else BisectingKMeans(k=k, seed=SEED)
-    return _by_mean(model.fit(rows).transform(rows), "prediction", x, "cluster").drop("features", "prediction", "probability")
+    model = BisectingKMeans(k=k, seed=SEED).fit(rows)
+    return _by_mean(model.transform(rows), "prediction", x, "cluster").drop("features", "prediction", "probability")
 
 
 def choose_k_by_bic(df: DataFrame, columns: Sequence[str], smallest: int = 2, largest: int = 10) -> DataFrame:
     """K-means cost plus ``k (d + 1) ln n`` per k on standardised columns; the lowest wins."""
-    rows = _vector(df, columns, standardise=True).select("features").persist()
-    n, d = rows.count(), len(columns)
-    out = []
-    for k in range(smallest, largest + 1):
-        cost = KMeans(k=k, seed=SEED).fit(rows).summary.trainingCost
-        out.append((k, float(cost + k * (d + 1) * math.log(n))))
-    rows.unpersist()
+    with fits.points(df, columns, standardise=True) as p:
+        n, d = p.vectors.count(), len(columns)
+        found = fits.k_means(p, range(smallest, largest + 1), SEED)
+        out = [(k, float(cost + k * (d + 1) * math.log(n))) for k, (_, cost) in found.items()]
     best = min(out, key=lambda p: p[1])[0]
     return local_table(df.sparkSession, [(k, b, int(k == best)) for k, b in out], "k int, bic double, chosen int")
 
@@ -214,9 +225,10 @@ def choose_k_by_bic(df: DataFrame, columns: Sequence[str], smallest: int = 2, la
 def largest_meaningful_k(df: DataFrame, x: str, y: str, ks: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Whether all clusters differ meaningfully on y, per k."""
     out = []
-    for k in ks:
-        ok = k == 1 or effect_sizes(clusters_2d(df, x, y, k), [], "cluster", y).agg(F.bool_and("meaningful")).first()[0]
-        out.append((k, int(bool(ok))))
+    with fits.points(df, [x, y], standardise=True) as p:
+        for k in ks:
+            ok = k == 1 or effect_sizes(clusters_2d(df, x, y, k, points=p), [], "cluster", y).agg(F.bool_and("meaningful")).first()[0]
+            out.append((k, int(bool(ok))))
     return local_table(df.sparkSession, out, "k int, meaningful int")
 
 
