@@ -211,7 +211,8 @@ def neighbour_information(df: DataFrame, keys: Sequence[str], x: str, y: str, *,
     rows = df.select(*keys, known(F.col(x).cast("double")).alias("x"), known(F.col(y).cast("double")).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     if not keys:
         return neighbour_information(rows.withColumn("_all", F.lit(0)), ["_all"], "x", "y", k=k, per_cell=per_cell).drop("_all")
-    scale = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"))
+    # one row per key, kept: worked out again, a deviation may differ in its last bit
+    scale = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy")).checkpoint()
     over = lambda c, s: F.when(F.col(s) > 0, F.col(c) / F.col(s)).otherwise(F.col(c))
     scaled = rows.join(scale.filter(F.col("n") > k), keys).select(*keys, over("x", "_sx").alias("x"), over("y", "_sy").alias("y"))
     points = nearest_distances(scaled, keys, "x", "y", k=k, per_cell=per_cell).select(*keys, "x", "y", "w", (F.element_at("near", k) * (1 - SAME)).alias("r")).checkpoint()

@@ -13,6 +13,8 @@ from ..functions.values import known
 from .timeline import Timeline, running
 
 FEWEST_BINS, MOST_BINS = 64, 4096
+#: Rows per chunk, on average, that its cut points are chosen from.
+SLOTS = 16
 
 
 def bins_for(df: DataFrame, bins: int | None) -> int:
@@ -44,11 +46,19 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how:
 
 
 def value_edges(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = None) -> DataFrame:
-    """Per key, ascending cut points that split the values into about equal shares (a mergeable sketch)."""
+    """Per key, ascending cut points that split the rows into about equal shares, from a row of each of its slots.
+
+    A row's slot follows the hash of its columns, so the same rows give the same cut points in whatever order they
+    come. A plan may work them out more than once, and rows and totals of a chunk must agree on its ends; a sketch that
+    merges what other executors send would follow the order of arrival.
+    """
     count = bins_for(df, bins)
-    cuts = [i / count for i in range(1, count)]
-    sketch = F.percentile_approx(value, cuts, max(count * 8, 1000))
-    return df.groupBy(*keys).agg(F.array_distinct(sketch).alias("_edges"))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    slots = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.pmod(hashed, F.lit(count * SLOTS)).alias("_slot"))
+    picked = slots.agg(F.min_by(value, hashed).alias("_v")).groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_v"))
+    cuts = F.sequence(F.lit(1), F.lit(max(count - 1, 1)))
+    at = lambda i: F.ceil(i * F.size("_v") / count).cast("int") - 1
+    return picked.select(*keys, F.array_distinct(F.transform(cuts, lambda i: F.get("_v", at(i)))).alias("_edges"))
 
 
 def with_value_chunk(df: DataFrame, keys: Sequence[str], value: str, bins: int | None = None, name: str = "_bin", *, apart: bool = False) -> DataFrame:
