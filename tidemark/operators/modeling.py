@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.local import local_table
+from ..session import ensure_checkpoint_dir
 from . import fits
 from .quality import clean_target, drop_infinite
 from .stats import effect_sizes
@@ -74,6 +75,15 @@ def classifier(kind: str, target: str, seed: int = SEED, *, trees: int = 200, de
     return made.setLabelCol(target).setFeaturesCol("features")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written once, in the partitions and order they have, so that models come out the same.
+
+    A fit reads its rows several times; the steps before it are then not repeated for every model and pass.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def fit(df: DataFrame, features: Sequence[str], estimator, weights: dict[str, float] | None = None) -> Model:
     """Assemble and fit; ``weights`` scales columns by name pattern before assembly."""
     rows = weigh_columns(df, features, weights) if weights else df
