@@ -139,7 +139,11 @@ def column_pairs(df: DataFrame, columns: Sequence[str], *, ordered: bool = True)
     """
     pairs = [(a, b) for i, a in enumerate(columns) for j, b in enumerate(columns) if (i != j if ordered else i < j)]
     cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("vx"), F.col(b).cast("double").alias("vy")) for a, b in pairs]
-    return df.select(F.inline(F.array(*cells))).filter("vx IS NOT NULL AND vy IS NOT NULL AND NOT isnan(vx) AND NOT isnan(vy)")
+    out = df.select(F.inline(F.array(*cells))).filter("vx IS NOT NULL AND vy IS NOT NULL AND NOT isnan(vx) AND NOT isnan(vy)")
+    if len(set(columns)) == len(columns):
+        # operators that take all of these pairs may read the rows instead; what is made from ``out`` does not have it
+        out.unpacked_from = (df, list(columns), pairs)
+    return out
 
 
 def last_known(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

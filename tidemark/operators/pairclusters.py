@@ -1,7 +1,7 @@
 """Two-dimensional clusters of every column pair at once, and rank correlations inside them.
 
 Each pair of columns is a small clustering of its own. All of them take their steps together: a round of Lloyd's
-iteration is one job over the packed points of all pairs (assign every distinct point to its nearest centre, sum per
+iteration is one job over the packed points of all pairs (assign every point to its nearest centre, sum per
 centre), and only the centres, a few numbers per pair, pass from round to round.
 """
 
@@ -9,31 +9,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.local import local_table
-from ..functions.values import known
-from .blocks import packed, totals
-from .stats import MIN_GROUP, correlation_p, spearman
+from .blocks import totals
+from .pairranks import Labels, PairPoints, Ranked, pair_points, ranked
+from .stats import MIN_GROUP, correlation_p
 
 #: x columns with so few distinct values or fewer are not clustered.
 FEW_VALUES = 5
-
-
-def _first_look(few: int):
-    """Per pair its sums of 1, x, y, xx, xy and yy, and its least distinct x, one more than ``few`` at most."""
-    def part(key, data):
-        x, y, w = data
-        return {key: (np.array([(w * v).sum() for v in (np.ones_like(x), x, y, x * x, x * y, y * y)]), np.unique(x)[: few + 1])}
-
-    def add(a, b):
-        return a[0] + b[0], np.unique(np.concatenate([a[1], b[1]]))[: few + 1]
-
-    return part, add
+#: Points that are compared with the centres at once, so that the work stays in a core's cache.
+SLICE = 8192
 
 
 def _seeds(sums: np.ndarray, k: int) -> tuple[np.ndarray, float]:
@@ -47,65 +37,86 @@ def _seeds(sums: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     return np.stack([mx + at * spread * math.cos(turn), my + at * spread * math.sin(turn)], 1), spread
 
 
+def nearest(centres: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each point, the first of equals."""
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), SLICE):
+        px, py = x[i:i + SLICE], y[i:i + SLICE]
+        least, at = None, np.zeros(len(px), np.int64)
+        for c, (cx, cy) in enumerate(centres):
+            away = (px - cx) * (px - cx) + (py - cy) * (py - cy)
+            if least is None:
+                least = away
+            else:
+                at[away < least] = c
+                np.minimum(least, away, out=least)
+        out[i:i + SLICE] = at
+    return out
+
+
 def _assigned(centres: dict):
-    """Per pair and centre the sums of 1, x and y over the points nearest to it, the first of equals."""
+    """Per pair and centre the sums of 1, x and y over the points nearest to it."""
     def part(key, data):
         if key not in centres:
             return {}
         x, y, w = data
-        cx, cy = centres[key].T[:, :, None]
-        at = ((x - cx) * (x - cx) + (y - cy) * (y - cy)).argmin(0)
-        return {key: np.stack([np.bincount(at, weights=v, minlength=len(cx)) for v in (w, w * x, w * y)])}
+        at = nearest(centres[key], x, y)
+        return {key: np.stack([np.bincount(at, weights=v, minlength=len(centres[key])) for v in (w, w * x, w * y)])}
 
     return part
 
 
-def nearest_centre(x: str, y: str, k: int) -> Column:
-    """Number of the nearest of ``k`` ``centres``, the first of equals."""
-    gaps = [(F.col(x) - F.col("centres")[i]["cx"], F.col(y) - F.col("centres")[i]["cy"]) for i in range(k)]
-    away = F.array(*[a * a + b * b for a, b in gaps])
-    return (F.array_position(away, F.array_min(away)) - 1).cast("int")
-
-
-def pair_centres(pairs: DataFrame, by: Sequence[str], x: str, y: str, k: int = 3, *, rounds: int = 100, still: float = 1e-9, few: int = 0) -> DataFrame:
-    """``centres`` (array of cx, cy) per pair after Lloyd's iteration on its distinct points, weighted by their copies.
+def pair_centres(p: PairPoints, k: int = 3, *, rounds: int = 100, still: float = 1e-9, few: int = 0) -> dict[tuple, np.ndarray]:
+    """Centres (cx, cy) per pair after Lloyd's iteration on its points, weighted by their copies.
 
-    It ends when no centre moved by more than ``still`` of its pair's deviation, or after ``rounds``; a centre that
-    loses all points stays where it is. Pairs with ``few`` distinct x or fewer have none. Both columns must be known;
-    ``by`` are texts or numbers.
+    It ends when no centre moved by more than ``still`` of its pair's deviation, or after ``rounds``; a pair whose centres
+    stand still takes no part in later rounds. A centre that loses all points stays where it is. Pairs with ``few``
+    distinct x or fewer have none; the first look must have counted these.
     """
-    by = list(by)
-    cells = pairs.groupBy(*by, x, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    blocks = packed(cells, [x, y, "w"], by).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        look = totals(blocks, *_first_look(few))
-        start = {key: _seeds(sums, k) for key, (sums, seen) in look.items() if len(seen) > few}
-        centres, spreads = {key: c for key, (c, _) in start.items()}, {key: s for key, (_, s) in start.items()}
-        for _ in range(rounds if centres else 0):
-            moved = 0.0
-            for key, (n, sx, sy) in totals(blocks, _assigned(centres)).items():
-                held = n > 0
-                new = np.where(held[:, None], np.stack([sx, sy], 1) / np.where(held, n, 1.0)[:, None], centres[key])
-                if spreads[key] > 0:
-                    moved = max(moved, float(np.abs(new - centres[key]).max()) / spreads[key])
-                centres[key] = new
-            if moved <= still:
-                break
-    finally:
-        blocks.unpersist()
-    kinds = [{"bigint": "long"}.get(kind, kind) for kind in (cells.schema[c].dataType.simpleString() for c in by)]
-    shape = [*[f"{c} {kind}" for c, kind in zip(by, kinds)], *[f"_{a}{i} double" for i in range(k) for a in ("cx", "cy")]]
-    table = local_table(pairs.sparkSession, [(*key, *map(float, c.ravel())) for key, c in centres.items()], ", ".join(shape))
-    return table.select(*by, F.array(*[F.struct(F.col(f"_cx{i}").alias("cx"), F.col(f"_cy{i}").alias("cy")) for i in range(k)]).alias("centres"))
+    start = {key: _seeds(look.sums, k) for key, look in p.look.items() if len(look.least) > few}
+    centres, spreads = {key: c for key, (c, _) in start.items()}, {key: s for key, (_, s) in start.items()}
+    moving = set(centres)
+    for _ in range(rounds if centres else 0):
+        most = 0.0
+        for key, (n, sx, sy) in totals(p.blocks, _assigned({key: centres[key] for key in moving})).items():
+            held = n > 0
+            new = np.where(held[:, None], np.stack([sx, sy], 1) / np.where(held, n, 1.0)[:, None], centres[key])
+            moved = float(np.abs(new - centres[key]).max())
+            if spreads[key] > 0:
+                most = max(most, moved / spreads[key])
+            if moved == 0:
+                moving.discard(key)
+            centres[key] = new
+        if most <= still:
+            break
+    return centres
+
+
+def _cluster(centres: dict, key: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return nearest(centres[key], x, y) if key in centres else np.zeros(len(x), np.int64)
+
+
+def clusters_of(centres: dict, k: int) -> tuple[Labels, int]:
+    """The labelling of points by their cluster; pairs without centres are one group."""
+    return partial(_cluster, centres), k
+
+
+def rank_table(p: PairPoints, centres: dict, found: dict[tuple, Ranked], at: int) -> DataFrame:
+    """Rows, Spearman and its p per pair and cluster; ``at`` is the place of the clusters among the labellings."""
+    rows = []
+    for key in centres:
+        copies, rho = found[key].groups[at]
+        rows += [(*key, c, int(n), r) for c, (n, r) in enumerate(zip(copies, rho)) if n]
+    kinds = [{"bigint": "long"}.get(kind, kind) for kind in (p.pairs.schema[c].dataType.simpleString() for c in p.by)]
+    table = local_table(p.pairs.sparkSession, rows, ", ".join([*[f"{c} {kind}" for c, kind in zip(p.by, kinds)], "cluster int", "n long", "spearman double"]))
+    return table.withColumn("p", correlation_p(F.col("spearman"), F.col("n")))
 
 
 def cluster_ranks(pairs: DataFrame, by: Sequence[str], x: str, y: str, k: int = 3, *, few: int = FEW_VALUES) -> DataFrame:
-    """Per pair and cluster: rows, Spearman and its p; pairs with ``few`` distinct x or fewer have no clusters."""
-    rows = pairs.withColumns({c: known(F.col(c).cast("double")) for c in (x, y)}).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    centres = pair_centres(rows, by, x, y, k, few=few)
-    labelled = rows.join(centres, list(by)).withColumn("cluster", nearest_centre(x, y, k)).drop("centres")
-    ranks = spearman(labelled, [*by, "cluster"], x, y)
-    return ranks.select(*by, "cluster", "n", "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("p"))
+    """Per pair and cluster: rows, Spearman and its p; pairs with ``few`` distinct x or fewer have no clusters; ``by`` are texts or numbers."""
+    with pair_points(pairs, by, x, y, few=few) as p:
+        centres = pair_centres(p, k, few=few)
+        return rank_table(p, centres, ranked(p, [clusters_of(centres, k)]), 0)
 
 
 def best_cluster_p(ranks: DataFrame, by: Sequence[str]) -> DataFrame:
