@@ -33,6 +33,48 @@ def rows(spark, table):
     return spark.createDataFrame(text).repartition(3)
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_pairs_equal_pandas(rows, table, monkeypatch, few):
+    if few:
+        # several chunks and rounds of packing at this size
+        monkeypatch.setattr(bl, "BLOCK", 50)
+        monkeypatch.setattr(bl, "GATHERED", 300)
+        monkeypatch.setattr(pr, "FEWEST", 4)
+    pairs = column_pairs(rows, NAMES)
+    # the same rows, by way of the long form
+    for long in (pairs, pairs.filter(F.lit(True))):
+        out = {(r["x"], r["y"]): r for r in st.pair_statistics(long).collect()}
+        assert len(out) == 6
+        for (x, y), r in out.items():
+            both = table[[x, y]].dropna()
+            assert r["n"] == len(both) and r["pearson"] == pytest.approx(both[x].corr(both[y]), abs=1e-9)
+            assert r["spearman"] == pytest.approx(both[x].rank().corr(both[y].rank()), abs=1e-9)
+            edges = np.unique(both[x].quantile([0, 0.25, 0.5, 0.75, 1]))
+            bins = [g for _, g in both.groupby(np.maximum(np.searchsorted(edges, both[x]) - 1, 0))[y] if len(g) >= 5]
+            assert r["test"] == ("welch" if len(bins) == 2 else "anova")
+            if len(bins) > 2:
+                within, n = sum(((g - g.mean()) ** 2).sum() for g in bins), sum(map(len, bins))
+                mean = sum(g.sum() for g in bins) / n
+                between = sum(len(g) * (g.mean() - mean) ** 2 for g in bins)
+                assert r["bin_statistic"] == pytest.approx(between / (len(bins) - 1) / (within / (n - len(bins))), rel=1e-9)
+
+
+def test_bins_equal_those_of_rows(rows):
+    pairs = column_pairs(rows, NAMES)
+    want = {(r["x"], r["y"]): r for r in st.group_test(st.quantile_bins(pairs, ["x", "y"], "vx", 4), ["x", "y"], "bin", "vy").collect()}
+    for r in st.pair_statistics(pairs).collect():
+        w = want[r["x"], r["y"]]
+        assert r["test"] == w["test"] and r["bin_statistic"] == pytest.approx(w["statistic"], rel=1e-9) and r["bin_p"] == pytest.approx(w["p"], abs=1e-9)
+
+
+def test_flat_columns_and_bins(spark):
+    rows = spark.createDataFrame([(float(i), 0.1, float(i // 10)) for i in range(40)], "a double, b double, c double")
+    out = {(r["x"], r["y"]): r for r in st.pair_statistics(column_pairs(rows, NAMES).filter("x <> 'b'")).collect()}
+    assert out["a", "b"]["pearson"] is None and out["a", "b"]["spearman"] is None and out["a", "c"]["spearman"] > 0.9
+    # y is one value in every bin: nothing varies inside
+    assert all(out[pair]["test"] == "anova" and out[pair]["bin_statistic"] is None for pair in (("a", "b"), ("a", "c"), ("c", "b")))
+
+
 def test_clusters_are_packed_from_rows(rows, monkeypatch):
     """Before, a shuffle counted every pair's points, and others dealt them to meet their ranks."""
     monkeypatch.setattr(bl, "_wide_packer", lambda count, pairs, real=bl._wide_packer: seen.append((count, sorted(pairs))) or real(count, pairs))

@@ -10,6 +10,7 @@ import operator
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +92,11 @@ def weighted_bin_statistics(members: DataFrame, keys: Sequence[str], value: str)
 
 def anova(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """One-way F test per key over groups of at least five values; fewer than two such groups give no F."""
-    per = df.groupBy(*keys, group).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    return _anova(df.groupBy(*keys, group).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v")), keys)
+
+
+def _anova(per: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``anova`` from a row per group: its values ``_n``, their mean ``_m`` and population variance ``_v``."""
     big = F.col("_n") >= MIN_GROUP
     n, m = F.col("_n"), F.col("_m")
     total = per.groupBy(*keys).agg(
@@ -106,8 +111,12 @@ def anova(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFra
 
 def welch(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Welch's t and its degrees of freedom for keys with exactly two groups of at least five values."""
-    per = df.groupBy(*keys, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).filter(F.col("n") >= MIN_GROUP)
-    two = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct(group, "n", "m", "v")).alias("a"), F.max(F.struct(group, "n", "m", "v")).alias("b")).filter("_k = 2")
+    return _welch(df.groupBy(*keys, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")), keys, group)
+
+
+def _welch(per: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
+    """``welch`` from a row per group: its values ``n``, their mean ``m`` and sample variance ``v``."""
+    two = per.filter(F.col("n") >= MIN_GROUP).groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct(group, "n", "m", "v")).alias("a"), F.max(F.struct(group, "n", "m", "v")).alias("b")).filter("_k = 2")
     a, b = F.col("a.v") / F.col("a.n"), F.col("b.v") / F.col("b.n")
     t = F.try_divide(F.col("a.m") - F.col("b.m"), F.sqrt(a + b))
     dof = F.try_divide((a + b) * (a + b), a * a / (F.col("a.n") - 1) + b * b / (F.col("b.n") - 1))
@@ -116,8 +125,11 @@ def welch(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFra
 
 def group_test(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """Welch for two groups, F for more: statistic, degrees of freedom and p."""
-    f = anova(df, keys, group, value)
-    joined = f.join(welch(df, keys, group, value), list(keys), "left")
+    return _group_test(anova(df, keys, group, value), welch(df, keys, group, value), keys)
+
+
+def _group_test(f: DataFrame, t: DataFrame, keys: Sequence[str]) -> DataFrame:
+    joined = f.join(t, list(keys), "left")
     two = F.col("groups") == 2
     return joined.select(
         *keys, "groups", F.when(two, "welch").when(F.col("groups") > 2, "anova").alias("test"), F.when(two, F.col("t")).otherwise(F.col("f")).alias("statistic"),
@@ -170,15 +182,32 @@ def binned_mutual_information(df: DataFrame, keys: Sequence[str], x: str, y: str
     return cells.withColumn("_i", n / t * F.log(n * t / (a * b))).groupBy(*keys).agg(F.sum("_i").alias("mutual_information"))
 
 
+def _pair_table(p, found: dict, bins: int) -> DataFrame:
+    """Pearson, Spearman and the group test of all pairs from their ranks; quantiles of x are the edges of its bins."""
+    from ..functions.local import local_table
+    from .pairranks import bin_sums
+
+    spark, by = p.pairs.sparkSession, p.by
+    kinds = ", ".join(f"{c} {dict(bigint='long').get(kind, kind)}" for c, kind in ((c, p.pairs.schema[c].dataType.simpleString()) for c in by))
+    edges = {key: np.unique(r.quantiles) for key, r in found.items()}
+    per = [(*key, at, n, mean, squares / n, squares / (n - 1) if n > 1 else None) for key, rows in bin_sums(p, edges).items() for at, n, mean, squares in rows]
+    groups = local_table(spark, per, f"{kinds}, bin int, n long, m double, v double, u double")
+    tests = _group_test(_anova(groups.select(*by, F.col("n").alias("_n"), F.col("m").alias("_m"), F.col("v").alias("_v")), by), _welch(groups.select(*by, "bin", "n", "m", F.col("u").alias("v")), by, "bin"), by)
+    whole = [(*key, int(r.groups[0][0][0]), r.pearson, r.groups[0][1][0]) for key, r in found.items()]
+    corr = local_table(spark, whole, f"{kinds}, n long, pearson double, spearman double").withColumn("spearman_p", correlation_p(F.col("spearman"), F.col("n")))
+    return corr.join(tests.select(*by, "test", F.col("statistic").alias("bin_statistic"), F.col("p").alias("bin_p")), by, "left")
+
+
 def pair_statistics(pairs: DataFrame, bins: int = 4) -> DataFrame:
     """Every column pair at once: Pearson, Spearman and the group test over quantile bins of x.
 
-    ``pairs`` is long: ``x``, ``y``, ``vx``, ``vy``.
+    ``pairs`` is long: ``x``, ``y``, ``vx``, ``vy``; a pair's rows are those that have both values. They are packed once
+    and all else is read from the packed points (see ``pairranks``).
     """
-    by = ["x", "y"]
-    corr = spearman(pairs, by, "vx", "vy").withColumn("spearman_p", correlation_p(F.col("spearman"), F.col("n")))
-    tests = group_test(quantile_bins(pairs, by, "vx", bins), by, "bin", "vy").select(*by, "test", F.col("statistic").alias("bin_statistic"), F.col("p").alias("bin_p"))
-    return corr.join(tests, by, "left")
+    from .pairranks import pair_points, ranked, whole
+
+    with pair_points(pairs, ["x", "y"], "vx", "vy") as p:
+        return _pair_table(p, ranked(p, [(whole, 1)], [i / bins for i in range(bins + 1)]), bins)
 
 
 def pair_analysis(pairs: DataFrame, bins: int = 4, *, clusters: int = 3, at_least: int = 10) -> DataFrame:
