@@ -67,6 +67,19 @@ def test_bins_equal_those_of_rows(rows):
         assert r["test"] == w["test"] and r["bin_statistic"] == pytest.approx(w["statistic"], rel=1e-9) and r["bin_p"] == pytest.approx(w["p"], abs=1e-9)
 
 
+def test_no_pair_row_is_made(spark, table, tmp_path, monkeypatch):
+    """Before, every pair's rows were dealt by a shuffle to meet the edges of their bins."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame(table).write.parquet(path)
+    seen = []
+    real = bl._wide_packer
+    monkeypatch.setattr(bl, "_wide_packer", lambda count, pairs: seen.append((count, sorted(pairs))) or real(count, pairs))
+    out = st.pair_analysis(column_pairs(spark.read.parquet(path), NAMES))
+    assert seen == [(3, [(0, 1), (0, 2), (1, 2)])]
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 6
+
+
 def test_flat_columns_and_bins(spark):
     rows = spark.createDataFrame([(float(i), 0.1, float(i // 10)) for i in range(40)], "a double, b double, c double")
     out = {(r["x"], r["y"]): r for r in st.pair_statistics(column_pairs(rows, NAMES).filter("x <> 'b'")).collect()}

@@ -215,11 +215,15 @@ def pair_analysis(pairs: DataFrame, bins: int = 4, *, clusters: int = 3, at_leas
 
     Clusters of under five rows don't count; pairs with too few rows say so.
     """
-    from .pairclusters import best_cluster_p, cluster_ranks
+    from .pairclusters import FEW_VALUES, best_cluster_p, clusters_of, pair_centres, rank_table
+    from .pairranks import pair_points, ranked, whole
 
     by = ["x", "y"]
-    inside = best_cluster_p(cluster_ranks(pairs, by, "vx", "vy", clusters), by)
-    out = pair_statistics(pairs, bins).join(inside, by, "left").na.fill(0, ["clusters"])
+    with pair_points(pairs, by, "vx", "vy", few=FEW_VALUES) as p:
+        centres = pair_centres(p, clusters, few=FEW_VALUES)
+        found = ranked(p, [(whole, 1), clusters_of(centres, clusters)], [i / bins for i in range(bins + 1)])
+        inside = best_cluster_p(rank_table(p, centres, found, 1), by)
+        out = _pair_table(p, found, bins).join(inside, by, "left").na.fill(0, ["clusters"])
     few = F.col("n") < at_least
     best = F.when(~few, F.least("spearman_p", "bin_p", "cluster_p"))
     return out.withColumns({"best_p": best, "error": F.when(few, F.format_string("only %d shared rows", "n"))}).orderBy(F.col("best_p").asc_nulls_last(), *by)
