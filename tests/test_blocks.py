@@ -69,3 +69,16 @@ def test_packing_keeps_every_point(monkeypatch):
     assert None not in {k for k, _ in got} and len(got) > 9
     plain = [np.frombuffer(r["data"]) for b in bl._packer(["v"], [])([b.select(["v"]) for b in batches]) for r in b.to_pylist()]
     assert np.array_equal(np.concatenate(plain), v)
+
+
+def test_a_mixture_round_works_in_slices(monkeypatch):
+    monkeypatch.setattr(fits, "SLICE", 100, raising=False)
+    x = np.random.default_rng(5).normal(size=(2, 730))
+    state = [(0.6, np.array([-1.0, 0.0]), np.eye(2)), (0.4, np.array([1.0, 0.5]), np.diag([1.0, 2.0]))]
+    seen, exp = [], np.exp
+    monkeypatch.setattr(fits.np, "exp", lambda v, *a, **b: seen.append(np.size(v)) or exp(v, *a, **b))
+    got = fits._expected(state)((), x)[""]
+    d = [np.exp(-0.5 * (((x - m[:, None]) ** 2) / np.diag(c)[:, None]).sum(0)) * w / (2 * np.pi * np.sqrt(np.linalg.det(c))) for w, m, c in state]
+    all_ = sum(d)
+    want = [np.log(all_).sum(), *[v for p in d for v in ((p / all_).sum(), *(x @ (p / all_)), *((x * (p / all_)) @ x.T).ravel())]]
+    assert np.allclose(got, want) and max(seen[:16]) == 100

@@ -14,13 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import RDD, StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import packed, totals
 
 EPSILON = 2.0 ** -52
+#: Points that a round of a mixture works on at once, so that what it derives from them stays in a core's cache.
+SLICE = 16_384
 
 
 @dataclass(frozen=True)
@@ -39,9 +41,9 @@ def points(df: DataFrame, columns: Sequence[str], *, standardise: bool = False):
     rows = df.na.drop(subset=list(columns))
     numbers = [F.col(c).cast("double") for c in columns]
     if standardise:
-        assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
-        scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True).fit(assembled)
-        numbers = [(x - F.lit(float(m))) * F.lit(1 / float(s) if s else 0.0) for x, m, s in zip(numbers, scaler.mean, scaler.std)]
+        # the mean and deviation that StandardScaler finds, without a vector object per row
+        found = rows.agg(*[f(x).alias(f"{name}{i}") for i, x in enumerate(numbers) for name, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+        numbers = [(x - F.lit(float(found[f"m{i}"]))) * F.lit(1 / float(found[f"s{i}"]) if found[f"s{i}"] else 0.0) for i, x in enumerate(numbers)]
     names = [f"_p{i}" for i in range(len(columns))]
     rows = rows.withColumns(dict(zip(names, numbers)))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features").persist()
@@ -107,7 +109,7 @@ def _root(cov: np.ndarray) -> tuple[float, np.ndarray]:
 def _expected(state: list):
     parts = [(w, m, *_root(c)) for w, m, c in state]
 
-    def part(_, x):
+    def some(x):
         p = np.empty((len(parts), x.shape[1]))
         for i, (w, m, peak, root) in enumerate(parts):
             d = x - m[:, None]
@@ -116,7 +118,10 @@ def _expected(state: list):
         all_ = p.sum(0)
         p /= all_
         sums = [np.concatenate([[r.sum()], x @ r, ((x * r) @ x.T).ravel()]) for r in p]
-        return {"": np.concatenate([[np.log(all_).sum()], *sums])}
+        return np.concatenate([[np.log(all_).sum()], *sums])
+
+    def part(_, x):
+        return {"": sum(some(x[:, i:i + SLICE]) for i in range(0, x.shape[1], SLICE))}
 
     return part
 
